@@ -3,9 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ._common import table
+from . import language, quality
+from ._common import held_out, table
 from .decontamination import decontaminate
+from .mixing import mix_sources
+
+
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs, train_where=~held_out("id", 3, 1))
+    return language.identify(docs, model).withColumn("held_out", held_out("doc_id", 3, 1)).select("doc_id", "held_out", "lang_pred", "score", "n_languages", "languages", "proportions")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,8 +22,23 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), train_where=~held_out("id", 4, 2))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 QUERIES = {
+    "op1_language": op1_language,
     "op6_decontamination": op6_decontamination,
+    "op7_quality": op7_quality,
+    "op9_mixing": op9_mixing,
 }
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -35,4 +59,24 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' O
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op9_mixing": r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
+w AS (SELECT *, [3, 1, 2][((k - 1) % 3 + 1)::INT] AS weight, source_size * 2 AS cap FROM s),
+f AS (SELECT *, cap / weight AS fill FROM w),
+l AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5 - coalesce(sum(cap) OVER (ORDER BY fill, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+        / (sum(weight) OVER (ORDER BY fill, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM f),
+m AS (SELECT *, min(CASE WHEN level <= fill THEN level END) OVER () AS water FROM l),
+t AS (SELECT source, source_size, CASE WHEN water IS NULL OR water * weight >= cap THEN cap::DOUBLE ELSE water * weight END AS target FROM m),
+r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS ratio FROM t),
+p AS (SELECT *, floor(ratio)::BIGINT AS copies, ratio - floor(ratio) AS p FROM r),
+u AS (SELECT d.doc_id, d.source, d.size, p.source_size, p.target, p.copies, p.p, target - copies * p.source_size AS room,
+             (('0x' || substr(md5(d.doc_id::VARCHAR || ':1'), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+      FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+q AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM u),
+k AS (SELECT *, floor(q / (1 + q) * 281474976710656.0::DOUBLE)::BIGINT AS key FROM q),
+c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+             sum(size) OVER (PARTITION BY source, key) AS tied FROM k)
+SELECT doc_id, size, source_size, target,
+       (size * (copies + CASE WHEN key IS NOT NULL AND upto - tied + upto <= 2 * room THEN 1 ELSE 0 END))::BIGINT AS taken FROM c""",
 }
