@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import language, quality
 from ._common import held_out, table
 from .decontamination import decontaminate
+from .main_text import extract
 from .mixing import mix_sources
 from .near_duplicates import near_duplicates
 from .similarity_join import similarity_join
@@ -19,6 +20,10 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).withColumn("held_out", held_out("doc_id", 3, 1)).select("doc_id", "held_out", "lang_pred", "score", "n_languages", "languages", "proportions")
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op3_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_join(table(spark, sf_dir, "embeddings"), cosine=0.9)
 
@@ -46,6 +51,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language": op1_language,
+    "op2_main_text": op2_main_text,
     "op3_similarity_join": op3_similarity_join,
     "op4_near_duplicates": op4_near_duplicates,
     "op6_decontamination": op6_decontamination,
