@@ -47,6 +47,7 @@ def targets(sizes: DataFrame, *, share: float = 1.5, max_copies: int = 2, weight
 def rank_key(id_col: Column, p: Column, seed: int, priority: Column | None = None) -> Column:
     """The Pareto rank as an integer of 48 bits."""
     drawn = F.conv(F.substring(F.md5(F.concat(id_col.cast("string"), F.lit(f":{seed}"))), 1, 12), 16, 10).cast("bigint")
+    p = F.when((p > 0) & (p < 1), p)
     u = (drawn + F.lit(0.5)) / F.lit(float(1 << _BITS))
     q = (u / (1 - u)) / (p / (1 - p))
     q = q / priority if priority is not None else q
