@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, quality, substring_dedup
-from ._common import held_out, table
+from . import language, quality, substring_dedup, token_counts
+from ._common import checkpoint, held_out, shared_folder, table
 from .decontamination import decontaminate
 from .main_text import extract
 from .mixing import mix_sources
@@ -32,6 +34,23 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after a feed of changes: inserts in two batches, one with provisional counts, their revision, a batch
+    delivered twice, and the deletion of documents without words."""
+    counts = checkpoint(token_counts.count_tokens(table(spark, sf_dir, "documents"), *token_counts.default_vocabulary()))
+    rollup = token_counts.Rollup(spark, f"{shared_folder(spark)}/token-rollup-{uuid.uuid4().hex}")
+    late = F.coalesce(held_out("id", 4, 0), F.lit(False))
+    bpe, words = "byte_bpe_50k", "words"
+    sure, guessed, empty = counts.where(~late), counts.where(late), counts.where("words = 0")
+    first = token_counts.change(sure, 1, bpe, "tokens").union(token_counts.change(counts, 1, words, "words"))
+    rollup.commit("inserts-1", first)
+    rollup.commit("inserts-2", token_counts.change(guessed, 1, bpe, F.ceil(F.col("chars") / 4)))
+    rollup.commit("inserts-1", first)
+    rollup.commit("revised", token_counts.change(guessed, -1, bpe, F.ceil(F.col("chars") / 4)).union(token_counts.change(guessed, 1, bpe, "tokens")))
+    rollup.commit("deletes", token_counts.change(empty, -1, bpe, "tokens").union(token_counts.change(empty, -1, words, "words")))
+    return rollup.totals()
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), spans=False, clean_text=False)
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -58,6 +77,7 @@ QUERIES = {
     "op2_main_text": op2_main_text,
     "op3_similarity_join": op3_similarity_join,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_token_counts": op5_token_counts,
     "op6_decontamination": op6_decontamination,
     "op7_quality": op7_quality,
     "op9_mixing": op9_mixing,
