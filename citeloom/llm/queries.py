@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, quality, substring_dedup, token_counts
+from . import language, masked_lm, quality, substring_dedup, token_counts
 from ._common import checkpoint, held_out, shared_folder, table
 from .decontamination import decontaminate
 from .main_text import extract
@@ -63,6 +63,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return masked_lm.score(docs, *masked_lm.fit(docs))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -80,6 +85,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_decontamination": op6_decontamination,
     "op7_quality": op7_quality,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_mixing": op9_mixing,
     "op10_substring_dedup": op10_substring_dedup,
 }
