@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import checkpoint, pick
+from ._common import checkpoint, numbered, pick
 
 WEIGHTS = (3, 1, 2)
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -38,7 +38,8 @@ def targets(sizes: DataFrame, *, share: float = 1.5, max_copies: int = 2, weight
     before, after = rising.rowsBetween(Window.unboundedPreceding, -1), rising.rowsBetween(0, Window.unboundedFollowing)
     whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     s = s.withColumn("level", (F.sum("source_size").over(whole) * F.lit(share) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("weight").over(after))
-    level = F.min(F.when(F.col("level") <= F.col("fill"), F.col("level"))).over(whole)
+    # beyond the first source that stays below its cap, levels only fall
+    level = F.max(F.when(F.col("level") <= F.col("fill"), F.col("level"))).over(whole)
     s = s.withColumn("target", F.when(level.isNull() | (level * F.col("weight") >= F.col("cap")), F.col("cap").cast("double")).otherwise(level * F.col("weight")))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     return s.select("source", "source_size", "target", F.floor(ratio).alias("copies"), (ratio - F.floor(ratio)).alias("p"))
@@ -54,8 +55,11 @@ def rank_key(id_col: Column, p: Column, seed: int, priority: Column | None = Non
     return F.floor(q / (1 + q) * F.lit(float(1 << _BITS)))
 
 
-def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, max_copies: int = 2, weights: tuple[int, ...] = WEIGHTS, seed: int = 1, priority_col: str | None = None, max_broadcast_sources: int = 100_000) -> DataFrame:
-    """(id, source, size, source_size, target, copies) of every document; copies is how often the mix takes it."""
+def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, max_copies: int = 2, weights: tuple[int, ...] = WEIGHTS, seed: int = 1, priority_col: str | None = None, max_broadcast_sources: int = 100_000, keep: bool = False) -> DataFrame:
+    """(id, source, size, source_size, target, copies) of every document; copies is how often the mix takes it.
+
+    keep: instead all columns of docs, with size_of, target_of and copies_of behind them.
+    """
     extra = {"priority": priority_col} if priority_col else {}
     narrow = pick(docs, id=id_col, text=text_col, source=source_col, **extra)
     narrow = checkpoint(narrow.select("id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("bigint").alias("size"), *extra))
@@ -85,7 +89,14 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             cut = cut.drop("upto")
     # the rank at the cut is in if that brings the words nearer to the room
     cut = cut.select("source", F.when(F.col("below") + F.col("upto") <= 2 * F.col("room"), F.col("high")).otherwise(F.col("high") - 1).alias("cut"))
-    out = with_source(with_source(narrow, plan), cut, "left")
+    base = narrow
+    if keep:
+        flat, at = numbered(docs, id=id_col, text=text_col, source=source_col, **extra)
+        size = F.coalesce(F.regexp_count(at["text"], F.lit(WORDS)), F.lit(0)).cast("bigint").alias("size")
+        base = flat.select(*flat.columns, size, *(F.col(c).alias(k) for k, c in at.items() if k != "text"))
+    out = with_source(with_source(base, plan), cut, "left")
     key = rank_key(F.col("id"), F.col("p"), seed, F.col("priority") if priority_col else None)
     picked = F.when((F.col("p") > 0) & (key <= F.col("cut")), 1).otherwise(0)
+    if keep:
+        return out.select(*flat.columns, "size", "target", (F.col("copies") + picked).cast("bigint")).toDF(*docs.columns, "size_of", "target_of", "copies_of")
     return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("copies") + picked).cast("bigint").alias("copies"))

@@ -134,7 +134,7 @@ w AS (SELECT *, [3, 1, 2][((k - 1) % 3 + 1)::INT] AS weight, source_size * 2 AS
 f AS (SELECT *, cap / weight AS fill FROM w),
 l AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5 - coalesce(sum(cap) OVER (ORDER BY fill, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
         / (sum(weight) OVER (ORDER BY fill, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM f),
-m AS (SELECT *, min(CASE WHEN level <= fill THEN level END) OVER () AS water FROM l),
+m AS (SELECT *, max(CASE WHEN level <= fill THEN level END) OVER () AS water FROM l),
 t AS (SELECT source, source_size, CASE WHEN water IS NULL OR water * weight >= cap THEN cap::DOUBLE ELSE water * weight END AS target FROM m),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS ratio FROM t),
 p AS (SELECT *, floor(ratio)::BIGINT AS copies, ratio - floor(ratio) AS p FROM r),
