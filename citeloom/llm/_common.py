@@ -24,14 +24,29 @@ LOWER[65:91] += 32
 
 def pick(df: DataFrame, **names: str) -> DataFrame:
     """The columns names.values() under the names names.keys(); an exact name wins over one that differs in case."""
+    flat, at = numbered(df, **names)
+    return flat.select(*(flat[c].alias(new) for new, c in at.items()))
+
+
+def numbered(df: DataFrame, **names: str) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns as c0, c1, ... in their order, and which of them each of names is."""
     flat = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
-    out = []
+    at = {}
     for new, old in names.items():
-        at = [i for i, c in enumerate(df.columns) if c == old] or [i for i, c in enumerate(df.columns) if c.lower() == old.lower()]
-        if not at:
+        found = [i for i, c in enumerate(df.columns) if c == old] or [i for i, c in enumerate(df.columns) if c.lower() == old.lower()]
+        if not found:
             raise ValueError(f"no column {old!r} among {df.columns}")
-        out.append(flat[f"c{at[0]}"].alias(new))
-    return flat.select(*out)
+        at[new] = f"c{found[0]}"
+    return flat, at
+
+
+def named_again(flat: DataFrame, names: list[str], **changed) -> DataFrame:
+    """The columns c0, c1, ... under names again; those in changed (by name) get a new value."""
+    return flat.select(*(F.col(f"c{i}") if c not in changed else changed[c].alias(f"c{i}") for i, c in enumerate(names))).toDF(*names)
+
+
+def ddl(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

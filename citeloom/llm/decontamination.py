@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, SpanHash, passes, pick, row_bounds, spans, utf8
+from ._common import LOWER, SpanHash, ddl, named_again, numbered, passes, pick, row_bounds, spans, utf8
 
 WORD = np.zeros(256, bool)
 WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -200,13 +200,19 @@ class Phrases:
         return first, length, rows[first], item
 
 
-def _shards(blocks: list[Phrases], with_text: bool, with_spans: bool):
+def _shards(blocks: list[Phrases], with_text: bool, with_spans: bool, keep: bool = False):
+    """keep: all input columns but the last, the text, come before the facts that a cleaned row needs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHash()
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
+            texts = batch.column(batch.num_columns - 1)
+            data, offsets = utf8(texts)
             for i, j in passes(offsets):
-                yield one(batch.column(0).slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], batch.column(1).slice(i, j - i), hasher)
+                out = one(batch.column(0).slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], texts.slice(i, j - i), hasher)
+                if keep:
+                    own = [*(c.slice(i, j - i) for c in batch.columns[:-1]), out["clean_text"], out["n_words"], out["n_hit"]]
+                    out = pa.RecordBatch.from_arrays(own, names=[*batch.schema.names[:-1], "text_of", "words_of", "hit_of"])
+                yield out
 
     def one(ids, raw, offsets, texts, hasher) -> pa.RecordBatch:
         n = len(ids)
@@ -278,10 +284,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 
     A benchmark beyond max_items is refused rather than broadcast; split it by items and add up the runs.
     """
-    n_items = benchmark.count()
-    if n_items > max_items:
-        raise ValueError(f"{n_items} benchmark items; the phrases sent to every task are bounded at {max_items}")
-    blocks = benchmark_blocks(benchmark, item_col=item_col, text_col=item_text_col, window=window, block_items=block_items)
+    blocks = _checked_blocks(benchmark, item_col, item_text_col, window, block_items, max_items)
     narrow = pick(docs, id=id_col, text=text_col)
     kind = narrow.schema["id"].dataType.simpleString()
     return narrow.mapInArrow(_shards(blocks, clean_text, spans), RESULT.format(id=kind)).withColumnRenamed("id", id_col)
+
+
+def _checked_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_items: int, max_items: int) -> list[Phrases]:
+    n_items = benchmark.count()
+    if n_items > max_items:
+        raise ValueError(f"{n_items} benchmark items; the phrases sent to every task are bounded at {max_items}")
+    return benchmark_blocks(benchmark, item_col=item_col, text_col=text_col, window=window, block_items=block_items)
+
+
+def without_items(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", n_chars_col: str | None = "n_chars", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_items: int = 20_000, max_items: int = 2_000_000) -> DataFrame:
+    """The rows of docs with all windows of the items cut from their texts; rows without any other word go."""
+    blocks = _checked_blocks(benchmark, item_col, item_text_col, window, block_items, max_items)
+    flat, at = numbered(docs, text=text_col)
+    out = flat.withColumn("text_in", F.col(at["text"])).mapInArrow(_shards(blocks, True, False, True), f"{ddl(flat)}, text_of string, words_of bigint, hit_of bigint")
+    out = out.where((F.col("hit_of") == 0) | (F.col("hit_of") < F.col("words_of")))
+    changed = {text_col: F.col("text_of")}
+    if n_chars_col in docs.columns:
+        own = f"c{docs.columns.index(n_chars_col)}"
+        changed[n_chars_col] = F.when(F.col("hit_of") > 0, F.length("text_of").cast(docs.schema[n_chars_col].dataType)).otherwise(F.col(own))
+    return named_again(out, docs.columns, **changed)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SpanHash, mix, passes, pick, reduce_rows, row_bounds, utf8
+from ._common import SpanHash, ddl, mix, numbered, passes, pick, reduce_rows, row_bounds, utf8
 
 #: Code points that separate words: white space of ASCII and the usual wider ones.
 _SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x2028, 0x2029, 0x3000]
@@ -175,16 +175,27 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return train(got["text"].combine_chunks() if len(got) else pa.array([], pa.string()), np.asarray(got["label"], dtype=np.int64), **options)
 
 
-def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of every document: the probability of class 1."""
-    narrow = pick(docs, id=id_col, text=text_col)
-
+def _scores(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHash()
         for batch in batches:
-            raw, offsets = utf8(batch.column(1))
+            raw, offsets = utf8(batch.column(batch.num_columns - 1))
             for i, j in passes(offsets, _PASS):
-                got = model.score(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], hasher)
-                yield pa.record_batch({"id": batch.column(0).slice(i, j - i), "score": got})
+                got = pa.array(model.score(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], hasher))
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[:-1]), got], names=[*batch.schema.names[:-1], "score_of"])
+
+    return run
+
+
+def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, score) of every document: the probability of class 1."""
+    narrow = pick(docs, id=id_col, text=text_col)
+    out = narrow.mapInArrow(_scores(model), f"id {narrow.schema['id'].dataType.simpleString()}, score_of double")
+    return out.toDF(id_col, "score")
+
 
-    return narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
+def accepted(docs: DataFrame, model: Model, *, text_col: str = "text", least: float = 0.7) -> DataFrame:
+    """The rows of docs, all columns as they are, whose score is at least least."""
+    flat, at = numbered(docs, text=text_col)
+    scored = flat.withColumn("text_of", F.col(at["text"])).mapInArrow(_scores(model), f"{ddl(flat)}, score_of double")
+    return scored.where(F.col("score_of") >= least).drop("score_of").toDF(*docs.columns)

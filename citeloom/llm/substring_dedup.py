@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import SPACE, SpanHash, passes, pick, spans, utf8
+from ._common import SPACE, SpanHash, ddl, named_again, numbered, passes, pick, spans, utf8
 
 #: Random weights of the gear hash, one a byte value.
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
@@ -173,13 +173,10 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Added: text_of, its characters chars_of; n_chunks_of, n_duplicate_of; the bytes removed_of and their spans_of.
     """
     found = duplicate_chunks(docs, id_col=id_col, text_col=text_col)
-    flat = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
-    pos = {c: i for i, c in reversed(list(enumerate(docs.columns)))}
-    own_id, own_text = f"c{pos[id_col]}", f"c{pos[text_col]}"
-    rows = flat.withColumn("key_of", F.col(own_id).cast("bigint")).join(found.withColumnRenamed("id", "key_of"), "key_of", "left")
-    rows = rows.select(*flat.columns, F.col(own_text).alias("text_in"), "places")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flat.schema.fields)
-    return rows.mapInArrow(_cut(min_words), f"{schema}, text_of string, n_chunks_of bigint, n_duplicate_of bigint, removed_of bigint, chars_of bigint, spans_of array<struct<start:int,end:int>>")
+    flat, at = numbered(docs, id=id_col, text=text_col)
+    rows = flat.withColumn("key_of", F.col(at["id"]).cast("bigint")).join(found.withColumnRenamed("id", "key_of"), "key_of", "left")
+    rows = rows.select(*flat.columns, F.col(at["text"]).alias("text_in"), "places")
+    return rows.mapInArrow(_cut(min_words), f"{ddl(flat)}, text_of string, n_chunks_of bigint, n_duplicate_of bigint, removed_of bigint, chars_of bigint, spans_of array<struct<start:int,end:int>>")
 
 
 def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20) -> DataFrame:
@@ -188,3 +185,14 @@ def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
     out = dedup_substrings(narrow, id_col=id_col, text_col=text_col, min_words=min_words)
     return out.select(F.col("c0").alias(id_col), F.col("n_chunks_of").alias("n_chunks"), F.col("n_duplicate_of").alias("n_duplicate_chunks"), F.col("chars_of").alias("n_chars_kept"), F.col("removed_of").alias("bytes_removed"), F.col("spans_of").alias("spans"), (F.col("removed_of") > 0).alias("repeated"))
 
+
+
+def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str | None = "n_chars", min_words: int = 20) -> DataFrame:
+    """The rows of docs with repeats cut from their texts; rows that nothing but white space is left of go."""
+    out = dedup_substrings(docs, id_col=id_col, text_col=text_col, min_words=min_words)
+    out = out.where((F.col("removed_of") == 0) | (F.length(F.trim("text_of")) > 0))
+    changed = {text_col: F.col("text_of")}
+    if n_chars_col in docs.columns:
+        at = f"c{docs.columns.index(n_chars_col)}"
+        changed[n_chars_col] = F.when(F.col("removed_of") > 0, F.col("chars_of").cast(docs.schema[n_chars_col].dataType)).otherwise(F.col(at))
+    return named_again(out, docs.columns, **changed)
