@@ -1,16 +1,12 @@
-"""Names of all queries of the library, with the SQL that gives the same rows."""
+"""All queries of the library by name, with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from . import evidence
 
-
-def _pages_by_host(spark, d):
-    pages = spark.read.parquet(f"{d}/pages.parquet")
-    host = F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
-    return pages.groupBy(host.alias("host")).agg(F.count("*").alias("n_pages"))
-
-
-FLAGSHIP = "pages_by_host"
-QUERIES = {"pages_by_host": _pages_by_host}
-ORACLES = {"pages_by_host": r"SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, count(*) AS n_pages FROM pages GROUP BY 1"}
+FLAGSHIP = "quote_grounding"
+QUERIES: dict = {}
+ORACLES: dict = {}
+for _module in (evidence,):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
