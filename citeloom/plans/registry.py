@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import evidence
+from . import evidence, web
 
 FLAGSHIP = "quote_grounding"
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (evidence,):
+for _module in (evidence, web):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
