@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 
 # Query parameters that never change a page.
 JUNK_PARAMETERS = ["hslang", "gclid", "fbclid", "msclkid"]
-# Second-level labels under country codes; and the suffixes of two labels for company resolution.
+# Second-level labels under country codes.
 SECOND_LEVEL = ["co", "com", "org", "net", "gov", "edu", "ac"]
+# Suffixes of two labels, for company resolution.
+TWO_PART_SUFFIXES = [
+    "co.uk", "org.uk", "ac.uk", "gov.uk", "me.uk", "ltd.uk", "plc.uk", "com.au", "net.au", "org.au", "edu.au", "gov.au",
+    "co.nz", "co.za", "co.in", "co.jp", "co.kr", "co.il", "co.id", "co.th", "com.br", "com.cn", "com.mx", "com.tr",
+    "com.sg", "com.hk", "com.tw", "com.my", "com.ar", "com.co", "com.ua", "com.ph", "com.sa", "com.eg", "or.jp", "ne.jp",
+    "go.jp",
+]
 # File endings of assets.
 ASSET_ENDINGS = [
     "png", "jpg", "jpeg", "gif", "svg", "webp", "ico", "avif", "heic", "heif", "bmp", "tif", "tiff", "jxl", "apng",
@@ -72,15 +79,19 @@ def site_domain(netloc: Column) -> Column:
 
 def registrable_domain(url: Column) -> Column:
     """Registered domain for company resolution; a URL without scheme counts as one with it."""
-    full = F.when(url.contains("://"), url).otherwise(F.concat(F.lit("https://"), url))
-    labels = F.split(F.element_at(F.split(domain(full), ":"), 1), r"\.")
-    suffix = F.when(F.size(labels) >= 3, F.array_join(F.slice(labels, -2, 2), "."))
-    two = suffix.rlike(r"^(" + "|".join(SECOND_LEVEL) + r")\.[a-z]{2}$")
-    return F.when(two, F.array_join(F.slice(labels, -3, 3), ".")).when(F.size(labels) >= 2, F.array_join(F.slice(labels, -2, 2), ".")).otherwise(F.array_join(labels, "."))
+    full = F.when(url.contains("://"), url).otherwise(F.concat(F.lit("http://"), url))
+    bare = F.regexp_replace(F.regexp_replace(domain(full), "^[^@]*@", ""), ":[0-9]*$", "")
+    labels = F.filter(F.split(F.regexp_replace(bare, r"^www\.", ""), r"\."), lambda x: x != "")
+    two = F.array_join(F.slice(labels, -2, 2), ".")
+    n = F.size(labels)
+    return F.when(n <= 2, F.array_join(labels, ".")).when(two.isin(TWO_PART_SUFFIXES), F.array_join(F.slice(labels, -3, 3), ".")).otherwise(two)
 
 
 def brand_label(registrable: Column) -> Column:
-    return F.element_at(F.split(registrable, r"\."), 1)
+    """The label before the suffix."""
+    labels = F.split(registrable, r"\.")
+    two = F.when(F.size(labels) >= 3, F.array_join(F.slice(labels, -2, 2), "."))
+    return F.when(two.isin(TWO_PART_SUFFIXES), F.element_at(labels, -3)).otherwise(F.element_at(labels, 1))
 
 
 def same_site(start: Column, candidate: Column) -> Column:

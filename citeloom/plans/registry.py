@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import evidence, web
+from . import analytics, evidence, web
 
 FLAGSHIP = "quote_grounding"
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (evidence, web):
+for _module in (evidence, web, analytics):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
