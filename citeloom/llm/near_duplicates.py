@@ -8,9 +8,10 @@ documents that share each of the two, so documents make keys from the collection
 
 Documents with equal sets are one class, found by digest. Within a table key each class is compared with the
 key's smallest class only, on full sets, and the links found give components. A key whose members then lie
-in one component needs no more comparisons; the others are compared in blocks of bounded size, by a sketch of
-256 one-byte minhashes that drops pairs far below the threshold, and what passes is compared on full sets. So
-no key, however frequent, makes rows for all its pairs or gathers in one task.
+in one component needs no more comparisons. The documents of the other keys are sorted so that like ones meet,
+packed into blocks of bounded size, and blocks that share a key are joined: of their pairs that differ in component
+and share two collections, a sketch of 512 one-byte minhashes drops those far below the threshold, and the
+rest is compared on full sets. So no key, however frequent, makes rows for its pairs or gathers in one task.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing; a text of
 fewer than five words has its whole word sequence as its one shingle; a null id is linked with nothing and kept;
@@ -30,9 +31,9 @@ from ._common import LOWER, SPACE, SpanHash, checkpoint, components, mix, passes
 
 SHINGLE = 5
 COLLECTIONS, DEPTH = 20, 4
-SKETCH = 256
-#: Members of one table key that one comparison holds on either side.
-BLOCK = 1024
+SKETCH = 512
+#: Documents that one comparison holds on either side.
+BLOCK = 512
 _POWERS = powers(np.uint64(0xD6E8FEB86659FD93), SHINGLE + 1)[1:]
 _ODD = mix(np.arange(1, 1 + max(COLLECTIONS * DEPTH, SKETCH), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -124,53 +125,85 @@ def _confirm(percent: int):
     return run
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, component, place, n, keys, sketch) of documents that still need comparisons; place sorts like ones together."""
     hasher = SpanHash()
     for batch in batches:
         raw, offsets = utf8(batch.column(1))
+        keys = np.asarray(batch.column(3).flatten()).reshape(-1, COLLECTIONS)
         for i, j in passes(offsets):
             sets = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], hasher)
-            sketch = [(mix(minhashes(s, SKETCH)) >> np.uint64(56)).astype(np.uint8).tobytes() for s in sets]
-            yield pa.record_batch({"id": batch.column(0).slice(i, j - i), "n": np.array([len(s) for s in sets], np.int64), "sketch": pa.array(sketch, pa.binary())})
-
-
-def _block_pairs(percent: int):
-    """Pairs within one key's blocks that differ in component and whose sketches come near the threshold."""
-    # five and a half standard deviations below the threshold
+            part = batch.slice(i, j - i)
+            yield pa.record_batch(
+                {
+                    "id": part.column(0),
+                    "component": part.column(2),
+                    "place": part.column(4),
+                    "n": np.array([len(x) for x in sets], np.int64),
+                    "keys": pa.array([k.tobytes() for k in keys[i:j]], pa.binary()),
+                    "sketch": pa.array([(mix(minhashes(x, SKETCH)) >> np.uint64(56)).astype(np.uint8).tobytes() for x in sets], pa.binary()),
+                }
+            )
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted documents to blocks of at most BLOCK documents."""
+    for batch in batches:
+        for i in range(0, len(batch), BLOCK):
+            part = batch.slice(i, BLOCK)
+            columns = {"ids": part.column(0), "components": part.column(1), "ns": part.column(3)}
+            yield pa.record_batch(
+                {"block": part.column(0).slice(0, 1)}
+                | {k: pa.array([v.to_pylist()], pa.list_(pa.int64())) for k, v in columns.items()}
+                | {"keys": pa.array([b"".join(part.column(4).to_pylist())], pa.binary()), "sketches": pa.array([b"".join(part.column(5).to_pylist())], pa.binary())}
+            )
+
+
+def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct pairs of blocks that some key has."""
+    seen: set = set()
+    for batch in batches:
+        for blocks in batch.column(0).to_pylist():
+            blocks = sorted(blocks)
+            seen.update((x, y) for k, x in enumerate(blocks) for y in blocks[k:])
+        if len(seen) > 200_000:
+            yield pa.record_batch({"x": [p[0] for p in seen], "y": [p[1] for p in seen]})
+            seen = set()
+    if seen:
+        yield pa.record_batch({"x": [p[0] for p in seen], "y": [p[1] for p in seen]})
+
+
+def _join_blocks(percent: int):
+    """Pairs between two blocks that differ in component, share two collections and whose sketches come near the threshold."""
     t = percent / 100
+    # five and a half standard deviations below the threshold
     least = int(SKETCH * (t - 5.5 * (t * (1 - t) / SKETCH) ** 0.5))
 
-    def compare(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids, comp, n, left, right = (np.asarray(group[c]) for c in ("id", "component", "n", "is_left", "is_right"))
-        sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
-        rights = np.flatnonzero(right)
-        out_a, out_b = [], []
-        for x in np.flatnonzero(left):
-            y = rights[(comp[rights] != comp[x])]
-            y = y[(ids[y] > ids[x]) | ~left[y]]
-            low, high = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-            y = y[100 * low >= percent * high]
-            y = y[(sketch[y] == sketch[x]).sum(1) >= least] if len(y) else y
-            out_a.append(np.maximum(ids[y], ids[x]))
-            out_b.append(np.minimum(ids[y], ids[x]))
-        if out_a:
-            pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], 1), axis=0)
-            if len(pairs):
-                yield pa.record_batch({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy()})
+    def side(row: dict, which: str) -> tuple:
+        ids, comps, ns = (np.array(row[c + which], np.int64) for c in ("ids", "components", "ns"))
+        return ids, comps, ns, np.frombuffer(row["keys" + which], np.int64).reshape(-1, COLLECTIONS), np.frombuffer(row["sketches" + which], np.uint8).reshape(-1, SKETCH)
+
+    def pair(row: dict) -> pa.RecordBatch:
+        a = side(row, "1")
+        b = a if row["x"] == row["y"] else side(row, "2")
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in range(len(a[0])):
+            j = np.arange(i + 1 if b is a else 0, len(b[0]))
+            j = j[b[1][j] != a[1][i]]
+            low, high = np.minimum(a[2][i], b[2][j]), np.maximum(a[2][i], b[2][j])
+            j = j[100 * low >= percent * high]
+            if len(j):
+                j = j[(b[3][j] == a[3][i]).sum(1) >= 2]
+            if len(j):
+                j = j[(b[4][j] == a[4][i]).sum(1) >= least]
+            out_a.append(np.maximum(a[0][i], b[0][j]))
+            out_b.append(np.minimum(a[0][i], b[0][j]))
+        return pa.record_batch({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
         for batch in batches:
-            marks = np.asarray(batch.column(0))
-            cuts = [0, *(np.flatnonzero(marks[1:] != marks[:-1]) + 1).tolist(), len(marks)]
-            for i, j in zip(cuts, cuts[1:], strict=False):
-                if held and held[-1].column(0)[0].as_py() != marks[i]:
-                    yield from compare(pa.Table.from_batches(held))
-                    held = []
-                if j > i:
-                    held.append(batch.slice(i, j - i))
-        if held:
-            yield from compare(pa.Table.from_batches(held))
+            for k in range(len(batch)):
+                yield pair(batch.slice(k, 1).to_pylist()[0])
 
     return run
 
@@ -207,14 +240,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     marked = keys.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = marked.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).where("x <> y").select("key", "members")
     open_ = checkpoint(marked.join(mixed, "key"))
-    who = open_.select("id").distinct()
-    sketches = texts.join(who, "id", "left_semi").mapInArrow(_sketches, "id bigint, n bigint, sketch binary")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = open_.join(sketches, "id").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    rows = rows.select(F.xxhash64("key", low, high).alias("task"), "id", "component", "n", "sketch", (F.col("own") == low).alias("is_left"), (F.col("own") == high).alias("is_right"))
-    near = rows.repartition("task").sortWithinPartitions("task").mapInArrow(_block_pairs(percent), "a bigint, b bigint").distinct()
+    who = open_.groupBy("id").agg(F.first("component").alias("component"), F.min("key").alias("place"))
+    who = who.join(classes.select(F.col("rep").alias("id"), "keys"), "id")
+    facts = checkpoint(texts.join(who, "id").select("id", "text", "component", "keys", "place").mapInArrow(_facts, "id bigint, component bigint, place bigint, n bigint, keys binary, sketch binary"))
+    # few partitions, so that blocks are full whatever the number of shuffle partitions
+    n_parts = max(1, facts.count() // (4 * BLOCK))
+    blocks = facts.sort("place", "id").coalesce(n_parts).mapInArrow(_pack, "block bigint, ids array<bigint>, components array<bigint>, ns array<bigint>, keys binary, sketches binary")
+    blocks = checkpoint(blocks)
+    of = blocks.select("block", F.explode("ids").alias("id"))
+    together = open_.select("key", "id").join(of, "id").groupBy("key").agg(F.collect_set("block").alias("blocks")).select("blocks").distinct()
+    together = together.mapInArrow(_pairs_of, "x bigint, y bigint").distinct()
+    one = blocks.toDF("x", *(c + "1" for c in blocks.columns[1:]))
+    two = blocks.toDF("y", *(c + "2" for c in blocks.columns[1:]))
+    near = together.join(one, "x").join(two, "y").mapInArrow(_join_blocks(percent), "a bigint, b bigint")
     near = checkpoint(near.join(star, ["a", "b"], "left_anti"))
     more = checkpoint(confirm(near, texts, percent))
     if not more.isEmpty():
