@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import analytics, evidence, web
+from . import analytics, evidence, runs, web
 
 FLAGSHIP = "quote_grounding"
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (evidence, web, analytics):
+for _module in (evidence, web, analytics, runs):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
