@@ -29,6 +29,8 @@ from ._common import SpanHash, ddl, mix, numbered, passes, pick, reduce_rows, ro
 _SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x2028, 0x2029, 0x3000]
 #: Text bytes in one numpy pass; a byte needs about 100 bytes of intermediate arrays.
 _PASS = 1_500_000
+#: The same while training, in the driver's memory.
+_TRAIN_PASS = 250_000
 
 
 def code_points(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +119,7 @@ def train(texts: pa.Array, labels: np.ndarray, *, buckets: int = 1 << 18, width:
         return Model(np.zeros(buckets, np.float32), float(np.log(share / (1 - share))) if len(labels) else 0.0)
     hasher, bags = SpanHash(), []
     raw, offsets = utf8(texts)
-    for i, j in passes(offsets, _PASS):
+    for i, j in passes(offsets, _TRAIN_PASS):
         points, at = code_points(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         parts = [(b, w) for b, w in features(points, at, buckets, hasher)]
         rows = np.concatenate([np.searchsorted(at, w, "right") - 1 for _, w in parts]) if parts else np.zeros(0, np.int64)
