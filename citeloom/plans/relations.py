@@ -25,7 +25,7 @@ def claims(spark: SparkSession, d: str) -> DataFrame:
         (F.col("l_quantity") * 2).alias("score"),
         F.when(F.col("l_quantity") >= 50, "exact").when(F.col("l_quantity") > 10, "fuzzy").otherwise("none").alias("match_type"),
         F.when(F.col("l_tax") > 0, F.col("l_tax") * 10).alias("semantic"),
-        (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")) * 100_000 + F.col("l_suppkey")).alias("ord"),
+        ((((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")) * 100 + F.col("l_quantity").cast("bigint")).alias("ord"),
     )
 
 
@@ -33,6 +33,6 @@ CLAIMS = """claims AS (SELECT 'Supplier ' || l_suppkey AS entity, p_type AS ques
   CASE WHEN l_discount = 0.1 THEN 'None (not disclosed on site)' WHEN l_discount = 0.0 THEN NULL ELSE p_brand || '  x' END AS value,
   p_name AS quote, 'https://orders.example.com/' || (l_orderkey % 40) AS source_url, l_quantity > 10 AS verified, l_quantity * 2 AS score,
   CASE WHEN l_quantity >= 50 THEN 'exact' WHEN l_quantity > 10 THEN 'fuzzy' ELSE 'none' END AS match_type,
-  CASE WHEN l_tax > 0 THEN l_tax * 10 END AS semantic, ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 100000 + l_suppkey AS ord
+  CASE WHEN l_tax > 0 THEN l_tax * 10 END AS semantic, (((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey) * 100 + l_quantity::BIGINT AS ord
   FROM lineitem JOIN part ON l_partkey = p_partkey),
 normed AS (SELECT *, trim(regexp_replace(lower(value), '\\s+', ' ', 'g')) AS norm FROM claims WHERE value IS NOT NULL AND value <> '')"""
