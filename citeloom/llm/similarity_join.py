@@ -211,8 +211,9 @@ def similarity_join(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     distinct = checkpoint(distinct.withColumn("rep", F.coalesce("id", F.xxhash64("vec"))).select("rep", "dim", "vec", "weight"))
     axes = principal(distinct)
     cells = distinct.mapInArrow(_grid(axes, eps), "rep bigint, dim int, vec binary, weight bigint, cell binary")
-    n_blocks = max(1, distinct.count() // (2 * BLOCK))
-    ordered = cells.repartitionByRange(n_blocks, "dim", "cell", "rep").sortWithinPartitions("dim", "cell", "rep")
+    # few partitions, so that blocks are full whatever the number of shuffle partitions
+    n_parts = max(1, distinct.count() // (4 * BLOCK))
+    ordered = cells.sort("dim", "cell", "rep").coalesce(n_parts).sortWithinPartitions("dim", "cell", "rep")
     blocks = checkpoint(ordered.mapInArrow(_pack(axes), "block bigint, dim int, low array<double>, high array<double>, reps array<bigint>, weights array<bigint>, data binary"))
     # blocks meet in the cells of the first dimensions that they cover, one side widened by one cell
     keys = [f"at{k}" for k in range(min(3, *(a.shape[1] for a in axes.values())))] if axes else ["at0"]
