@@ -87,6 +87,14 @@ def ranked(evidence: DataFrame, most: int | None = None) -> DataFrame:
     return out.where(F.col("rank") <= most) if most else out
 
 
+def _range_of(x: Column, cuts: list, base: int = 0) -> Column:
+    """How many of the sorted cuts lie below x, by halving."""
+    if not cuts:
+        return F.lit(base)
+    m = len(cuts) // 2
+    return F.when(x > F.lit(cuts[m]), _range_of(x, cuts[m + 1 :], base + m + 1)).otherwise(_range_of(x, cuts[:m], base))
+
+
 def claim_ids(evidence: DataFrame, ranges: int = 200) -> DataFrame:
     """Consecutive ids C0001, C0002, ... in order of ord, without one task that sorts all rows.
 
@@ -94,8 +102,7 @@ def claim_ids(evidence: DataFrame, ranges: int = 200) -> DataFrame:
     """
     steps = [k / ranges for k in range(1, ranges)]
     cuts = evidence.agg(F.percentile_approx("ord", steps, 10_000)).first()[0] or []
-    bounds = F.array(*(F.lit(int(c)) for c in sorted(set(cuts)))) if cuts else F.array().cast("array<bigint>")
-    dealt = evidence.withColumn("part", F.size(F.filter(bounds, lambda c: c < F.col("ord"))))
+    dealt = evidence.withColumn("part", _range_of(F.col("ord"), sorted(set(cuts))))
     local = dealt.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("ord")))
     sizes = dealt.groupBy("part").count()
     before = F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -165,3 +165,63 @@ def rescue(gated: DataFrame, full_chars, least: int = 200, most: int = 12_000) -
     """Failed pages whose whole text is of a moderate length pass with it."""
     ok = ~F.col("passed") & full_chars.between(least, most)
     return gated.withColumn("rescued", ok).withColumn("passed", F.col("passed") | ok)
+
+
+# Weights of the extended scorer, and words of navigation.
+TITLE, QUESTION, INSTRUCTION, PENALTY = 0.25, 1.0, 0.45, 0.35
+
+
+def embedding_scores(links: DataFrame, questions: DataFrame, informative: list[float], transactional: list[float], alpha: float = 0.4) -> DataFrame:
+    """(page, target, score): a link's best cosine with a question, raised where it reads as informative.
+
+    links: (page, target, vector); questions: (question, vector), a request's own few.
+    """
+    from ..functions import vector
+
+    q = questions.select(F.col("vector").alias("q"))
+    best = links.join(F.broadcast(q)).groupBy("page", "target").agg(F.max(vector.cosine(F.col("vector"), F.col("q"))).alias("topic"), F.first("vector").alias("vector"))
+    ref = lambda v: F.array(*(F.lit(float(x)) for x in v))
+    factor = page_type_factor(F.col("topic"), vector.cosine(F.col("vector"), ref(informative)), vector.cosine(F.col("vector"), ref(transactional)), alpha)
+    return best.select("page", "target", factor.alias("score"))
+
+
+def structural_penalty(anchor, context, target, navigation: list[str]):
+    """What speaks against a link by its form: no or few words, images, navigation words, deep or numbered paths; at most 1."""
+    anchors, words = text.ascii_tokens(F.coalesce(anchor, F.lit(""))), text.ascii_tokens(F.coalesce(context, F.lit("")))
+    whole = F.lower(F.concat_ws(" ", anchor, context, url.path(target)))
+    parts = F.filter(F.split(F.lower(url.path(target)), "/"), lambda s: s != "")
+    names = F.array(*map(F.lit, navigation)) if navigation else F.array().cast("array<string>")
+    rules = [
+        F.when(F.size(anchors) == 0, 0.25).when((F.size(anchors) <= 2) & (F.size(words) <= 6), 0.15).otherwise(0.0),
+        F.when(whole.contains("![") | whole.contains("base64-image-removed"), 0.30).otherwise(0.0),
+        F.when(F.arrays_overlap(F.split(whole, r"[^a-z0-9]+"), names), 0.25).otherwise(0.0),
+        F.when(F.size(parts) >= 4, 0.10).otherwise(0.0),
+        F.when(F.arrays_overlap(parts, names), 0.20).otherwise(0.0),
+        F.when(F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit("")).rlike("^[0-9]$"), 0.05).otherwise(0.0),
+    ]
+    total = rules[0]
+    for r in rules[1:]:
+        total = total + F.coalesce(r, F.lit(0.0))
+    return F.least(F.lit(1.0), total)
+
+
+def blended_score(question, instruction, title, penalty, has_instructions: bool = True, floor: float = 0.0):
+    """Cosines with questions, instructions and the title, weighted, less a share of the penalty."""
+    w = INSTRUCTION if has_instructions else 0.0
+    raw = (QUESTION * question + w * instruction + TITLE * title) / (QUESTION + w + TITLE)
+    return F.greatest(F.lit(floor), raw * (1 - PENALTY * penalty))
+
+
+def clean_for_scoring(body, boilerplate: list[str]):
+    """Text without markdown images, link targets, punctuation and boilerplate words."""
+    t = F.regexp_replace(F.regexp_replace(F.lower(body), r"!\[[^\]]*\]\([^)]*\)", " "), r"\]\([^)]*\)", " ")
+    words = F.filter(F.split(F.regexp_replace(t, r"(?U)[^\w\s]", " "), r"(?U)\s+"), lambda w: (w != "") & ~w.isin(boilerplate) if boilerplate else w != "")
+    return F.array_join(words, " ")
+
+
+def link_title(anchor, target):
+    """A short anchor, else the last two parts of the path."""
+    parts = F.filter(F.split(url.path(target), "/"), lambda s: s != "")
+    tail = F.regexp_replace(F.array_join(F.slice(parts, F.greatest(F.lit(1), F.size(parts) - 1), 2), " "), "[-_]", " ")
+    words = F.size(F.split(F.trim(F.coalesce(anchor, F.lit(""))), r"\s+"))
+    return F.when((F.trim(F.coalesce(anchor, F.lit(""))) != "") & (words <= 14), F.trim(anchor)).otherwise(tail)

@@ -174,3 +174,40 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("f").count() >= events.select("user_id").distinct().count()
+
+
+def test_acquisition(spark):
+    from citeloom.operators import acquire
+
+    long = "word " * 60
+    static = acquire.from_table({"https://a.com/1": (long, "<p>"), "https://a.com/2": ("thin", "<p>"), "https://b.com/1": ("x" * 300, "<p>")})
+    render = acquire.from_table({"https://a.com/2": (long + "rendered", "<p>")})
+    gate = lambda t, h: (len(t.strip()) >= 250 and "x" not in t, "thin")
+    pages = spark.createDataFrame([("https://a.com/1",), ("https://a.com/2",), ("https://b.com/1",), ("https://b.com/private",), ("https://c.com/",), ("https://d.com/",)], "url string")
+    robots = spark.createDataFrame([("b.com", "User-agent: *\nDisallow: /private")], "domain string, robots string")
+    cache = spark.createDataFrame([("https://d.com/", "old", 1), ("https://d.com/", "kept", 2)], "u string, text string, fetched_at int").select(F.sha2("u", 256).alias("key"), "text", "fetched_at")
+    got = {r["url"]: r for r in acquire.acquire(pages, cache, lambda u: acquire.hybrid(u, static, render, gate), robots=robots, delay=0.0).collect()}
+    assert {u: (r["status"], r["backend"]) for u, r in got.items()} == {"https://a.com/1": ("ok", "static"), "https://a.com/2": ("ok", "render"), "https://b.com/1": ("ok", "static"), "https://b.com/private": ("gate_failed", None), "https://c.com/": ("error", None), "https://d.com/": ("cached", "cache")}
+    assert got["https://b.com/1"]["reason"].startswith("rescued") and got["https://d.com/"]["text"] == "kept"
+
+
+def test_audit(spark):
+    from citeloom.operators import audit
+
+    t = spark.createDataFrame([("E", "Q", "1", "q1", "alpha beta", "", False, 1), ("E", "Q", "2", "q1", "alpha betas", "", False, 2), ("E", "Q", "3", None, "omega", "", False, 3)], "entity string, question string, claim_id string, quote_id string, value string, quote string, is_list boolean, ord int")
+    a = spark.createDataFrame([("E", "Q", v, "", ok, k) for k, (v, ok) in enumerate([("alpha beta", True), ("Alpha betas!", True), ("users 1,000", False), ("new thing", True), ("wrong thing here", False), ("None (not disclosed)", False)])], "entity string, question string, value string, quote string, verified boolean, ord int")
+    x = spark.createDataFrame([("E", "users 1,000", "dynamic_counter")], "entity string, statement string, category string")
+    r = audit.audit(t, a, x).first()
+    assert (r["active"], r["tp"], r["redundant"], r["possible_gap"], r["hallucination"], r["dynamic_neutral"]) == (3, 1, 1, 1, 1, 2)
+    assert r["recall_full"] == round(2 / 3, 4) and audit.macro(audit.audit(t, a, x), ["question"]).count() == 2
+    assert audit.name_contained("Acme Inc", "Acme Robotics GmbH") and not audit.name_contained("Acme", "Zeta")
+
+
+def test_link_scores_by_vectors(spark):
+    df = spark.createDataFrame([("p", "https://t.com/a", [1.0, 0.0]), ("p", "https://t.com/b", [0.0, 1.0])], "page string, target string, vector array<double>")
+    q = spark.createDataFrame([("q", [1.0, 0.2])], "question string, vector array<double>")
+    got = {r["target"]: r["score"] for r in links.embedding_scores(df, q, [1.0, 0.0], [0.0, 1.0]).collect()}
+    assert got["https://t.com/a"] > 1 > got["https://t.com/b"]
+    rows = spark.createDataFrame([("", "", "https://t.com/a/b/c/7"), ("Our contract manufacturing services", "they help many firms with their parts", "https://t.com/x")], "anchor string, context string, target string")
+    assert [round(r[0], 2) for r in rows.select(links.structural_penalty(F.col("anchor"), F.col("context"), F.col("target"), ["menu"])).collect()] == [0.40, 0.0]
+    assert [r[0] for r in rows.select(links.link_title(F.col("anchor"), F.col("target"))).collect()] == ["c 7", "Our contract manufacturing services"]
