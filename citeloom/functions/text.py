@@ -208,3 +208,56 @@ def whole_number_text(x: Column) -> Column:
 def match_label(verified: Column, score: Column) -> Column:
     """The label that a ledger shows: exact at 100, fuzzy if verified, else none."""
     return F.when(verified & (score >= 100), "exact").when(verified, "fuzzy").otherwise("none")
+
+
+def elapsed_long(seconds: Column) -> Column:
+    """Seconds as 1d 2h 3m 4s without leading zero parts."""
+    s = F.floor(seconds).cast("bigint")
+    d, h, m = F.floor(s / 86_400), F.floor(s / 3_600) % 24, F.floor(s / 60) % 60
+    part = lambda when, x, unit: F.when(when, F.concat(x.cast("bigint").cast("string"), F.lit(unit)))
+    return F.concat_ws(" ", part(d > 0, d, "d"), part(s >= 3_600, h, "h"), part(s >= 60, m, "m"), part(F.lit(True), s % 60, "s"))
+
+
+def search_query(name: Column, categories: Column) -> Column:
+    """What to ask a search engine for a company's home page."""
+    first = F.trim(F.element_at(F.split(F.coalesce(categories, F.lit("")), "[,;|]"), 1))
+    return F.concat_ws(" ", F.trim(name), F.lit("official website"), F.when(first != "", first))
+
+
+def digest_claims(line: Column) -> Column:
+    """The part of a digest line that states something: after Top, without item counts; null without a citation."""
+    at = F.instr(line, "Top: ")
+    top = F.trim(F.regexp_replace(F.substring(line, at + 5, F.length(line)), r"\s*\(\d+ items\)", ""))
+    return F.when((at > 0) & has_citation(line), top)
+
+
+def natural_question(name: Column, instruction: Column) -> Column:
+    """The instruction's first sentence that asks, else the name."""
+    asked = F.regexp_extract(F.coalesce(instruction, F.lit("")), r"(?:^|[.!?]\s+)([^.!?]*\?)", 1)
+    return F.when(F.trim(asked) != "", F.trim(asked)).otherwise(name)
+
+
+def hypothesis(question: Column, entity: Column, value: Column) -> Column:
+    """A statement to hold against a quote; yes and no give the question's polarity."""
+    said = bool_class(value)
+    return (
+        F.when(said == "yes", F.concat(F.lit("For "), entity, F.lit(" it is true: "), question))
+        .when(said == "no", F.concat(F.lit("For "), entity, F.lit(" it is not true: "), question))
+        .otherwise(F.concat(F.lit("For "), entity, F.lit(", the answer to '"), question, F.lit("' is "), value, F.lit(".")))
+    )
+
+
+def classify(raw: Column, rules: list[tuple[str, list[str]]], other: str) -> Column:
+    """The name of the first rule of which the text holds a word, in any case."""
+    out = F.lit(other)
+    for name, words in reversed(rules):
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | F.upper(F.coalesce(raw, F.lit(""))).contains(w.upper())
+        out = F.when(hit, F.lit(name)).otherwise(out)
+    return out
+
+
+def first_url(raw: Column) -> Column:
+    found = F.regexp_extract(F.coalesce(raw, F.lit("")), r"(https?://[^\s,;)>\]]+)", 1)
+    return F.when(found != "", found)

@@ -162,14 +162,14 @@ def embedding_rows(spark, d):
 
 def filter_routing(spark, d):
     e = embedding_rows(spark, d)
-    q = e.where("url < 6").select(F.concat(F.lit("q"), F.col("url").cast("string")).alias("question"), "vector")
+    q = e.where("url % 50 = 0").select(F.concat(F.lit("q"), F.col("url").cast("string")).alias("question"), "vector")
     out = routing.route(routing.question_scores(e.select("url", "vector"), q))
     return out.select("url", "question", F.round("score", 6).alias("score"), "included", "reason")
 
 
 def routing_counterfactual(spark, d):
     e = embedding_rows(spark, d)
-    q = e.where("url < 6").select(F.concat(F.lit("q"), F.col("url").cast("string")).alias("question"), "vector", "label")
+    q = e.where("url % 50 = 0").select(F.concat(F.lit("q"), F.col("url").cast("string")).alias("question"), "vector", "label")
     log = routing.route(routing.question_scores(e.select("url", "vector"), q.select("question", "vector")))
     found = e.select("url", "label").join(q.select("question", "label"), "label").select("url", "question")
     return routing.counterfactual(log, found, [0.0, 0.25, 0.5, 0.75])
@@ -203,7 +203,7 @@ al AS (SELECT coalesce(tr.entity, an.entity) AS entity, coalesce(tr.question, an
   FROM tr FULL JOIN an ON tr.entity = an.entity AND tr.question = an.question AND tr.norm = an.norm)"""
 _COS = "list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)))"
 _ROUTE = f"""e AS (SELECT vec_id AS url, list_transform(embedding, lambda x: x::DOUBLE) AS e, label FROM embeddings),
-s AS (SELECT a.url, 'q' || b.url AS question, {_COS} AS score, a.label = b.label AS hit FROM e a JOIN e b ON b.url < 6)"""
+s AS (SELECT a.url, 'q' || b.url AS question, {_COS} AS score, a.label = b.label AS hit FROM e a JOIN e b ON b.url % 50 = 0)"""
 ORACLES = {
     "auc_by_source": f"""WITH {_SL}, r AS (SELECT source, label, rank() OVER (PARTITION BY source ORDER BY score) + (count(*) OVER (PARTITION BY source, score) - 1) / 2 AS r FROM sl), t AS (SELECT source, {_AUC} FROM r GROUP BY 1)
 SELECT source, p AS positives, q AS negatives, round(CASE WHEN p > 0 AND q > 0 THEN (s - p * (p + 1) / 2) / (p * q) END, 6)::DOUBLE AS auc FROM t""",

@@ -13,7 +13,7 @@ from .relations import CLAIMS, claims, read
 
 
 def _cell_claims(spark, d):
-    rows = claims(spark, d).where("value is not null and source_url < 'https://orders.example.com/2'")
+    rows = claims(spark, d).where("value is not null")
     return ev.claim_ids(rows).select("entity", "question", "claim_id", F.when(F.col("score") > 80, "Yes").when(F.col("score") > 70, "no.").otherwise(F.trim(F.regexp_replace("value", " x$", ""))).alias("value"), "ord")
 
 
@@ -54,7 +54,7 @@ def extract_merge(spark, d):
 
 def page_cache(spark, d):
     pages = read(spark, d, "pages").select("url", "page_id")
-    cache = pages.where("page_id % 3 = 0").select(F.sha2("url", 256).alias("key"), F.col("url").alias("text"), F.col("page_id").alias("fetched_at"))
+    cache = pages.where("contains(url, '/en/')").select(F.sha2("url", 256).alias("key"), F.col("url").alias("text"), F.col("page_id").alias("fetched_at"))
     hits, misses = tables.from_cache(pages, cache)
     return hits.select("url", F.lit("cached").alias("status")).union(misses.select("url", F.lit("fetch"))).groupBy("status").agg(F.count("*").alias("n"))
 
@@ -99,7 +99,7 @@ QUERIES = {f.__name__: f for f in (summary_answers, citation_gate, theme_fallbac
 
 _CC = f"""{CLAIMS}, cc AS (SELECT entity, question, 'C' || CASE WHEN n < 10000 THEN lpad(n::VARCHAR, 4, '0') ELSE n::VARCHAR END AS claim_id,
   CASE WHEN score > 80 THEN 'Yes' WHEN score > 70 THEN 'no.' ELSE trim(regexp_replace(value, ' x$', '')) END AS value, ord
-  FROM (SELECT *, row_number() OVER (ORDER BY ord) AS n FROM claims WHERE value IS NOT NULL AND source_url < 'https://orders.example.com/2')),
+  FROM (SELECT *, row_number() OVER (ORDER BY ord) AS n FROM claims WHERE value IS NOT NULL)),
 cs AS (SELECT *, CASE value WHEN 'Yes' THEN 'Yes' WHEN 'no.' THEN 'No' END AS side FROM cc)"""
 ORACLES = {
     "summary_answers": f"""WITH {_CC}, o AS (SELECT *, row_number() OVER (PARTITION BY entity, question ORDER BY ord) AS k FROM cs WHERE side IS NULL),
@@ -113,7 +113,7 @@ r AS (SELECT *, CASE WHEN b = 'C9999999' THEN b ELSE '' END AS invented, CASE WH
 SELECT entity, question, invented = '' AND uncited = 0 AND missed = '' AS passed, invented, uncited::BIGINT AS uncited, missed FROM r""",
     "theme_fallback": f"""WITH {_CC}, t AS (SELECT entity, question, value AS theme, count(*) AS n, string_agg(claim_id, ', ' ORDER BY claim_id) AS ids FROM cc GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY entity, question ORDER BY n DESC, theme) AS k FROM t)
 SELECT entity, question, string_agg(theme || ' [' || ids || ']', chr(10) ORDER BY k) FILTER (k <= 3) || CASE WHEN max(k) > 3 THEN ' (more in Provenance)' ELSE '' END AS fallback FROM r GROUP BY ALL""",
-    "page_cache": """WITH c AS (SELECT DISTINCT url FROM pages WHERE page_id % 3 = 0) SELECT CASE WHEN url IN (SELECT url FROM c) THEN 'cached' ELSE 'fetch' END AS status, count(*) AS n FROM pages GROUP BY 1""",
+    "page_cache": """WITH c AS (SELECT DISTINCT url FROM pages WHERE contains(url, '/en/')) SELECT CASE WHEN url IN (SELECT url FROM c) THEN 'cached' ELSE 'fetch' END AS status, count(*) AS n FROM pages GROUP BY 1""",
     "replay_pages": """SELECT DISTINCT 'e' || user_id AS entity, 'https://p/' || (event_id % 50) AS url, 0 AS depth FROM events WHERE event_type IN ('view', 'click')""",
     "unpivot_truth": """WITH f AS (SELECT 'e' || max(CASE WHEN p_partkey % 3 = 0 THEN p_partkey END) OVER (ORDER BY p_partkey) AS entity, * FROM part),
 l AS (SELECT entity, 'name' AS question, p_partkey, unnest(string_split(p_name, ' ')) AS value FROM f UNION ALL SELECT entity, 'brand', p_partkey, CASE WHEN p_size > 45 THEN 'None (not disclosed)' ELSE p_brand END FROM f)

@@ -62,10 +62,9 @@ def top_links(spark, d):
 
 
 def crawl_depth(spark, d):
-    line = read(spark, d, "lineitem").where("l_partkey < 60 and l_suppkey < 60")
-    edges = line.select(F.col("l_partkey").alias("page"), F.col("l_suppkey").alias("target"), F.lit(1.0).alias("score"), F.col("l_orderkey").alias("ord"))
-    seeds = spark.range(5).select(F.col("id").alias("url"))
-    return links.crawl(edges, seeds, max_depth=3, budget=10_000)
+    edges = read(spark, d, "lineitem").select(F.col("l_partkey").alias("page"), F.col("l_suppkey").alias("target"), F.lit(1.0).alias("score"), F.col("l_orderkey").alias("ord"))
+    seeds = read(spark, d, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("url"))
+    return links.crawl(edges, seeds, max_depth=3, budget=10_000_000)
 
 
 def chunk_windows(spark, d):
@@ -134,8 +133,8 @@ SELECT source, doc_id, round(raw, 6)::DOUBLE AS raw, round(CASE WHEN max(raw) OV
     "top_links": """WITH s AS (SELECT l_orderkey AS page, l_partkey AS target, l_quantity / 50 AS score, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity / 50 DESC, l_linenumber * 1000000 + l_partkey) AS rank FROM lineitem),
 g AS (SELECT *, max(score) OVER (PARTITION BY page) AS best FROM s)
 SELECT page, target, score, rank::INT AS rank FROM g WHERE (rank <= 3 AND score >= 0.9) OR (best < 0.9 AND rank <= 2)""",
-    "crawl_depth": """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS page, l_suppkey AS target FROM lineitem WHERE l_partkey < 60 AND l_suppkey < 60),
-w AS (SELECT i AS seed, i AS url, 0 AS depth FROM range(5) t(i) UNION SELECT seed, target, depth + 1 FROM w JOIN e ON w.url = e.page WHERE depth < 3)
+    "crawl_depth": """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS page, l_suppkey AS target FROM lineitem),
+w AS (SELECT p_partkey AS seed, p_partkey AS url, 0 AS depth FROM part WHERE p_partkey % 50 = 0 UNION SELECT seed, target, depth + 1 FROM w JOIN e ON w.url = e.page WHERE depth < 3)
 SELECT seed, url, min(depth)::INT AS depth FROM w GROUP BY 1, 2""",
     "chunk_windows": """WITH n AS (SELECT doc_id, text, CASE WHEN length(text) <= 800 THEN 1 ELSE ceil((length(text) - 800) / 780.0)::INT + 1 END AS n FROM documents),
 c AS (SELECT doc_id, text, unnest(range(least(n, 40)))::INT AS chunk FROM n)

@@ -137,3 +137,14 @@ def test_chunks(spark):
 def test_vectors(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<double>, b array<double>")
     assert [round(r[0], 6) for r in df.select(vector.cosine(F.col("a"), F.col("b"))).collect()] == [0.707107, 0.0]
+
+
+def test_small_texts(spark):
+    assert spark.range(1).select(text.elapsed_long(F.lit(93784)), text.elapsed_long(F.lit(59))).first()[:] == ("1d 2h 3m 4s", "59s")
+    assert spark.range(1).select(text.search_query(F.lit(" Acme "), F.lit("robots, tools"))).first()[0] == "Acme official website robots"
+    assert one(spark, "3 items across 2 themes. Top: Oslo [C0001] (2 items); Rome (1 items)", text.digest_claims) == "Oslo [C0001]; Rome" and one(spark, "no top", text.digest_claims) is None
+    assert one(spark, "Be brief. Where is it? Say so.", lambda x: text.natural_question(F.lit("HQ"), x)) == "Where is it?" and one(spark, None, lambda x: text.natural_question(F.lit("HQ"), x)) == "HQ"
+    assert one(spark, "see Dead link https://x.org/a, ok", text.first_url) == "https://x.org/a"
+    assert one(spark, "dead link", lambda x: text.classify(x, [("broken", ["dead", "404"]), ("moved", ["moved"])], "ok")) == "broken"
+    assert one(spark, "no", lambda x: text.hypothesis(F.lit("Public?"), F.lit("Acme"), x)) == "For Acme it is not true: Public?"
+    assert one(spark, "one.two", text.slug) == "one-two" and one(spark, "```json\n{}\n```", text.strip_json_fence) == "{}"
