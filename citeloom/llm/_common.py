@@ -205,16 +205,21 @@ def components(edges: DataFrame) -> DataFrame:
     link = "a bigint, b bigint"
     now = checkpoint(edges.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).where("a <> b").mapInArrow(_contract, link))
     last = None
+    edge_count = now.count()
     while True:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k")).select("a", F.least("a", "m").alias("m"), "k")
+        # a node with many edges would gather them in one task; there are at most 1000 of those, sent to every task
+        many = max(200, 2 * edge_count // 1000)
+        hot, cold = least.where(F.col("k") > many).select("a", "m"), least.where(F.col("k") <= many).select("a", "m")
+        up = both.where("b > a")
+        large = up.join(F.broadcast(hot), "a").union(up.join(F.broadcast(hot.select("a")), "a", "left_anti").join(cold, "a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         best = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(best, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = checkpoint(small.union(best.select("a", F.col("m").alias("b"))).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == last:
             break
-        last = seen
+        last, edge_count = seen, seen[0]
     roots = now.groupBy("a").agg(F.min("b").alias("b"))
     return roots.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
