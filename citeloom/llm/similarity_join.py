@@ -15,9 +15,9 @@ never the links themselves, so a group of copies makes rows in proportion to its
 Equal vectors are one row with a weight before all that.
 
 Defined cases: vectors that are null, empty or zero, or hold nulls or values that are not finite, link with nothing
-and keep themselves; vectors of different lengths link with nothing across lengths; rows that share an id count
-as separate vectors for links, and share a component; a null id is kept and never a component; an empty table
-gives an empty result; other columns are never read.
+and keep themselves; vectors of different lengths link with nothing across lengths; equal rows that
+share an id count as vectors of their own, different vectors under one id add up their links and share a component;
+a null id is kept and never a component; an empty table gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations
@@ -206,9 +206,9 @@ def similarity_join(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     eps = (2 - 2 * cosine) ** 0.5
     narrow = pick(vectors, id=id_col, vec=vector_col).select(F.col("id").cast("bigint").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
     units = checkpoint(narrow.mapInArrow(_unit, "id bigint, dim int, vec binary"))
-    # equal unit vectors are one row; rep names it even where an id is null
+    # equal unit vectors are one row; rep names it even where an id is null, above all ids
     distinct = units.where("vec is not null").groupBy("vec", "dim").agg(F.min("id").alias("id"), F.count("*").alias("weight"))
-    distinct = checkpoint(distinct.withColumn("rep", F.coalesce("id", F.xxhash64("vec"))).select("rep", "dim", "vec", "weight"))
+    distinct = checkpoint(distinct.withColumn("rep", F.coalesce("id", F.lit(1 << 62) + F.pmod(F.xxhash64("vec"), F.lit(1 << 61)))).select("rep", "dim", "vec", "weight"))
     axes = principal(distinct)
     cells = distinct.mapInArrow(_grid(axes, eps), "rep bigint, dim int, vec binary, weight bigint, cell binary")
     # few partitions, so that blocks are full whatever the number of shuffle partitions

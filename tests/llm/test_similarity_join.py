@@ -48,3 +48,9 @@ def test_one_large_group_of_copies_makes_few_rows(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert sj.similarity_join(df).count() == 0
+
+
+def test_null_ids_and_repeated_ids(spark):
+    df = spark.createDataFrame([(None, [1.0, 0.01], "a"), (5, [1.0, 0.0], "b"), (5, [0.0, 1.0], "c"), (9, [1.0, 0.02], None)], "vec_id bigint, embedding array<double>, rep string")
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in sj.similarity_join(df).collect()), key=str)
+    assert got == [(5, 2, 5, True), (5, 2, 5, True), (9, 2, 5, False), (None, 2, None, True)]
