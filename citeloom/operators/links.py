@@ -225,3 +225,21 @@ def link_title(anchor, target):
     tail = F.regexp_replace(F.array_join(F.slice(parts, F.greatest(F.lit(1), F.size(parts) - 1), 2), " "), "[-_]", " ")
     words = F.size(F.split(F.trim(F.coalesce(anchor, F.lit(""))), r"\s+"))
     return F.when((F.trim(F.coalesce(anchor, F.lit(""))) != "") & (words <= 14), F.trim(anchor)).otherwise(tail)
+
+
+def table_rows(pages: DataFrame) -> DataFrame:
+    """(page, place, row, cells) of all HTML tables of pages (url, body)."""
+    tag = lambda names: re.compile(rf"<(?:{names})\b[^>]*>(.*?)(?=</(?:{names})\s*>|<(?:{names})\b|</table|\Z)", re.I | re.S)
+    rows_of, cells_of = tag("tr"), tag("td|th")
+    plain = lambda s: " ".join(html.unescape(re.sub(r"<[^>]*>", " ", s)).split())
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for u, body in zip(f["url"], f["body"], strict=True):
+                for t, table in enumerate(re.findall(r"(?is)<table\b[^>]*>(.*?)(?:</table\s*>|\Z)", body or "")):
+                    for r, row in enumerate(rows_of.findall(table)):
+                        out.append((u, t, r, [plain(c) for c in cells_of.findall(row)]))
+            yield pd.DataFrame(out, columns=["page", "place", "row", "cells"])
+
+    return pages.select("url", "body").mapInPandas(run, "page string, place int, row int, cells array<string>")
