@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 RADIX = np.uint64(0x9E3779B97F4A7C15)
 RADIX_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Text bytes that one numpy pass handles; bounds the memory of a Python worker.
-PASS_BYTES = 3_000_000
+PASS_BYTES = 2_000_000
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True

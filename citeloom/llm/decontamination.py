@@ -5,7 +5,7 @@ benchmark's own vocabulary; runs of other words, which no phrase can cross, shri
 shard's suffix array gives its Burrows-Wheeler transform, a wavelet tree over that gives ranks, and
 backward search finds the rows of all phrases at once. Occurrences are located by walking to the nearest
 sampled suffix, and their word spans are merged per document. Nothing is shuffled: the phrases go to the
-documents, in blocks of bounded size.
+documents, and a benchmark beyond a bound goes in several passes.
 
 Defined cases: a null or empty text has no words and no hits; an item without words has no window; an item
 with fewer words than the window is one window of its own length; repeated items each count; empty tables
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, SpanHash, ddl, named_again, numbered, passes, pick, row_bounds, spans, utf8
+from ._common import LOWER, SpanHash, checkpoint, ddl, named_again, numbered, passes, pick, row_bounds, spans, utf8
 
 WORD = np.zeros(256, bool)
 WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -200,108 +200,114 @@ class Phrases:
         return first, length, rows[first], item
 
 
-def _shards(blocks: list[Phrases], with_text: bool, with_spans: bool, keep: bool = False):
-    """keep: all input columns but the last, the text, come before the facts that a cleaned row needs."""
+def _shards(phrases, *, text: bool, spans_too: bool, keep: int | None = None, last: bool = True):
+    """A pass over documents, the text in the last column; phrases: the broadcast windows of its items.
+
+    Two columns before the text hold what earlier passes have found, a bit for each word and the items; an earlier pass
+    gives the same columns again. The last one gives the facts of a document, or with keep its first keep columns with
+    the text without hits and the counts of words and hits.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHash()
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            data, offsets = utf8(texts)
+            raw, offsets = utf8(batch.column(batch.num_columns - 1))
             for i, j in passes(offsets):
-                out = one(batch.column(0).slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], texts.slice(i, j - i), hasher)
-                if keep:
-                    own = [*(c.slice(i, j - i) for c in batch.columns[:-1]), out["clean_text"], out["n_words"], out["n_hit"]]
-                    out = pa.RecordBatch.from_arrays(own, names=[*batch.schema.names[:-1], "text_of", "words_of", "hit_of"])
-                yield out
-
-    def one(ids, raw, offsets, texts, hasher) -> pa.RecordBatch:
-        n = len(ids)
-        data = LOWER[raw]
-        starts, ends, rows = spans(WORD[data], offsets)
-        hashes = hasher(data, starts, ends)
+                yield one(batch.slice(i, j - i), raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], hasher)
+
+    def one(part: pa.RecordBatch, raw: np.ndarray, offsets: np.ndarray, hasher: SpanHash) -> pa.RecordBatch:
+        n = len(part)
+        low = LOWER[raw]
+        starts, ends, rows = spans(WORD[low], offsets)
+        hashes = hasher(low, starts, ends)
         bounds = row_bounds(rows, n)
-        edge, found = np.zeros(len(starts) + 1, np.int64), []
-        for block in blocks:
-            first, length, row, item = block.occurrences(hashes, rows)
-            np.add.at(edge, first, 1)
-            np.add.at(edge, first + length, -1)
-            found.append(np.unique(np.stack([row, block.item_ids[item]], 1), axis=0) if len(row) else np.zeros((0, 2), np.int64))
+        edge = np.zeros(len(starts) + 1, np.int64)
+        first, length, row, item = phrases.value.occurrences(hashes, rows)
+        np.add.at(edge, first, 1)
+        np.add.at(edge, first + length, -1)
         hit = np.cumsum(edge)[:-1] > 0
-        pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
+        pairs = np.stack([row, phrases.value.item_ids[item]], 1)
+        before = part.column(part.num_columns - 3)
+        for k, (bits, items) in enumerate(zip(before, part.column(part.num_columns - 2), strict=True)) if before.null_count < n else ():
+            if bits.as_py():
+                hit[bounds[k] : bounds[k + 1]] |= np.unpackbits(np.frombuffer(bits.as_py(), np.uint8), count=bounds[k + 1] - bounds[k]).astype(bool)
+                pairs = np.concatenate([pairs, [(k, x) for x in items.as_py()]])
+        pairs = np.unique(pairs.astype(np.int64), axis=0)
         of = row_bounds(pairs[:, 0], n)
-        n_hit = reduce_sum(hit, bounds)
         item_lists = [pairs[of[k] : of[k + 1], 1].tolist() for k in range(n)]
-        out_spans, clean = [], []
+        total = np.concatenate([[0], np.cumsum(hit)])
+        n_hit = total[bounds[1:]] - total[bounds[:-1]]
+        lists = pa.array(item_lists, pa.list_(pa.int64()))
+        if not last:
+            bits = [np.packbits(hit[bounds[k] : bounds[k + 1]]).tobytes() if n_hit[k] else None for k in range(n)]
+            return pa.RecordBatch.from_arrays([*part.columns[:-3], pa.array(bits, pa.binary()), lists, part.columns[-1]], names=part.schema.names)
+        found, clean = [], []
         for k in range(n):
             own = []
-            if (with_spans or with_text) and n_hit[k]:
-                a = hit[bounds[k] : bounds[k + 1]].astype(np.int8)
-                turn = np.diff(np.concatenate([[0], a, [0]]))
-                own = list(zip((starts[bounds[k] + np.flatnonzero(turn == 1)] - offsets[k]).tolist(), (ends[bounds[k] + np.flatnonzero(turn == -1) - 1] - offsets[k]).tolist(), strict=True))
-            out_spans.append([{"start": s, "end": e} for s, e in own] if with_spans else None)
-            if with_text and own:
-                body, parts, last = raw[offsets[k] : offsets[k + 1]].tobytes(), [], 0
-                for s, e in own:
-                    parts.append(body[last:s])
-                    last = e
-                clean.append(b"".join([*parts, body[last:]]).decode())
+            if (spans_too or text) and n_hit[k]:
+                turn = np.diff(np.concatenate([[0], hit[bounds[k] : bounds[k + 1]].astype(np.int8), [0]]))
+                begin, end = bounds[k] + np.flatnonzero(turn == 1), bounds[k] + np.flatnonzero(turn == -1) - 1
+                own = list(zip((starts[begin] - offsets[k]).tolist(), (ends[end] - offsets[k]).tolist(), strict=True))
+            found.append([{"start": x, "end": y} for x, y in own] if spans_too else None)
+            if text and own:
+                body, cut = raw[offsets[k] : offsets[k + 1]].tobytes(), 0
+                kept = []
+                for x, y in own:
+                    kept.append(body[cut:x])
+                    cut = y
+                clean.append(b"".join([*kept, body[cut:]]).decode())
             else:
-                clean.append(texts[k].as_py() if with_text else None)
+                clean.append(part.column(part.num_columns - 1)[k].as_py() if text else None)
+        cleaned, n_words = pa.array(clean, pa.string()), pa.array(np.diff(bounds), pa.int64())
+        if keep is not None:
+            return pa.RecordBatch.from_arrays([*part.columns[:keep], cleaned, n_words, pa.array(n_hit, pa.int64())], names=[*part.schema.names[:keep], "text_of", "words_of", "hit_of"])
         return pa.record_batch(
             {
-                "id": ids,
-                "n_words": np.diff(bounds),
+                "id": part.column(0),
+                "n_words": n_words,
                 "n_hit": n_hit,
                 "n_items": np.diff(of),
                 "items_sha256": [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in item_lists],
                 "contaminated": n_hit > 0,
-                "item_ids": pa.array(item_lists, pa.list_(pa.int64())),
-                "spans": pa.array(out_spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                "clean_text": pa.array(clean, pa.string()),
+                "item_ids": lists,
+                "spans": pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+                "clean_text": cleaned,
             }
         )
 
     return run
 
 
-def reduce_sum(hit: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(hit)])
-    return total[bounds[1:]] - total[bounds[:-1]]
+def _scan(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, pass_chars: int, schema: str, **options) -> DataFrame:
+    """rows, the text last, scanned for all items: in one pass, or in as many as the items' texts need."""
+    items = pick(benchmark, item=item_col, text=item_text_col).where("item is not null").select(F.col("item").cast("bigint").alias("item"), "text")
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = -(-size // pass_chars) or 1
+    state = rows.select(*rows.columns[:-1], F.lit(None).cast("binary").alias("hit_before"), F.lit(None).cast("array<bigint>").alias("items_before"), rows.columns[-1])
+    for k in range(n):
+        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else items
+        got = own.toArrow()  # about pass_chars characters
+        phrases = rows.sparkSession.sparkContext.broadcast(Phrases(np.asarray(got["item"], dtype=np.int64), got["text"].combine_chunks(), window))
+        if k == n - 1:
+            return state.mapInArrow(_shards(phrases, **options), schema)
+        state = checkpoint(state.mapInArrow(_shards(phrases, last=False, **options), ddl(state)))
 
 
-def benchmark_blocks(benchmark: DataFrame, *, item_col: str, text_col: str, window: int, block_items: int) -> list[list[Phrases]]:
-    """The items' phrases; each inner list is one pass over the documents and stays under block_items items."""
-    rows = pick(benchmark, item=item_col, text=text_col).where(F.col("item").isNotNull()).toPandas()
-    out = []
-    for i in range(0, len(rows), block_items):
-        part = rows.iloc[i : i + block_items]
-        out.append(Phrases(part["item"].to_numpy(np.int64), pa.array(part["text"].tolist(), pa.string()), window))
-    return out
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_items: int = 20_000, max_items: int = 2_000_000, spans: bool = True, clean_text: bool = True) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, pass_chars: int = 4_000_000, spans: bool = True, clean_text: bool = True) -> DataFrame:
     """One row per document: word and hit counts, the items found, byte spans to remove and the text without them.
 
-    A benchmark beyond max_items is refused rather than broadcast; split it by items and add up the runs.
+    pass_chars: how much item text goes to all tasks at once; a larger benchmark takes several passes.
     """
-    blocks = _checked_blocks(benchmark, item_col, item_text_col, window, block_items, max_items)
-    narrow = pick(docs, id=id_col, text=text_col)
-    kind = narrow.schema["id"].dataType.simpleString()
-    return narrow.mapInArrow(_shards(blocks, clean_text, spans), RESULT.format(id=kind)).withColumnRenamed("id", id_col)
-
-
-def _checked_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_items: int, max_items: int) -> list[Phrases]:
-    n_items = benchmark.count()
-    if n_items > max_items:
-        raise ValueError(f"{n_items} benchmark items; the phrases sent to every task are bounded at {max_items}")
-    return benchmark_blocks(benchmark, item_col=item_col, text_col=text_col, window=window, block_items=block_items)
+    rows = pick(docs, id=id_col, text=text_col)
+    schema = RESULT.format(id=rows.schema["id"].dataType.simpleString())
+    return _scan(rows, benchmark, item_col, item_text_col, window, pass_chars, schema, text=clean_text, spans_too=spans).withColumnRenamed("id", id_col)
 
 
-def without_items(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", n_chars_col: str | None = "n_chars", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_items: int = 20_000, max_items: int = 2_000_000) -> DataFrame:
+def without_items(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", n_chars_col: str | None = "n_chars", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, pass_chars: int = 4_000_000) -> DataFrame:
     """The rows of docs with all windows of the items cut from their texts; rows without any other word go."""
-    blocks = _checked_blocks(benchmark, item_col, item_text_col, window, block_items, max_items)
     flat, at = numbered(docs, text=text_col)
-    out = flat.withColumn("text_in", F.col(at["text"])).mapInArrow(_shards(blocks, True, False, True), f"{ddl(flat)}, text_of string, words_of bigint, hit_of bigint")
+    rows = flat.withColumn("text_in", F.col(at["text"]))
+    out = _scan(rows, benchmark, item_col, item_text_col, window, pass_chars, f"{ddl(flat)}, text_of string, words_of bigint, hit_of bigint", text=True, spans_too=False, keep=len(flat.columns))
     out = out.where((F.col("hit_of") == 0) | (F.col("hit_of") < F.col("words_of")))
     changed = {text_col: F.col("text_of")}
     if n_chars_col in docs.columns:
