@@ -32,7 +32,7 @@ _RAW = frozenset("script style textarea title noscript template svg math iframe
 _SKIP = frozenset("nav aside form footer menu dialog button select datalist head".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense adslot banner banners sponsor sponsored sponsors promo promos promotion promotions sidebar sidebars aside "
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adsbygoogle adslot banner banners sponsor sponsored sponsors promo promos promotion promotions sidebar sidebars aside "
     "comment comments commentlist commentarea discussion disqus respond reply replies cookie cookies consent gdpr notice notices notification notifications alert alerts popup popups modal overlay lightbox "
     "newsletter subscribe subscription signup signin login register share sharing sharebar social related recommended recommendations breadcrumb breadcrumbs pagination pager footer foot menu menus nav navbar navigation "
     "topbar toolbar masthead widget widgets copyright disclaimer skip form search searchbox tags taglist".split()
