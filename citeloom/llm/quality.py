@@ -2,7 +2,7 @@
 
 A document is the average of learned vectors of its words, word pairs and triples and of the character
 3- to 5-grams inside its words, all hashed into one table; a softmax over that average gives the class.
-The table and the softmax are trained on the driver by stochastic gradient descent in numpy, on a bounded
+The table and the softmax are trained in one task by stochastic gradient descent in numpy, on a bounded
 sample of the labelled rows. The softmax is linear in the average, so a score needs one number per table
 entry; executors get that vector (1 MB) and score whole texts in one map, without a shuffle.
 
@@ -28,8 +28,8 @@ from ._common import SpanHash, ddl, mix, numbered, passes, pick, reduce_rows, ro
 #: Code points that separate words: white space of ASCII and the usual wider ones.
 _SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x2028, 0x2029, 0x3000]
 #: Text bytes in one numpy pass; a byte needs about 100 bytes of intermediate arrays.
-_PASS = 1_500_000
-#: The same while training, in the driver's memory.
+_PASS = 1_000_000
+#: The same while training, beside the sample's features.
 _TRAIN_PASS = 250_000
 
 
@@ -173,8 +173,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     known = known.where(train_where) if train_where is not None else known
     known = known.orderBy(F.xxhash64(F.col("id"), F.lit(7)), "id", "label").limit(max_train_docs)
     rows = pick(docs, id=id_col, text=text_col).join(F.broadcast(known), "id")  # known: max_train_docs rows at most
-    got = rows.orderBy("id", "label", "text").limit(2 * max_train_docs).select("label", "text").toArrow()
-    return train(got["text"].combine_chunks() if len(got) else pa.array([], pa.string()), np.asarray(got["label"], dtype=np.int64), **options)
+    sample = rows.orderBy("id", "label", "text").limit(2 * max_train_docs).select("label", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        labels = np.concatenate([np.asarray(b.column(0)) for b in held]) if held else np.zeros(0, np.int64)
+        texts = pa.concat_arrays([b.column(1) for b in held]) if held else pa.array([], pa.string())
+        model = train(texts, labels, **options)
+        yield pa.record_batch({"weight": pa.array([model.weight.astype(np.float32).tobytes()], pa.binary()), "bias": [model.bias]})
+
+    # the sample is one partition, so one task trains, and the driver gets the model alone
+    got = sample.select(F.col("label").cast("bigint").alias("label"), "text").coalesce(1).mapInArrow(run, "weight binary, bias double").collect()
+    return Model(np.frombuffer(got[0]["weight"], np.float32), got[0]["bias"]) if got else train(pa.array([], pa.string()), np.zeros(0, np.int64), **options)
 
 
 def _scores(model: Model):
