@@ -27,7 +27,7 @@ from ._common import mix, passes, pick, reduce_rows, utf8
 from .quality import code_points
 
 UNKNOWN = "und"
-_PASS = 1_500_000
+_PASS = 1_000_000
 _LETTER = re.compile(r"[^\W\d_]")
 
 

@@ -34,7 +34,7 @@ GROUPS = 256
 SIDE, WIDTH, HIDDEN = 2, 12, 24
 _EDGE = VOCABULARY
 _SLICE = 4096
-_PASS = 1_500_000
+_PASS = 1_000_000
 
 
 def _words(raw: np.ndarray, offsets: np.ndarray, hasher: SpanHash) -> tuple[np.ndarray, np.ndarray]:
