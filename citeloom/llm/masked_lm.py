@@ -6,9 +6,8 @@ the word's class and then the word within its class. A document's score is the s
 words, each with the word itself hidden.
 
 The vocabulary is the most frequent words of all documents, from counts over the whole corpus; rarer words fall
-into a number of groups by hash. Training is distributed: in each round every task improves the shared network on the
-documents of its own partition that a hash of their id selects (a fixed share, so the training text grows with the
-corpus), and the networks are averaged, weighted by their training words. Averages are taken by slices of the
+into a number of groups by hash. Training is distributed: in each round every task improves the shared network on all
+documents of its own partition, and the networks are averaged, weighted by their training words. Averages are taken by slices of the
 parameters in two steps, so neither the driver nor a task gathers all networks.
 
 Defined cases: a null or empty text has no words, score 0 and a mean of null; words outside the vocabulary are scored
@@ -81,6 +80,27 @@ def contexts(ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(z - top) and top: one for all rows, or each row's own where that could lose a row."""
+    top = z.max(keepdims=True) if z.size else np.zeros((1, 1), z.dtype)
+    if z.size and top[0, 0] - z.min() > 60:
+        top = z.max(1, keepdims=True)
+    return np.exp(z - top), top
+
+
+def _log_softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    p, top = _exp(z)
+    return z[np.arange(len(z)), at] - np.log(p @ np.ones(p.shape[1], p.dtype)) - top[:, 0]
+
+
+def _softmax_slope(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The softmax of each row, less 1 at its target."""
+    p, _ = _exp(z)
+    p /= (p @ np.ones(p.shape[1], p.dtype))[:, None]
+    p[np.arange(len(p)), at] -= 1
+    return p
+
+
 class Network:
     """vectors: id × WIDTH; inner: places × HIDDEN; to_class: HIDDEN × CLASSES; to_word: class × HIDDEN × PER_CLASS; each softmax has a bias."""
 
@@ -99,49 +119,52 @@ class Network:
         parts = [np.zeros(s, np.float32) if "bias" in n else rng.normal(0, 0.1 if n == "vectors" else s[-2] ** -0.5, s).astype(np.float32) for n, s in cls.shapes.items()]
         return cls(np.concatenate([p.ravel() for p in parts]))
 
-    def hidden(self, context: np.ndarray) -> np.ndarray:
-        return np.tanh(self.vectors[context].reshape(len(context), -1) @ self.inner + self.inner_bias)
+    def inputs(self, context: np.ndarray) -> np.ndarray:
+        return self.vectors.take(context.ravel(), 0).reshape(len(context), -1)
+
+    def hidden(self, x: np.ndarray) -> np.ndarray:
+        return np.tanh(x @ self.inner + self.inner_bias)
+
+    def by_class(self, h: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]], np.ndarray, np.ndarray]:
+        """Words in order of their class, (class, start, end) of each that occurs, and in that order h and the inner softmax's logits."""
+        order = np.argsort(group.astype(np.uint8), kind="stable")
+        bounds = row_bounds(group[order], CLASSES)
+        runs = [(c, bounds[c], bounds[c + 1]) for c in range(CLASSES) if bounds[c] < bounds[c + 1]]
+        h = h.take(order, 0)
+        z = np.empty((len(h), PER_CLASS), h.dtype)
+        for c, i, j in runs:
+            np.matmul(h[i:j], self.to_word[c], out=z[i:j])
+            z[i:j] += self.word_bias[c]
+        return order, runs, h, z
 
     def log_p(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        h = self.hidden(context)
+        h = self.hidden(self.inputs(context))
         group, word = target // PER_CLASS, target % PER_CLASS
-        z = h @ self.to_class + self.class_bias
-        out = z[np.arange(len(z)), group] - np.log(np.exp(z - z.max(1, keepdims=True)).sum(1)) - z.max(1)
-        order = np.argsort(group, kind="stable")
-        bounds = row_bounds(group[order], CLASSES)
-        for c in range(CLASSES):
-            own = order[bounds[c] : bounds[c + 1]]
-            if len(own):
-                z = h[own] @ self.to_word[c] + self.word_bias[c]
-                out[own] += z[np.arange(len(z)), word[own]] - np.log(np.exp(z - z.max(1, keepdims=True)).sum(1)) - z.max(1)
+        out = _log_softmax(h @ self.to_class + self.class_bias, group)
+        order, _, _, z = self.by_class(h, group)
+        out[order] += _log_softmax(z, word[order])
         return out
 
     def step(self, context: np.ndarray, target: np.ndarray, seen: Network, rate: float) -> None:
         """One step of gradient descent with step sizes for each parameter."""
         n = len(target)
-        x = self.vectors[context].reshape(n, -1)
-        h = np.tanh(x @ self.inner + self.inner_bias)
+        x = self.inputs(context)
+        h = self.hidden(x)
         grad = Network(np.zeros_like(self.flat))
         group, word = target // PER_CLASS, target % PER_CLASS
-        z = h @ self.to_class + self.class_bias
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(n), group] -= 1
-        grad.to_class[:], grad.class_bias[:] = h.T @ p, p.sum(0)
+        p = _softmax_slope(h @ self.to_class + self.class_bias, group)
+        one = np.ones(n, p.dtype)
+        grad.to_class[:], grad.class_bias[:] = h.T @ p, one @ p
         back = p @ self.to_class.T
-        order = np.argsort(group, kind="stable")
-        bounds = row_bounds(group[order], CLASSES)
-        for c in range(CLASSES):
-            own = order[bounds[c] : bounds[c + 1]]
-            if len(own):
-                z = h[own] @ self.to_word[c] + self.word_bias[c]
-                p = np.exp(z - z.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                p[np.arange(len(own)), word[own]] -= 1
-                grad.to_word[c], grad.word_bias[c] = h[own].T @ p, p.sum(0)
-                back[own] += p @ self.to_word[c].T
+        order, runs, own, z = self.by_class(h, group)
+        p = _softmax_slope(z, word[order])
+        inner = np.empty_like(own)
+        for c, i, j in runs:
+            grad.to_word[c], grad.word_bias[c] = own[i:j].T @ p[i:j], one[i:j] @ p[i:j]
+            np.matmul(p[i:j], self.to_word[c].T, out=inner[i:j])
+        back[order] += inner
         back *= 1 - h * h
-        grad.inner[:], grad.inner_bias[:] = x.T @ back, back.sum(0)
+        grad.inner[:], grad.inner_bias[:] = x.T @ back, one @ back
         by_place = (back @ self.inner.T).reshape(n * 2 * SIDE, WIDTH)
         flat = context.ravel()
         for k in range(WIDTH):
@@ -187,12 +210,12 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"slice": pa.array([s], pa.int32()), "weight": [w], "values": pa.array([(v / w).astype(np.float32).tolist()], pa.list_(pa.float32()))})
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: float = 1 / 16, rounds: int = 2, rate: float = 0.1, batch_words: int = 2048, fan_in: int = 64, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(network, vocabulary), trained on the given share of all documents."""
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: float = 1, rounds: int = 2, rate: float = 0.1, batch_words: int = 2048, fan_in: int = 64, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(network, vocabulary), trained on all documents, or on a share of them that a hash of the id selects."""
     known = vocabulary(docs, text_col)
     network = Network.start(seed).flat
-    narrow = pick(docs, id=id_col, text=text_col).where("id is not null and text is not null")
-    chosen = narrow.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
+    narrow = pick(docs, id=id_col, text=text_col).where("text is not null")
+    chosen = (narrow if share >= 1 else narrow.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)))).select("text")
     schema = "slice int, weight double, values array<float>"
     for r in range(rounds):
         parts = chosen.mapInArrow(_train(network, known, rate / (1 + r), batch_words), schema)
@@ -215,7 +238,7 @@ def score(docs: DataFrame, network: np.ndarray, known: np.ndarray, *, id_col: st
                 words, rows = _words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], hasher)
                 ids = ids_of(words, known)
                 context = contexts(ids, rows)
-                parts = [net.log_p(context[k : k + 65536], ids[k : k + 65536]) for k in range(0, len(ids), 65536)]
+                parts = [net.log_p(context[k : k + 8192], ids[k : k + 8192]) for k in range(0, len(ids), 8192)]
                 bounds = row_bounds(rows, j - i)
                 total = reduce_rows(np.add, np.concatenate(parts).astype(np.float64) if parts else np.zeros(0), bounds, 0.0)
                 n = np.diff(bounds)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from citeloom.llm import masked_lm as lm
 
@@ -62,3 +63,10 @@ def test_empty_table(spark):
     docs = corpus(spark).where("false")
     net, known = lm.fit(docs)
     assert lm.score(docs, net, known).count() == 0
+
+
+def test_every_document_trains(spark):
+    docs = corpus(spark)
+    unlucky = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) >= 1 << 16).limit(3)
+    for some in (unlucky, docs.where("doc_id is null")):
+        assert (lm.fit(some, rounds=1)[0] != lm.Network.start(5).flat).any()
