@@ -5,33 +5,39 @@ vectors of the four neighbours, each in a place of its own, pass a hidden layer,
 the word's class and then the word within its class. A document's score is the sum of the log-probabilities of its
 words, each with the word itself hidden.
 
-The vocabulary is the most frequent words of all documents, from counts over the whole corpus; rarer words fall
-into a number of groups by hash. Training is distributed: in each round every task improves the shared network on all
+The vocabulary is every word of all documents, with counts over the whole corpus. The most frequent words have an id of
+their own in the network; rarer words fall into a number of groups by hash, and such a word's probability is the group's
+times its share of the group's count, with one count set aside in each group for a word that was never counted. The
+shares of the next most frequent words travel with the network, those of all others are joined. Training is distributed: in each round every task improves the shared network on all
 documents of its own partition, and the networks are averaged, weighted by their training words. Averages are taken by slices of the
 parameters in two steps, so neither the driver nor a task gathers all networks.
 
-Defined cases: a null or empty text has no words, score 0 and a mean of null; words outside the vocabulary are scored
-as their group; equal counts are ordered by hash; repeated rows give repeated results; an empty table gives
+Defined cases: a null or empty text has no words, score 0 and a mean of null; a word that was never
+counted has the share of one count in its group; equal counts are ordered by hash; repeated rows give repeated results; an empty table gives
 an empty result; other columns are never read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import LOWER, SPACE, SpanHash, checkpoint, passes, pick, reduce_rows, row_bounds, spans, utf8
 
 CLASSES, PER_CLASS = 32, 32
 VOCABULARY = CLASSES * PER_CLASS
-#: Groups of words outside the vocabulary; they take the last ids but one, which stands outside a text.
+#: Groups of words without an id of their own; they take the last ids but one, which stands outside a text.
 GROUPS = 256
 SIDE, WIDTH, HIDDEN = 2, 12, 24
 _EDGE = VOCABULARY
+#: Words in groups whose counts every task holds; it only spares rows of the join.
+COMMON = 1 << 16
 _SLICE = 4096
 _PASS = 1_000_000
 
@@ -52,13 +58,45 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({"word": unique.view(np.int64), "n": counts.astype(np.int64)})
 
 
-def vocabulary(docs: DataFrame, text_col: str) -> np.ndarray:
-    """The sorted hashes of the most frequent words and, in step with them, their ids by rank; as rows of one array."""
-    counted = pick(docs, text=text_col).mapInArrow(_counts, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(VOCABULARY - GROUPS).collect()
-    hashes = np.array([r["word"] for r in top], np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    return np.stack([hashes[order], order.astype(np.uint64)])
+@dataclass
+class Vocabulary:
+    """top: the sorted hashes of the most frequent words and, in step with them, their ids by rank, as rows of one array;
+    common: the sorted hashes of the next ones and their counts; totals: the counts of each group, and one; counts: (word, n) of all words."""
+
+    top: np.ndarray
+    common: np.ndarray
+    totals: np.ndarray
+    counts: DataFrame
+
+
+def _group(word: Column) -> Column:
+    return F.pmod(F.shiftrightunsigned(word, 56), F.lit(GROUPS)).cast("int")
+
+
+def vocabulary(docs: DataFrame, text_col: str) -> Vocabulary:
+    counted = checkpoint(pick(docs, text=text_col).mapInArrow(_counts, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+    first = counted.orderBy(F.desc("n"), "word").limit(VOCABULARY - GROUPS + COMMON).toArrow()
+    hashes, n = first["word"].to_numpy().view(np.uint64), first["n"].to_numpy()
+    k = VOCABULARY - GROUPS
+    order, rest = np.argsort(hashes[:k]), np.argsort(hashes[k:])
+    totals = np.ones(GROUPS)
+    for r in counted.groupBy(_group(F.col("word")).alias("g")).agg(F.sum("n").alias("n")).collect():
+        totals[r["g"]] += r["n"]
+    np.subtract.at(totals, ids_of(hashes[:k], np.zeros((2, 0), np.uint64)) - k, n[:k])
+    return Vocabulary(np.stack([hashes[:k][order], order.astype(np.uint64)]), np.stack([hashes[k:][rest], n[k:][rest].astype(np.uint64)]), totals, counted)
+
+
+def shares(words: np.ndarray, ids: np.ndarray, common: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The log of each word's share of its group, 0 for words with an id of their own, and which words' shares are to be joined."""
+    out, rare = np.zeros(len(words)), ids >= VOCABULARY - GROUPS
+    if common.shape[1]:
+        of = np.flatnonzero(rare)
+        at = np.minimum(np.searchsorted(common[0], words[of]), common.shape[1] - 1)
+        same = common[0][at] == words[of]
+        of, at = of[same], at[same]
+        out[of] = np.log(common[1][at] / totals[ids[of] - (VOCABULARY - GROUPS)])
+        rare[of] = False
+    return out, rare
 
 
 def ids_of(words: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -210,7 +248,7 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"slice": pa.array([s], pa.int32()), "weight": [w], "values": pa.array([(v / w).astype(np.float32).tolist()], pa.list_(pa.float32()))})
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: float = 1, rounds: int = 2, rate: float = 0.1, batch_words: int = 2048, fan_in: int = 64, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: float = 1, rounds: int = 2, rate: float = 0.1, batch_words: int = 2048, fan_in: int = 64, seed: int = 5) -> tuple[np.ndarray, Vocabulary]:
     """(network, vocabulary), trained on all documents, or on a share of them that a hash of the id selects."""
     known = vocabulary(docs, text_col)
     network = Network.start(seed).flat
@@ -218,7 +256,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shar
     chosen = (narrow if share >= 1 else narrow.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)))).select("text")
     schema = "slice int, weight double, values array<float>"
     for r in range(rounds):
-        parts = chosen.mapInArrow(_train(network, known, rate / (1 + r), batch_words), schema)
+        parts = chosen.mapInArrow(_train(network, known.top, rate / (1 + r), batch_words), schema)
         some = parts.repartition(fan_in, "slice", F.pmod(F.hash("values"), F.lit(fan_in))).mapInArrow(_average, schema)
         rows = checkpoint(some.repartition("slice").mapInArrow(_average, schema)).orderBy("slice").collect()  # one network
         if rows:
@@ -226,23 +264,31 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shar
     return network, known
 
 
-def score(docs: DataFrame, network: np.ndarray, known: np.ndarray, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, network: np.ndarray, known: Vocabulary, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, log_likelihood, mean_log_likelihood) of every document."""
     narrow = pick(docs, id=id_col, text=text_col)
+    top, common, totals = known.top, known.common, known.totals
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, net = SpanHash(), Network(network)
+        hasher, net, key = SpanHash(), Network(network), TaskContext.get().partitionId() << 40
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
             for i, j in passes(offsets, _PASS):
                 words, rows = _words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], hasher)
-                ids = ids_of(words, known)
+                ids = ids_of(words, top)
                 context = contexts(ids, rows)
                 parts = [net.log_p(context[k : k + 8192], ids[k : k + 8192]) for k in range(0, len(ids), 8192)]
+                within, rare = shares(words, ids, common, totals)
                 bounds = row_bounds(rows, j - i)
-                total = reduce_rows(np.add, np.concatenate(parts).astype(np.float64) if parts else np.zeros(0), bounds, 0.0)
-                n = np.diff(bounds)
-                yield pa.record_batch({"id": batch.column(0).slice(i, j - i), "n_words": n, "log_likelihood": total, "mean_log_likelihood": pa.array(total / np.maximum(n, 1), mask=n == 0)})
+                total = reduce_rows(np.add, np.concatenate(parts) + within if parts else np.zeros(0), bounds, 0.0)
+                open_ = pa.ListArray.from_arrays(pa.array(row_bounds(rows[rare], j - i), pa.int32()), pa.array(words[rare].view(np.int64)))
+                yield pa.record_batch({"id": batch.column(0).slice(i, j - i), "n_words": np.diff(bounds), "sum": total, "key": np.arange(key, key + j - i), "open": open_})
+                key += j - i
 
     kind = narrow.schema["id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"id {kind}, n_words bigint, log_likelihood double, mean_log_likelihood double").withColumnRenamed("id", id_col)
+    held = checkpoint(narrow.mapInArrow(run, f"id {kind}, n_words bigint, sum double, key bigint, open array<bigint>"))
+    share = F.ln(F.coalesce("n", F.lit(1)) / F.element_at(F.lit([float(t) for t in totals]), _group(F.col("word")) + 1))
+    joined = held.select("key", F.explode("open").alias("word")).join(known.counts, "word", "left").groupBy("key").agg(F.sum(share).alias("more"))
+    whole = held.drop("open").join(joined, "key", "left").withColumn("sum", F.col("sum") + F.coalesce("more", F.lit(0.0)))
+    mean = F.when(F.col("n_words") > 0, F.col("sum") / F.col("n_words"))
+    return whole.select(F.col("id").alias(id_col), "n_words", F.col("sum").alias("log_likelihood"), mean.alias("mean_log_likelihood"))

@@ -1,6 +1,7 @@
 """Masked language model: gradients, normalised probabilities, learning, distributed averaging, defined cases."""
 
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -70,3 +71,35 @@ def test_every_document_trains(spark):
     unlucky = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) >= 1 << 16).limit(3)
     for some in (unlucky, docs.where("doc_id is null")):
         assert (lm.fit(some, rounds=1)[0] != lm.Network.start(5).flat).any()
+
+
+def test_every_word_has_its_own_probability(spark, monkeypatch):
+    often = " ".join(f"w{k} w{k} w{k} w{k}" for k in range(lm.VOCABULARY - lm.GROUPS))
+    rare = [f"r{k}" for k in range(1500)]
+    docs = spark.createDataFrame([(0, often), (1, " ".join(rare)), (2, " ".join(rare[:500])), (3, rare[0]), (4, rare[1499]), (None, None)], "doc_id bigint, text string")
+    n = Counter(rare + rare[:500] + [rare[0], rare[1499]])
+    results = []
+    for held in (lm.COMMON, 100, 0):
+        monkeypatch.setattr(lm, "COMMON", held)
+        net, known = lm.fit(docs, rounds=1)
+        got = {r["doc_id"]: r for r in lm.score(docs, net, known).collect()}
+        assert len(got) == 6 and got[None]["log_likelihood"] == 0 and known.counts.count() == len(n) + lm.VOCABULARY - lm.GROUPS
+        results.append([got[k]["log_likelihood"] for k in range(5)])
+    assert np.allclose(results[0], results[1]) and np.allclose(results[0], results[2])
+    hasher, groups = lm.SpanHash(), Counter()
+    data = [np.frombuffer(w.encode(), np.uint8) for w in n]
+    group = {w: int(hasher(d, np.array([0]), np.array([len(d)]))[0]) >> 56 for w, d in zip(n, data, strict=True)}
+    for w in n:
+        groups[group[w]] += n[w]
+    net, known = lm.fit(docs, rounds=1)
+    alone = np.full((1, 2 * lm.SIDE), lm._EDGE)
+    for doc, w in ((3, rare[0]), (4, rare[1499])):
+        of_group = lm.Network(net).log_p(alone, np.array([lm.VOCABULARY - lm.GROUPS + group[w]]))[0]
+        want = of_group + np.log(n[w] / (groups[group[w]] + 1))
+        got = {r["doc_id"]: r["log_likelihood"] for r in lm.score(docs, net, known).collect()}[doc]
+        assert abs(got - want) < 1e-3
+    unseen = spark.createDataFrame([(7, "neverseen")], "doc_id bigint, text string")
+    d = np.frombuffer(b"neverseen", np.uint8)
+    g = int(hasher(d, np.array([0]), np.array([9]))[0]) >> 56
+    want = lm.Network(net).log_p(alone, np.array([lm.VOCABULARY - lm.GROUPS + g]))[0] - np.log(groups[g] + 1)
+    assert abs(lm.score(unseen, net, known).first()["log_likelihood"] - want) < 1e-3
