@@ -3,11 +3,12 @@
 Markup is stripped into lines, one for each block element; elements that hold no article text (menus, sidebars,
 forms, scripts and so on, by tag, role or class) leave a gap of empty lines instead. Text lengths are summed over
 a sliding window of lines. A surge is a window above a threshold, a dive is a window without any text; the lines
-between the dives on either side of a surge are the main text. Where a page marks an article or main element, only
-lines inside it have a length, and gaps inside it are shorter than a window, so they never cut it.
+between the dives on either side of a surge are the main text. Article and main elements are boundaries, which no run of
+lines crosses, and a weight: of the runs inside and those outside of them the side with more text is kept, where text
+inside counts twice. A dropped element inside is a gap shorter than a window, so one alone never cuts an article.
 
 Defined cases: a null or empty page, or one without text, gives an empty text; a page where nothing surges keeps its
-longest run of lines; unclosed and unopened elements, cut-off tags and unknown references are read as browsers do;
+longest run of lines by the same weight; unclosed and unopened elements, cut-off tags and unknown references are read as browsers do;
 repeated rows give repeated results; other columns are never read.
 """
 
@@ -23,6 +24,8 @@ from pyspark.sql import DataFrame
 from ._common import pick
 
 WINDOW, SURGE = 3, 60
+#: What text inside an article or main element counts against text outside.
+WEIGHT = 2
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+>|[^>]*(?:>|\Z))""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z_:@-][a-zA-Z0-9_:.-]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _TOKEN = re.compile(r"[a-z0-9]+|[A-Z][a-z0-9]*")
@@ -82,7 +85,15 @@ def lines(page: str) -> tuple[list[str], list[int], list[bool]]:
 
     def restore() -> None:
         nonlocal dropped, article, link
+        within = article
         _, dropped, article, link = stack[-1] if stack else ("", False, False, False)
+        if within and not article:
+            gap(WINDOW)
+
+    def gap(size: int) -> None:
+        text.extend([""] * size)
+        links.extend([0] * size)
+        inside.extend([article] * size)
 
     def add(piece: str) -> None:
         nonlocal linked
@@ -138,14 +149,13 @@ def lines(page: str) -> tuple[list[str], list[int], list[bool]]:
         skip = name in _SKIP or name == "header" and not article or _unwanted(attributes, article)
         if skip and not dropped:
             flush()
-            gap = 1 if article else WINDOW
-            text.extend([""] * gap)
-            links.extend([0] * gap)
-            inside.extend([article] * gap)
+            gap(1 if article else WINDOW)
         if attributes.endswith("/>") and name not in _BLOCKS:
             continue
         dropped = dropped or skip
-        article = article or (name in ("article", "main") and not dropped)
+        if name in ("article", "main") and not dropped and not article:
+            gap(WINDOW)
+            article = True
         link = link or name == "a"
         stack.append((name, dropped, article, link))
     flush()
@@ -154,9 +164,9 @@ def lines(page: str) -> tuple[list[str], list[int], list[bool]]:
 
 def main_text(page: str | None) -> str:
     text, links, inside = lines(page or "")
-    marked = any(t and i for t, i in zip(text, inside, strict=True))
-    length = [len(t) if (i if marked else 2 * k <= len(t)) else 0 for t, k, i in zip(text, links, inside, strict=True)]
-    kept, best, best_size, i, n = [], (0, 0), 0, 0, len(length)
+    length = [len(t) if 2 * k <= len(t) else 0 for t, k in zip(text, links, strict=True)]
+    # runs (start, end, inside, characters) of lines, and those of them that surge
+    runs, surging, i, n = [], [], 0, len(length)
     while i < n:
         if not length[i]:
             i += 1
@@ -168,13 +178,25 @@ def main_text(page: str | None) -> str:
             size += length[j]
             empty = 0 if length[j] else empty + 1
             j += 1
-        if top >= SURGE or marked:
-            kept.append((i, j))
-        if size > best_size:
-            best, best_size = (i, j), size
+        a, b = i, j - empty
+        if inside[i]:
+            # fewer lines of links than a window at either end, such as a linked title, belong to the article
+            while i - a < WINDOW and a and inside[a - 1] and text[a - 1]:
+                a -= 1
+            while b - (j - empty) < WINDOW and b < n and inside[b] and text[b]:
+                b += 1
+            a, b = a if i - a < WINDOW else i, b if b - (j - empty) < WINDOW else j - empty
+        runs.append((a, b, inside[i], size))
+        if top >= SURGE:
+            surging.append(runs[-1])
         i = j
-    wanted = lambda k: bool(text[k]) and (inside[k] if marked else bool(length[k]))
-    return "\n".join(text[k] for i, j in (kept or [best]) for k in range(i, j) if wanted(k))
+    if surging:
+        within, outside = (sum(r[3] for r in surging if r[2] == side) for side in (True, False))
+        kept = [r for r in surging if r[2] == (within * WEIGHT >= outside and within > 0)]
+    else:
+        kept = [max(runs, key=lambda r: r[3] * (WEIGHT if r[2] else 1))] if runs else []
+    # a line of links goes, unless it stands within a run of an article
+    return "\n".join(text[k] for i, j, marked, _ in kept for k in range(i, j) if text[k] and (marked or length[k]))
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -41,3 +41,12 @@ def test_defined_cases(spark):
     got = {(r["page_id"], r["n_chars"]) for r in extract(pages).collect()}
     assert got == {(1, 0), (2, 0), (None, len(LONG.strip())), (4, 999_999), (4, 5)}
     assert extract(pages.where("false")).count() == 0
+
+
+def test_windows_choose_on_marked_pages():
+    teasers = "<article><a href=t>Teaser</a></article><article><h2>One</h2></article>"
+    assert main_text(f"<body><div><p>{LONG}</p><p>{LONG}</p></div>{teasers}") == f"{LONG.strip()}\n{LONG.strip()}"
+    menu = "".join(f"<p><a href=x>Link number {k} to another long page of this site</a></p>" for k in range(4))
+    assert main_text(f"<article><p>{LONG}</p>{menu}<p>tail</p></article>") == LONG.strip()
+    assert main_text(f"<p>{LONG}</p><article><p>{LONG}</p></article><p>{LONG}</p>") == LONG.strip()
+    assert main_text(f"<article><h1><a href=t>Title</a></h1><p>{LONG}</p></article>") == f"Title\n{LONG.strip()}"
