@@ -3,7 +3,8 @@
 A document's set is its distinct shingles of five words. One scan gives every document the digest of its set
 and a small number of hash collections: each of 20 collections condenses 4 minhashes to one number. A table
 key combines a pair of collections, so 80 minhashes serve 190 tables of 8 minhashes each; two sets with
-similarity 0.85 share no key with a probability below 0.00001. A pair of collections can only be shared by
+similarity 0.85 share no key with a probability below 0.00001. Lower thresholds take as many collections as
+keep that bound, 28 at 0.80. A pair of collections can only be shared by
 documents that share each of the two, so documents make keys from the collections that some other document has.
 
 Documents with equal sets are one class, found by digest. Within a table key each class is compared with the
@@ -30,12 +31,21 @@ from pyspark.sql import functions as F
 from ._common import LOWER, SPACE, SpanHash, checkpoint, components, mix, passes, pick, powers, row_bounds, spans, utf8
 
 SHINGLE = 5
-COLLECTIONS, DEPTH = 20, 4
+DEPTH, MISSED = 4, 0.00001
 SKETCH = 512
 #: Documents that one comparison holds on either side.
 BLOCK = 512
 _POWERS = powers(np.uint64(0xD6E8FEB86659FD93), SHINGLE + 1)[1:]
-_ODD = mix(np.arange(1, 1 + max(COLLECTIONS * DEPTH, SKETCH), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_ODD = mix(np.arange(1, 1 + 4096, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def collections(percent: int) -> int:
+    """The least number of collections of which a pair at the threshold shares fewer than two with a probability below MISSED."""
+    p, most = (percent / 100) ** DEPTH, len(_ODD) // DEPTH
+    for n in range(2, most + 1):
+        if (1 - p) ** n + n * p * (1 - p) ** (n - 1) < MISSED:
+            return n
+    raise ValueError(f"a threshold of {percent} % takes more than {most} collections")
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, hasher: SpanHash) -> list[np.ndarray]:
@@ -68,22 +78,26 @@ def minhashes(shingles: np.ndarray, count: int) -> np.ndarray:
     return least
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hasher = SpanHash()
+def _signatures(count: int):
     fold = powers(np.uint64(0x9E3779B97F4A7C15), DEPTH)
-    for batch in batches:
-        raw, offsets = utf8(batch.column(1))
-        for i, j in passes(offsets):
-            sets = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], hasher)
-            keys = np.zeros((j - i, COLLECTIONS), np.uint64)
-            digest = np.zeros((j - i, 2), np.uint64)
-            for k, s in enumerate(sets):
-                if len(s):
-                    keys[k] = mix((minhashes(s, COLLECTIONS * DEPTH).reshape(COLLECTIONS, DEPTH) * fold).sum(1) + np.arange(COLLECTIONS, dtype=np.uint64))
-                    digest[k] = s.sum(), mix(s + np.uint64(1)).sum()
-            flat = pa.array(keys.view(np.int64).ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * COLLECTIONS), flat)
-            yield pa.record_batch({"id": batch.column(0).slice(i, j - i), "n": np.array([len(s) for s in sets], np.int64), "d1": digest[:, 0].copy().view(np.int64), "d2": digest[:, 1].copy().view(np.int64), "keys": lists})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = SpanHash()
+        for batch in batches:
+            raw, offsets = utf8(batch.column(1))
+            for i, j in passes(offsets):
+                sets = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], hasher)
+                keys = np.zeros((j - i, count), np.uint64)
+                digest = np.zeros((j - i, 2), np.uint64)
+                for k, s in enumerate(sets):
+                    if len(s):
+                        keys[k] = mix((minhashes(s, count * DEPTH).reshape(count, DEPTH) * fold).sum(1) + np.arange(count, dtype=np.uint64))
+                        digest[k] = s.sum(), mix(s + np.uint64(1)).sum()
+                flat = pa.array(keys.view(np.int64).ravel())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * count), flat)
+                yield pa.record_batch({"id": batch.column(0).slice(i, j - i), "n": np.array([len(s) for s in sets], np.int64), "d1": digest[:, 0].copy().view(np.int64), "d2": digest[:, 1].copy().view(np.int64), "keys": lists})
+
+    return run
 
 
 def _table_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,25 +139,29 @@ def _confirm(percent: int):
     return run
 
 
-def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _facts(count: int):
     """(id, component, place, n, keys, sketch) of documents that still need comparisons; place sorts like ones together."""
-    hasher = SpanHash()
-    for batch in batches:
-        raw, offsets = utf8(batch.column(1))
-        keys = np.asarray(batch.column(3).flatten()).reshape(-1, COLLECTIONS)
-        for i, j in passes(offsets):
-            sets = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], hasher)
-            part = batch.slice(i, j - i)
-            yield pa.record_batch(
-                {
-                    "id": part.column(0),
-                    "component": part.column(2),
-                    "place": part.column(4),
-                    "n": np.array([len(x) for x in sets], np.int64),
-                    "keys": pa.array([k.tobytes() for k in keys[i:j]], pa.binary()),
-                    "sketch": pa.array([(mix(minhashes(x, SKETCH)) >> np.uint64(56)).astype(np.uint8).tobytes() for x in sets], pa.binary()),
-                }
-            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = SpanHash()
+        for batch in batches:
+            raw, offsets = utf8(batch.column(1))
+            keys = np.asarray(batch.column(3).flatten()).reshape(-1, count)
+            for i, j in passes(offsets):
+                sets = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], hasher)
+                part = batch.slice(i, j - i)
+                yield pa.record_batch(
+                    {
+                        "id": part.column(0),
+                        "component": part.column(2),
+                        "place": part.column(4),
+                        "n": np.array([len(x) for x in sets], np.int64),
+                        "keys": pa.array([k.tobytes() for k in keys[i:j]], pa.binary()),
+                        "sketch": pa.array([(mix(minhashes(x, SKETCH)) >> np.uint64(56)).astype(np.uint8).tobytes() for x in sets], pa.binary()),
+                    }
+                )
+
+    return run
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +191,7 @@ def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"x": [p[0] for p in seen], "y": [p[1] for p in seen]})
 
 
-def _join_blocks(percent: int):
+def _join_blocks(percent: int, count: int):
     """Pairs between two blocks that differ in component, share two collections and whose sketches come near the threshold."""
     t = percent / 100
     # five and a half standard deviations below the threshold
@@ -181,7 +199,7 @@ def _join_blocks(percent: int):
 
     def side(row: dict, which: str) -> tuple:
         ids, comps, ns = (np.array(row[c + which], np.int64) for c in ("ids", "components", "ns"))
-        return ids, comps, ns, np.frombuffer(row["keys" + which], np.int64).reshape(-1, COLLECTIONS), np.frombuffer(row["sketches" + which], np.uint8).reshape(-1, SKETCH)
+        return ids, comps, ns, np.frombuffer(row["keys" + which], np.int64).reshape(-1, count), np.frombuffer(row["sketches" + which], np.uint8).reshape(-1, SKETCH)
 
     def pair(row: dict) -> pa.RecordBatch:
         a = side(row, "1")
@@ -218,14 +236,15 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every document; links hold at percent hundredths of similarity."""
+    count = collections(percent)
     narrow = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("bigint"))
-    signed = checkpoint(narrow.mapInArrow(_signatures, "id bigint, n bigint, d1 bigint, d2 bigint, keys array<bigint>"))
+    signed = checkpoint(narrow.mapInArrow(_signatures(count), "id bigint, n bigint, d1 bigint, d2 bigint, keys array<bigint>"))
     classes = signed.where("n > 0 and id is not null").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"))
     classes = checkpoint(classes)
     # collections that more than one class has
     single = classes.select("rep", F.explode("keys").alias("c"))
     shared = single.groupBy("c").agg(F.count("*").alias("k")).where("k > 1").select("c")
-    own = single.join(shared, "c").groupBy("rep").agg(F.collect_list("c").alias("cs"))  # at most COLLECTIONS of them
+    own = single.join(shared, "c").groupBy("rep").agg(F.collect_list("c").alias("cs"))  # at most count of them
     keys = own.mapInArrow(_table_keys, "key bigint, id bigint")
     heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("k")).where("k > 1").select("key", "head")
     keys = checkpoint(keys.join(heads, "key"))
@@ -242,7 +261,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     open_ = checkpoint(marked.join(mixed, "key"))
     who = open_.groupBy("id").agg(F.first("component").alias("component"), F.min("key").alias("place"))
     who = who.join(classes.select(F.col("rep").alias("id"), "keys"), "id")
-    facts = checkpoint(texts.join(who, "id").select("id", "text", "component", "keys", "place").mapInArrow(_facts, "id bigint, component bigint, place bigint, n bigint, keys binary, sketch binary"))
+    facts = checkpoint(texts.join(who, "id").select("id", "text", "component", "keys", "place").mapInArrow(_facts(count), "id bigint, component bigint, place bigint, n bigint, keys binary, sketch binary"))
     # few partitions, so that blocks are full whatever the number of shuffle partitions
     n_parts = max(1, facts.count() // (4 * BLOCK))
     blocks = facts.sort("place", "id").coalesce(n_parts).mapInArrow(_pack, "block bigint, ids array<bigint>, components array<bigint>, ns array<bigint>, keys binary, sketches binary")
@@ -252,7 +271,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     together = together.mapInArrow(_pairs_of, "x bigint, y bigint").distinct()
     one = blocks.toDF("x", *(c + "1" for c in blocks.columns[1:]))
     two = blocks.toDF("y", *(c + "2" for c in blocks.columns[1:]))
-    near = together.join(one, "x").join(two, "y").mapInArrow(_join_blocks(percent), "a bigint, b bigint")
+    near = together.join(one, "x").join(two, "y").mapInArrow(_join_blocks(percent, count), "a bigint, b bigint")
     near = checkpoint(near.join(star, ["a", "b"], "left_anti"))
     more = checkpoint(confirm(near, texts, percent))
     if not more.isEmpty():

@@ -16,8 +16,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    dropped = near_duplicates.near_duplicates(docs, percent=85).where("not kept").select("doc_id").distinct()
+    """Of each group of near-duplicates, linked from 80 % of their shingles up, the document with the smallest id stays."""
+    dropped = near_duplicates.near_duplicates(docs, percent=80).where("not kept").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 

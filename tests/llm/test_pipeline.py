@@ -33,3 +33,12 @@ def test_run_gives_the_last_stage(spark):
     assert cp.run(spark, "/root/testdata/sf0.001").count() > 50
     assert [n for n, _ in cp.STAGES] == ["quality classifier", "minhash near-dedup", "substring dedup", "benchmark decontamination", "mixing sources"]
     assert cp.ORACLE_SQL is None
+
+
+def test_near_copies_from_eighty_percent_go(spark):
+    words = [f"w{k}" for k in range(104)]
+    texts = [words, [*words[:-10], *"abcdefghij"], [*words[:-16], *"klmnopqrstuvwxyz"]]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    # 90 of 110 shingles are shared with the second, 84 of 116 with the third
+    assert {r["doc_id"] for r in cp.minhash_near_dedup(spark, docs, SF).collect()} == {0, 2}
+    assert (near_duplicates.collections(85), near_duplicates.collections(80)) == (20, 28)
