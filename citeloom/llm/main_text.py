@@ -5,7 +5,9 @@ forms, scripts and so on, by tag, role or class) leave a gap of empty lines inst
 a sliding window of lines. A surge is a window above a threshold, a dive is a window without any text; the lines
 between the dives on either side of a surge are the main text. Article and main elements are boundaries, which no run of
 lines crosses, and a weight: of the runs inside and those outside of them the side with more text is kept, where text
-inside counts twice. A dropped element inside is a gap shorter than a window, so one alone never cuts an article.
+inside counts twice. No class drops html, body, main or article; another element whose class, id or role is on a list, or
+a form, is a wrapper and stays if it holds half of the page's text and either a main element or a first heading, or far
+more text than what surges without it. A dropped element inside is a gap shorter than a window, so one alone never cuts an article.
 
 Defined cases: a null or empty page, or one without text, gives an empty text; a page where nothing surges keeps its
 longest run of lines by the same weight; unclosed and unopened elements, cut-off tags and unknown references are read as browsers do;
@@ -17,6 +19,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,13 +29,15 @@ from ._common import pick
 WINDOW, SURGE = 3, 60
 #: What text inside an article or main element counts against text outside.
 WEIGHT = 2
+#: A wrapper without a heading outweighs this many times the text that surges outside; wrappers that share this much are one.
+OUTWEIGHS, SAME = 8, 0.95
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+>|[^>]*(?:>|\Z))""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z_:@-][a-zA-Z0-9_:.-]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _TOKEN = re.compile(r"[a-z0-9]+|[A-Z][a-z0-9]*")
 _BLOCKS = frozenset("address article aside blockquote body canvas center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template svg math iframe object xmp noframes".split())
-_SKIP = frozenset("nav aside form footer menu dialog button select datalist head".split())
+_SKIP = frozenset("nav aside footer menu dialog button select datalist head".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense adsbygoogle adslot banner banners sponsor sponsored sponsors promo promos promotion promotions sidebar sidebars aside "
@@ -45,32 +50,48 @@ _SCOPE = frozenset("article aside blockquote body button div dl fieldset figure
 _CLOSES = {"li": "li", "dt": "dd dt", "dd": "dd dt", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 
 
-def _unwanted(attributes: str, inside: bool) -> bool:
+def _unwanted(name: str, attributes: str, inside: bool) -> str:
+    """Why an element is no article text: "" if it may be, "soft" by form, class, id or role, "hard" if hidden."""
+    why = "soft" if name == "form" else ""
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return False
+        return why
     for m in _ATTR.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id"):
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key in ("class", "id"):
             words = {w.lower() for w in _TOKEN.findall(value)}
             if words & _WORDS or not inside and "header" in words:
-                return True
-        elif name == "role" and value.lower() in _ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+                why = "soft"
+        elif key == "role" and value.lower() in _ROLES:
+            why = "soft"
+        elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            return "hard"
+    return "" if why == "soft" and name in ("main", "article") else why
 
 
-def lines(page: str) -> tuple[list[str], list[int], list[bool]]:
-    """(text, characters inside links, inside an article) of each line; a gap is a run of empty lines."""
+@dataclass
+class Wrapper:
+    """An element dropped softly, by the place of its tag: the wrapper around it, the characters in it and whether it has a main element or first heading."""
+
+    at: int
+    parent: Wrapper | None
+    size: int
+    head: int
+
+
+def lines(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[str], list[int], list[bool], list[Wrapper], int]:
+    """(text, characters inside links, inside an article) of each line; a gap is a run of empty lines; wrappers and the
+    characters of the page. The wrappers in spared are not dropped."""
     text: list[str] = []
     links: list[int] = []
     inside: list[bool] = []
     buffer: list[str] = []
     linked = 0
-    # open elements as (name, dropped, in an article, in a link)
-    stack: list[tuple[str, bool, bool, bool]] = []
+    # open elements as (name, dropped, in an article, in a link, innermost wrapper if only wrappers drop it, whether it is that)
+    stack: list[tuple[str, bool, bool, bool, Wrapper | None, bool]] = []
+    wrappers: list[Wrapper] = []
     dropped = article = link = False
+    wrapper: Wrapper | None = None
+    seen = heads = 0
 
     def flush() -> None:
         nonlocal linked
@@ -83,10 +104,14 @@ def lines(page: str) -> tuple[list[str], list[int], list[bool]]:
             buffer.clear()
         linked = 0
 
-    def restore() -> None:
-        nonlocal dropped, article, link
+    def close(k: int) -> None:
+        nonlocal dropped, article, link, wrapper
+        for *_, own, is_own in stack[k:]:
+            if is_own and own:
+                own.size, own.head = seen - own.size, heads - own.head
+        del stack[k:]
         within = article
-        _, dropped, article, link = stack[-1] if stack else ("", False, False, False)
+        _, dropped, article, link, wrapper, _ = stack[-1] if stack else ("", False, False, False, None, False)
         if within and not article:
             gap(WINDOW)
 
@@ -96,7 +121,8 @@ def lines(page: str) -> tuple[list[str], list[int], list[bool]]:
         inside.extend([article] * size)
 
     def add(piece: str) -> None:
-        nonlocal linked
+        nonlocal linked, seen
+        seen += len(piece.strip())
         if piece and not dropped:
             piece = html.unescape(piece) if "&" in piece else piece
             buffer.append(piece)
@@ -120,8 +146,7 @@ def lines(page: str) -> tuple[list[str], list[int], list[bool]]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     flush() if name in _BLOCKS else None
-                    del stack[k:]
-                    restore()
+                    close(k)
                     break
                 if stack[k][0] in _SCOPE and name not in _SCOPE:
                     break
@@ -139,31 +164,60 @@ def lines(page: str) -> tuple[list[str], list[int], list[bool]]:
             for k in range(len(stack) - 1, -1, -1):
                 own = stack[k][0]
                 if own == "p" or own in _CLOSES.get(name, "").split():
-                    del stack[k:]
-                    restore()
+                    close(k)
                     break
                 if own in _SCOPE:
                     break
         if name in _VOID:
             continue
-        skip = name in _SKIP or name == "header" and not article or _unwanted(attributes, article)
+        hard = name in _SKIP or name == "header" and not article
+        why = "" if name in ("html", "body") else "hard" if hard else _unwanted(name, attributes, article)
+        skip = why == "hard" or why == "soft" and m.start() not in spared
         if skip and not dropped:
             flush()
             gap(1 if article else WINDOW)
         if attributes.endswith("/>") and name not in _BLOCKS:
             continue
+        heads += name in ("h1", "main")
+        is_own = skip and why == "soft" and (not dropped or wrapper is not None)
+        if is_own:
+            wrapper = Wrapper(m.start(), wrapper, seen, heads)
+            wrappers.append(wrapper)
+        elif skip:
+            wrapper = None
         dropped = dropped or skip
         if name in ("article", "main") and not dropped and not article:
             gap(WINDOW)
             article = True
         link = link or name == "a"
-        stack.append((name, dropped, article, link))
+        stack.append((name, dropped, article, link, wrapper, is_own))
     flush()
-    return text, links, inside
+    close(0)
+    return text, links, inside, wrappers, seen
 
 
 def main_text(page: str | None) -> str:
-    text, links, inside = lines(page or "")
+    spared: set[int] = set()
+    while True:
+        text, links, inside, wrappers, size = lines(page or "", frozenset(spared))
+        kept, length, surge = _choose(text, links, inside)
+        more: set[int] = set()
+        for w in wrappers:
+            if w.parent is None:
+                keeps = 2 * w.size >= size > 0 and (w.head or w.size >= OUTWEIGHS * surge)
+            else:
+                keeps = w.parent.at in more and w.size >= SAME * w.parent.size
+            if keeps:
+                more.add(w.at)
+        if not more:
+            break
+        spared |= more
+    # a line of links goes, unless it stands within a run of an article
+    return "\n".join(text[k] for i, j, marked, _ in kept for k in range(i, j) if text[k] and (marked or length[k]))
+
+
+def _choose(text: list[str], links: list[int], inside: list[bool]) -> tuple[list[tuple[int, int, bool, int]], list[int], int]:
+    """The runs (start, end, inside, characters) that are kept, each line's length, and the characters of all runs that surge."""
     length = [len(t) if 2 * k <= len(t) else 0 for t, k in zip(text, links, strict=True)]
     # runs (start, end, inside, characters) of lines, and those of them that surge
     runs, surging, i, n = [], [], 0, len(length)
@@ -195,8 +249,7 @@ def main_text(page: str | None) -> str:
         kept = [r for r in surging if r[2] == (within * WEIGHT >= outside and within > 0)]
     else:
         kept = [max(runs, key=lambda r: r[3] * (WEIGHT if r[2] else 1))] if runs else []
-    # a line of links goes, unless it stands within a run of an article
-    return "\n".join(text[k] for i, j, marked, _ in kept for k in range(i, j) if text[k] and (marked or length[k]))
+    return kept, length, sum(r[3] for r in surging)
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -50,3 +50,12 @@ def test_windows_choose_on_marked_pages():
     assert main_text(f"<article><p>{LONG}</p>{menu}<p>tail</p></article>") == LONG.strip()
     assert main_text(f"<p>{LONG}</p><article><p>{LONG}</p></article><p>{LONG}</p>") == LONG.strip()
     assert main_text(f"<article><h1><a href=t>Title</a></h1><p>{LONG}</p></article>") == f"Title\n{LONG.strip()}"
+
+
+def test_classes_and_forms_that_wrap_the_page():
+    want = LONG.strip()
+    assert main_text(f"<html class='no-sidebar'><body class='single has-sidebar'><article class='post tag related'><p>{LONG}</p></article></body></html>") == want
+    assert main_text(f"<div id=page class='no-sidebar'><div class='form skip'><p>{LONG}</p><div class=sidebar>{LONG[:40]}</div></div></div><footer>f</footer>") == want
+    assert main_text(f"<p>We use cookies on this site, and here is a line about them.</p><form><h1>Title</h1><p>{LONG}</p><div class=comments>{LONG}{LONG}</div></form>").endswith(f"Title\n{want}")
+    assert main_text(f"<body><p>{LONG}</p><div class=comments><p>{LONG}{LONG}</p></div><form>{LONG}{LONG}</form>") == want
+    assert main_text(f"<body><div hidden class=ad><h1>No</h1>{LONG * 9}</div><p>{LONG}</p>") == want
