@@ -8,8 +8,8 @@ sampled suffix, and their word spans are merged per document. Nothing is shuffle
 documents, and a benchmark beyond a bound goes in several passes.
 
 Defined cases: a null or empty text has no words and no hits; an item without words has no window; an item
-with fewer words than the window is one window of its own length; repeated items each count; empty tables
-give empty results or results without hits; columns other than the two named ones are never read.
+with fewer words than the window is one window of its own length; repeated items each count; items without
+an id hit like others and count as one, but no id of theirs is listed; empty tables give empty results or results without hits; columns other than the two named ones are never read.
 """
 
 from __future__ import annotations
@@ -200,7 +200,7 @@ class Phrases:
         return first, length, rows[first], item
 
 
-def _shards(phrases, *, text: bool, spans_too: bool, keep: int | None = None, last: bool = True):
+def _shards(phrases, *, text: bool, spans_too: bool, keep: int | None = None, last: bool = True, null: int | None = None):
     """A pass over documents, the text in the last column; phrases: the broadcast windows of its items.
 
     Two columns before the text hold what earlier passes have found, a bit for each word and the items; an earlier pass
@@ -241,6 +241,8 @@ def _shards(phrases, *, text: bool, spans_too: bool, keep: int | None = None, la
         if not last:
             bits = [np.packbits(hit[bounds[k] : bounds[k + 1]]).tobytes() if n_hit[k] else None for k in range(n)]
             return pa.RecordBatch.from_arrays([*part.columns[:-3], pa.array(bits, pa.binary()), lists, part.columns[-1]], names=part.schema.names)
+        item_lists = [[x for x in own if x != null] for own in item_lists]
+        lists = pa.array(item_lists, pa.list_(pa.int64()))
         found, clean = [], []
         for k in range(n):
             own = []
@@ -280,8 +282,12 @@ def _shards(phrases, *, text: bool, spans_too: bool, keep: int | None = None, la
 
 def _scan(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, pass_chars: int, schema: str, **options) -> DataFrame:
     """rows, the text last, scanned for all items: in one pass, or in as many as the items' texts need."""
-    items = pick(benchmark, item=item_col, text=item_text_col).where("item is not null").select(F.col("item").cast("bigint").alias("item"), "text")
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    items = pick(benchmark, item=item_col, text=item_text_col).select(F.col("item").cast("bigint").alias("item"), "text")
+    size, least, most = items.agg(F.sum(F.length("text")), F.min("item"), F.max("item")).first()
+    size = size or 0
+    # stands for a null id until the ids are listed; no item has it
+    null = 0 if least is None else least - 1 if least > -(1 << 63) else most + 1
+    items = items.select(F.coalesce("item", F.lit(null).cast("bigint")).alias("item"), "text")
     n = -(-size // pass_chars) or 1
     state = rows.select(*rows.columns[:-1], F.lit(None).cast("binary").alias("hit_before"), F.lit(None).cast("array<bigint>").alias("items_before"), rows.columns[-1])
     for k in range(n):
@@ -289,8 +295,8 @@ def _scan(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: s
         got = own.toArrow()  # about pass_chars characters
         phrases = rows.sparkSession.sparkContext.broadcast(Phrases(np.asarray(got["item"], dtype=np.int64), got["text"].combine_chunks(), window))
         if k == n - 1:
-            return state.mapInArrow(_shards(phrases, **options), schema)
-        state = checkpoint(state.mapInArrow(_shards(phrases, last=False, **options), ddl(state)))
+            return state.mapInArrow(_shards(phrases, null=null, **options), schema)
+        state = checkpoint(state.mapInArrow(_shards(phrases, last=False, null=null, **options), ddl(state)))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, pass_chars: int = 4_000_000, spans: bool = True, clean_text: bool = True) -> DataFrame:

@@ -91,3 +91,14 @@ def test_rows_pass_through_cleaned(spark):
     docs = spark.createDataFrame([(1, f"keep this {item} and this", 99, "a"), (2, item, 40, "b"), (3, None, None, None), (4, "clean", 5, None)], "doc_id bigint, text string, n_chars bigint, hit_of string")
     got = sorted((r["doc_id"], r["text"], r["n_chars"], r["hit_of"]) for r in dc.without_items(docs, spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect())
     assert got == [(1, "keep this  and this", 19, "a"), (3, None, None, None), (4, "clean", 5, None)]
+
+
+def test_items_without_an_id_are_hit_and_cut(spark):
+    one, two = (" ".join(f"{c}{k}" for k in range(12)) for c in "tu")
+    items = [(None, one), (5, two), (None, two)]
+    for pass_chars in (4_000_000, 50):
+        got, facts = run(spark, [f"a {one} b", f"{one} {two}", "clean"], items, pass_chars=pass_chars)
+        assert facts == [(14, 12, 1, []), (24, 24, 2, [5]), (1, 0, 0, [])] and got[0]["clean_text"] == "a  b" and got[0]["contaminated"]
+        assert got[0]["items_sha256"] == got[2]["items_sha256"] and got[1]["items_sha256"].startswith("ef2d127d")
+    docs = spark.createDataFrame([(1, f"keep {one}")], "doc_id bigint, text string")
+    assert dc.without_items(docs, spark.createDataFrame([(None, one)], "item_id bigint, text string")).first()["text"] == "keep "
