@@ -1,20 +1,24 @@
 """LM scoring by masked pseudo-likelihood.
 
 A bidirectional window network, written in numpy, predicts every word from the two words on either side: the
-vectors of the four neighbours, each in a place of its own, pass a hidden layer, and a two-level softmax gives first
-the word's class and then the word within its class. A document's score is the sum of the log-probabilities of its
-words, each with the word itself hidden.
-
-The vocabulary is every word of all documents, with counts over the whole corpus. The most frequent words have an id of
-their own in the network; rarer words fall into a number of groups by hash, and such a word's probability is the group's
-times its share of the group's count, with one count set aside in each group for a word that was never counted. The
-shares of the next most frequent words travel with the network, those of all others are joined. Training is distributed: in each round every task improves the shared network on all
-documents of its own partition, and the networks are averaged, weighted by their training words. Averages are taken by slices of the
-parameters in two steps, so neither the driver nor a task gathers all networks.
-
-Defined cases: a null or empty text has no words, score 0 and a mean of null; a word that was never
-counted has the share of one count in its group; equal counts are ordered by hash; repeated rows give repeated results; an empty table gives
-an empty result; other columns are never read.
+vectors of the four neighbours, each in a place of its own, pass a hidden layer, and a softmax tree of three levels
+with 32 branches each gives the word's leaf. A document's score is the sum of the log-probabilities of its words, each
+with the word itself hidden.
+
+The vocabulary is every word of all documents, with counts over the whole corpus. The 30,720 most frequent words have a
+leaf of their own; all others fall into 2,048 leaves by hash, and such a word's probability is its leaf's times its
+share of the leaf's count, with one count set aside in each for a word that was never counted. The counts of the next
+most frequent words travel with the network, those of all others are joined. The network starts as the word
+frequencies; training is distributed: documents are dealt by a hash of their id and text into slices of about two
+million words, a task improves the shared network on all documents of its slice in the order of another hash, and
+the networks are averaged, each number weighted by the squared gradients that the slice has for it, so a word counts
+where it occurs. Slices depend on the rows alone, so neither the number of files nor of executors changes the result.
+Averages are taken by parts of the parameters in two steps; neither the driver nor a task gathers all networks.
+
+Defined cases: a null or empty text has no words, score 0 and a mean of null; a word that was never counted has the
+share of one count in its leaf; words of equal count are ordered by hash; a very long text is scored in passes; null
+ids are trained on and scored like others; repeated rows give repeated results; an empty table gives an empty result;
+other columns, clashing names among them, are never read.
 """
 
 from __future__ import annotations
@@ -30,15 +34,18 @@ from pyspark.sql import functions as F
 
 from ._common import LOWER, SPACE, SpanHash, checkpoint, passes, pick, reduce_rows, row_bounds, spans, utf8
 
-CLASSES, PER_CLASS = 32, 32
-VOCABULARY = CLASSES * PER_CLASS
-#: Groups of words without an id of their own; they take the last ids but one, which stands outside a text.
-GROUPS = 256
+FAN = 32
+VOCABULARY = FAN**3
+#: Leaves that share the words without one of their own; they are the last.
+GROUP_BITS = 11
+GROUPS = 1 << GROUP_BITS
 SIDE, WIDTH, HIDDEN = 2, 12, 24
+#: Stands outside a text.
 _EDGE = VOCABULARY
-#: Words in groups whose counts every task holds; it only spares rows of the join.
-COMMON = 1 << 16
-_SLICE = 4096
+#: Words in shared leaves whose counts every task holds; it only spares rows of the join.
+COMMON = 1 << 18
+#: Words that one training slice holds, and parameters of one row on their way to the average.
+SLICE_WORDS, _PART = 2_000_000, 1 << 16
 _PASS = 1_000_000
 
 
@@ -52,7 +59,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = SpanHash()
     for batch in batches:
         raw, offsets = utf8(batch.column(0))
-        for i, j in passes(offsets):
+        for i, j in passes(offsets, 4 * _PASS):
             words, _ = _words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], hasher)
             unique, counts = np.unique(words, return_counts=True)
             yield pa.record_batch({"word": unique.view(np.int64), "n": counts.astype(np.int64)})
@@ -60,34 +67,52 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Vocabulary:
-    """top: the sorted hashes of the most frequent words and, in step with them, their ids by rank, as rows of one array;
-    common: the sorted hashes of the next ones and their counts; totals: the counts of each group, and one; counts: (word, n) of all words."""
+    """top: the sorted hashes of words with a leaf and, in step with them, their ids by rank, as rows of one array;
+    common: the sorted hashes of the next ones and their counts; totals: the counts of each shared leaf, and one;
+    leaves: the counts of all leaves; counts: (word, n) of all words."""
 
     top: np.ndarray
     common: np.ndarray
     totals: np.ndarray
+    leaves: np.ndarray
     counts: DataFrame
 
 
 def _group(word: Column) -> Column:
-    return F.pmod(F.shiftrightunsigned(word, 56), F.lit(GROUPS)).cast("int")
+    return F.shiftrightunsigned(word, 64 - GROUP_BITS).cast("int")
 
 
 def vocabulary(docs: DataFrame, text_col: str) -> Vocabulary:
     counted = checkpoint(pick(docs, text=text_col).mapInArrow(_counts, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
-    first = counted.orderBy(F.desc("n"), "word").limit(VOCABULARY - GROUPS + COMMON).toArrow()
-    hashes, n = first["word"].to_numpy().view(np.uint64), first["n"].to_numpy()
-    k = VOCABULARY - GROUPS
-    order, rest = np.argsort(hashes[:k]), np.argsort(hashes[k:])
+    own, most = VOCABULARY - GROUPS, VOCABULARY - GROUPS + COMMON
+    # the most frequent words without a sort: all above a step of the counts, and at the step those of the least hashes
+    step = F.floor(F.ln("n") * 64).cast("int")
+    left, least, part = most, -1, 1.0
+    for r in counted.groupBy(step.alias("b")).agg(F.count("*").alias("k")).orderBy(F.desc("b")).collect():  # some 2,000 steps
+        if r["k"] > left:
+            least, part = r["b"], left / r["k"]
+            break
+        left -= r["k"]
+    chance = F.shiftrightunsigned(F.xxhash64("word"), 33) / float(1 << 31)
+    first = counted.where((step > least) | (step == least) & (chance < part)).toArrow()
+    hashes, n = np.asarray(first["word"]).view(np.uint64), np.asarray(first["n"])
+    rank = np.lexsort((hashes, -n))
+    hashes, n = hashes[rank], n[rank]
+    order, rest = np.argsort(hashes[:own]), np.argsort(hashes[own:])
     totals = np.ones(GROUPS)
     for r in counted.groupBy(_group(F.col("word")).alias("g")).agg(F.sum("n").alias("n")).collect():
         totals[r["g"]] += r["n"]
-    np.subtract.at(totals, ids_of(hashes[:k], np.zeros((2, 0), np.uint64)) - k, n[:k])
-    return Vocabulary(np.stack([hashes[:k][order], order.astype(np.uint64)]), np.stack([hashes[k:][rest], n[k:][rest].astype(np.uint64)]), totals, counted)
+    np.subtract.at(totals, group_of(hashes[:own]), n[:own])
+    leaves = np.concatenate([n[:own], np.zeros(own - len(n[:own])), totals])
+    return Vocabulary(np.stack([hashes[:own][order], order.astype(np.uint64)]), np.stack([hashes[own:][rest], n[own:][rest].astype(np.uint64)]), totals, leaves, counted)
+
+
+def group_of(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(64 - GROUP_BITS)).astype(np.int64)
 
 
 def shares(words: np.ndarray, ids: np.ndarray, common: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The log of each word's share of its group, 0 for words with an id of their own, and which words' shares are to be joined."""
+    """The log of each word's share of its leaf, 0 for words with a leaf of their own, and which words' shares are to be joined."""
     out, rare = np.zeros(len(words)), ids >= VOCABULARY - GROUPS
     if common.shape[1]:
         of = np.flatnonzero(rare)
@@ -100,7 +125,7 @@ def shares(words: np.ndarray, ids: np.ndarray, common: np.ndarray, totals: np.nd
 
 
 def ids_of(words: np.ndarray, known: np.ndarray) -> np.ndarray:
-    out = (VOCABULARY - GROUPS + (words >> np.uint64(56)) % np.uint64(GROUPS)).astype(np.int64)
+    out = VOCABULARY - GROUPS + group_of(words)
     if known.shape[1]:
         at = np.minimum(np.searchsorted(known[0], words), known.shape[1] - 1)
         same = known[0][at] == words
@@ -118,31 +143,19 @@ def contexts(ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp(z - top) and top: one for all rows, or each row's own where that could lose a row."""
-    top = z.max(keepdims=True) if z.size else np.zeros((1, 1), z.dtype)
-    if z.size and top[0, 0] - z.min() > 60:
-        top = z.max(1, keepdims=True)
-    return np.exp(z - top), top
-
-
-def _log_softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    p, top = _exp(z)
-    return z[np.arange(len(z)), at] - np.log(p @ np.ones(p.shape[1], p.dtype)) - top[:, 0]
-
-
-def _softmax_slope(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The softmax of each row, less 1 at its target."""
-    p, _ = _exp(z)
-    p /= (p @ np.ones(p.shape[1], p.dtype))[:, None]
-    p[np.arange(len(p)), at] -= 1
-    return p
+def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's softmax, and the log of its denominator."""
+    top = z.max(1, keepdims=True)
+    p = np.exp(z - top)
+    total = p.sum(1, keepdims=True)
+    p /= total
+    return p, (top + np.log(total))[:, 0]
 
 
 class Network:
-    """vectors: id × WIDTH; inner: places × HIDDEN; to_class: HIDDEN × CLASSES; to_word: class × HIDDEN × PER_CLASS; each softmax has a bias."""
+    """vectors: id × WIDTH; inner: places × HIDDEN; a softmax over FAN branches at the root, at each of FAN classes and at each of FAN² nodes."""
 
-    shapes = {"vectors": (VOCABULARY + 1, WIDTH), "inner": (2 * SIDE * WIDTH, HIDDEN), "inner_bias": (HIDDEN,), "to_class": (HIDDEN, CLASSES), "class_bias": (CLASSES,), "to_word": (CLASSES, HIDDEN, PER_CLASS), "word_bias": (CLASSES, PER_CLASS)}
+    shapes = {"vectors": (VOCABULARY + 1, WIDTH), "inner": (2 * SIDE * WIDTH, HIDDEN), "inner_bias": (HIDDEN,), "out0": (1, HIDDEN, FAN), "bias0": (1, FAN), "out1": (FAN, HIDDEN, FAN), "bias1": (FAN, FAN), "out2": (FAN * FAN, HIDDEN, FAN), "bias2": (FAN * FAN, FAN)}
 
     def __init__(self, flat: np.ndarray) -> None:
         self.flat, at = flat, 0
@@ -150,12 +163,20 @@ class Network:
             n = int(np.prod(shape))
             setattr(self, name, flat[at : at + n].reshape(shape))
             at += n
+        self.levels = [(self.out0, self.bias0), (self.out1, self.bias1), (self.out2, self.bias2)]
 
     @classmethod
-    def start(cls, seed: int) -> Network:
+    def start(cls, seed: int, leaves: np.ndarray | None = None) -> Network:
+        """Random vectors under a tree that gives the frequencies of leaves, or all leaves alike."""
         rng = np.random.default_rng(seed)
-        parts = [np.zeros(s, np.float32) if "bias" in n else rng.normal(0, 0.1 if n == "vectors" else s[-2] ** -0.5, s).astype(np.float32) for n, s in cls.shapes.items()]
-        return cls(np.concatenate([p.ravel() for p in parts]))
+        net = cls(np.zeros(sum(int(np.prod(s)) for s in cls.shapes.values()), np.float32))
+        net.vectors[:] = rng.normal(0, 0.3, net.vectors.shape)
+        net.inner[:] = rng.normal(0, net.inner.shape[0] ** -0.5, net.inner.shape)
+        counts = (np.zeros(VOCABULARY) if leaves is None else leaves) + 0.1
+        for _, bias in reversed(net.levels):
+            bias[:] = np.log(counts).reshape(bias.shape)
+            counts = counts.reshape(-1, FAN).sum(1)
+        return net
 
     def inputs(self, context: np.ndarray) -> np.ndarray:
         return self.vectors.take(context.ravel(), 0).reshape(len(context), -1)
@@ -163,25 +184,27 @@ class Network:
     def hidden(self, x: np.ndarray) -> np.ndarray:
         return np.tanh(x @ self.inner + self.inner_bias)
 
-    def by_class(self, h: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]], np.ndarray, np.ndarray]:
-        """Words in order of their class, (class, start, end) of each that occurs, and in that order h and the inner softmax's logits."""
-        order = np.argsort(group.astype(np.uint8), kind="stable")
-        bounds = row_bounds(group[order], CLASSES)
-        runs = [(c, bounds[c], bounds[c + 1]) for c in range(CLASSES) if bounds[c] < bounds[c + 1]]
-        h = h.take(order, 0)
-        z = np.empty((len(h), PER_CLASS), h.dtype)
-        for c, i, j in runs:
-            np.matmul(h[i:j], self.to_word[c], out=z[i:j])
-            z[i:j] += self.word_bias[c]
-        return order, runs, h, z
+    def nodes(self, h: np.ndarray, target: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[tuple[int, int, int]], np.ndarray, np.ndarray, np.ndarray]]:
+        """For each level its number, the words in order of their node there, (node, start, end) of each that occurs, and in that order h, the logits and the branches taken."""
+        for k, (out, bias) in enumerate(self.levels):
+            leaf = target // FAN ** (2 - k)
+            node, branch = leaf // FAN, leaf % FAN
+            order = np.argsort(node.astype(np.uint16), kind="stable")
+            own = node[order]
+            cuts = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)]]) if len(own) else np.zeros(1, np.int64)
+            runs = [(int(own[i]), int(i), int(j)) for i, j in zip(cuts, cuts[1:], strict=False)]
+            held = h.take(order, 0)
+            z = bias[own]
+            for c, i, j in runs:
+                z[i:j] += held[i:j] @ out[c]
+            yield k, order, runs, held, z, branch[order]
 
     def log_p(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        h = self.hidden(self.inputs(context))
-        group, word = target // PER_CLASS, target % PER_CLASS
-        out = _log_softmax(h @ self.to_class + self.class_bias, group)
-        order, _, _, z = self.by_class(h, group)
-        out[order] += _log_softmax(z, word[order])
-        return out
+        h, total = self.hidden(self.inputs(context)), np.zeros(len(target))
+        for _, order, _, _, z, branch in self.nodes(h, target):
+            _, whole = _softmax(z)
+            total[order] += z[np.arange(len(z)), branch] - whole
+        return total
 
     def step(self, context: np.ndarray, target: np.ndarray, seen: Network, rate: float) -> None:
         """One step of gradient descent with step sizes for each parameter."""
@@ -189,95 +212,129 @@ class Network:
         x = self.inputs(context)
         h = self.hidden(x)
         grad = Network(np.zeros_like(self.flat))
-        group, word = target // PER_CLASS, target % PER_CLASS
-        p = _softmax_slope(h @ self.to_class + self.class_bias, group)
-        one = np.ones(n, p.dtype)
-        grad.to_class[:], grad.class_bias[:] = h.T @ p, one @ p
-        back = p @ self.to_class.T
-        order, runs, own, z = self.by_class(h, group)
-        p = _softmax_slope(z, word[order])
-        inner = np.empty_like(own)
-        for c, i, j in runs:
-            grad.to_word[c], grad.word_bias[c] = own[i:j].T @ p[i:j], one[i:j] @ p[i:j]
-            np.matmul(p[i:j], self.to_word[c].T, out=inner[i:j])
-        back[order] += inner
+        back = np.zeros_like(h)
+        for k, order, runs, held, z, branch in self.nodes(h, target):
+            p, _ = _softmax(z)
+            p[np.arange(n), branch] -= 1
+            (out, _), (grad_out, grad_bias) = self.levels[k], grad.levels[k]
+            inner = np.empty_like(held)
+            for c, i, j in runs:
+                grad_out[c] = held[i:j].T @ p[i:j]
+                np.matmul(p[i:j], out[c].T, out=inner[i:j])
+            if runs:
+                grad_bias[[c for c, _, _ in runs]] = np.add.reduceat(p, [i for _, i, _ in runs], axis=0)
+            back[order] += inner
         back *= 1 - h * h
-        grad.inner[:], grad.inner_bias[:] = x.T @ back, one @ back
+        grad.inner[:], grad.inner_bias[:] = x.T @ back, back.sum(0)
         by_place = (back @ self.inner.T).reshape(n * 2 * SIDE, WIDTH)
         flat = context.ravel()
         for k in range(WIDTH):
             grad.vectors[:, k] = np.bincount(flat, by_place[:, k], VOCABULARY + 1)
-        g = grad.flat / n
-        seen.flat += g * g
-        self.flat -= rate * g / np.sqrt(seen.flat + 1e-8)
+        g = grad.flat
+        g /= n
+        square = g * g
+        seen.flat += square
+        np.sqrt(seen.flat + np.float32(1e-10), out=square)
+        g /= square
+        g *= rate
+        self.flat -= g
 
 
-def _train(network: np.ndarray, known: np.ndarray, rate: float, batch_words: int):
-    """Rows (slice, weight, values) of the network that one partition's documents make of the shared one."""
+def _train(network, rate: float, batch_words: int):
+    """Rows (part, slice, values, weights) of the network that one slice's documents make of the shared one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, own = SpanHash(), Network(network.copy())
-        seen, trained = Network(np.zeros_like(network)), 0
+        shared, known = network.value
+        hasher, own, seen, at = SpanHash(), None, None, None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(own.flat), _PART):
+                values, weights = (x.flat[k : k + _PART].tobytes() for x in (own, seen))
+                yield pa.record_batch({"part": pa.array([k // _PART], pa.int32()), "slice": pa.array([at], pa.int32()), "values": pa.array([values], pa.binary()), "weights": pa.array([weights], pa.binary())})
+
         for batch in batches:
-            raw, offsets = utf8(batch.column(0))
-            for i, j in passes(offsets, _PASS):
-                words, rows = _words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], hasher)
-                ids = ids_of(words, known)
-                context = contexts(ids, rows)
-                order = np.random.default_rng(len(ids)).permutation(len(ids))
-                for k in range(0, len(ids), batch_words):
-                    some = order[k : k + batch_words]
-                    own.step(context[some], ids[some], seen, rate)
-                trained += len(ids)
-        if trained:
-            for k in range(0, len(network), _SLICE):
-                yield pa.record_batch({"slice": pa.array([k // _SLICE], pa.int32()), "weight": [float(trained)], "values": pa.array([own.flat[k : k + _SLICE].tolist()], pa.list_(pa.float32()))})
+            slices = np.asarray(batch.column(1))
+            cuts = [0, *(np.flatnonzero(slices[1:] != slices[:-1]) + 1).tolist(), len(slices)]
+            for first, last in zip(cuts, cuts[1:], strict=False):
+                if first == last:
+                    continue
+                if at != slices[first]:
+                    if at is not None:
+                        yield from done()
+                    at, own, seen = int(slices[first]), Network(shared.copy()), Network(np.zeros_like(shared))
+                raw, offsets = utf8(batch.column(0).slice(first, last - first))
+                for i, j in passes(offsets, _PASS):
+                    words, rows = _words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], hasher)
+                    ids = ids_of(words, known)
+                    context = contexts(ids, rows)
+                    order = np.random.default_rng(len(ids)).permutation(len(ids))
+                    for some in np.array_split(order, max(1, len(order) // batch_words)) if len(order) else ():
+                        own.step(context[some], ids[some], seen, rate)
+        if at is not None:
+            yield from done()
 
     return run
 
 
-def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a slice: the weighted mean of a partition's rows, which come in any order."""
-    held: dict[int, tuple[float, np.ndarray]] = {}
-    for batch in batches:
-        for s, w, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            values = np.asarray(v.values, dtype=np.float64) * w
-            old = held.get(s)
-            held[s] = (w, values) if old is None else (old[0] + w, old[1] + values)
-    for s, (w, v) in held.items():
-        yield pa.record_batch({"slice": pa.array([s], pa.int32()), "weight": [w], "values": pa.array([(v / w).astype(np.float32).tolist()], pa.list_(pa.float32()))})
+def _average(shared, last: bool):
+    """(part, slice, values, weights) to one row a part; values are sums of weighted values until the last step divides."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for part, values, weights in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                # rows of one slice are single precision, sums are double
+                kind = np.float64 if last else np.float32
+                w = np.frombuffer(weights, kind).astype(np.float64)
+                v = np.frombuffer(values, kind) if last else np.frombuffer(values, kind) * w
+                if part in held:
+                    held[part][0] += v
+                    held[part][1] += w
+                else:
+                    held[part] = [v.astype(np.float64), w]
+        for part, (v, w) in sorted(held.items()):
+            if last:
+                old = shared.value[0][part * _PART : part * _PART + len(v)]
+                v, w = np.where(w > 0, v / np.maximum(w, 1e-300), old).astype(np.float32), w[:0]
+            yield pa.record_batch({"part": pa.array([part], pa.int32()), "slice": pa.array([0], pa.int32()), "values": pa.array([v.tobytes()], pa.binary()), "weights": pa.array([w.tobytes()], pa.binary())})
+
+    return run
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: float = 1, rounds: int = 2, rate: float = 0.1, batch_words: int = 2048, fan_in: int = 64, seed: int = 5) -> tuple[np.ndarray, Vocabulary]:
-    """(network, vocabulary), trained on all documents, or on a share of them that a hash of the id selects."""
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, rate: float = 0.1, batch_words: int = 8192, slice_words: int = SLICE_WORDS, fan_in: int = 32, seed: int = 5) -> tuple[np.ndarray, Vocabulary]:
+    """(network, vocabulary), trained on all documents."""
     known = vocabulary(docs, text_col)
-    network = Network.start(seed).flat
-    narrow = pick(docs, id=id_col, text=text_col).where("text is not null")
-    chosen = (narrow if share >= 1 else narrow.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)))).select("text")
-    schema = "slice int, weight double, values array<float>"
+    sc = docs.sparkSession.sparkContext
+    network = Network.start(seed, known.leaves).flat
+    n = max(1, round(known.leaves.sum() / slice_words))
+    dealt = pick(docs, id=id_col, text=text_col).where("text is not null").select("text", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int").alias("slice"), F.xxhash64("text", "id").alias("place"))
+    dealt = dealt.repartitionById(n, "slice").sortWithinPartitions("slice", "place").select("text", "slice")
+    schema = "part int, slice int, values binary, weights binary"
     for r in range(rounds):
-        parts = chosen.mapInArrow(_train(network, known.top, rate / (1 + r), batch_words), schema)
-        some = parts.repartition(fan_in, "slice", F.pmod(F.hash("values"), F.lit(fan_in))).mapInArrow(_average, schema)
-        rows = checkpoint(some.repartition("slice").mapInArrow(_average, schema)).orderBy("slice").collect()  # one network
+        shared = sc.broadcast((network, known.top))
+        parts = dealt.mapInArrow(_train(shared, rate / (1 + r), batch_words), schema)
+        some = parts.repartition(fan_in, "part", F.pmod("slice", F.lit(8))).sortWithinPartitions("part", "slice").mapInArrow(_average(shared, False), schema)
+        rows = checkpoint(some.repartition("part").sortWithinPartitions("part", F.xxhash64("values")).mapInArrow(_average(shared, True), schema)).orderBy("part").collect()  # one network
         if rows:
-            network = np.concatenate([np.array(r["values"], np.float32) for r in rows])
+            network = np.concatenate([np.frombuffer(r["values"], np.float32) for r in rows])
     return network, known
 
 
 def score(docs: DataFrame, network: np.ndarray, known: Vocabulary, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, log_likelihood, mean_log_likelihood) of every document."""
     narrow = pick(docs, id=id_col, text=text_col)
-    top, common, totals = known.top, known.common, known.totals
+    model = docs.sparkSession.sparkContext.broadcast((network, known.top, known.common, known.totals))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, net, key = SpanHash(), Network(network), TaskContext.get().partitionId() << 40
+        flat, top, common, totals = model.value
+        hasher, net, key = SpanHash(), Network(flat), TaskContext.get().partitionId() << 40
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
             for i, j in passes(offsets, _PASS):
                 words, rows = _words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], hasher)
                 ids = ids_of(words, top)
                 context = contexts(ids, rows)
-                parts = [net.log_p(context[k : k + 8192], ids[k : k + 8192]) for k in range(0, len(ids), 8192)]
+                parts = [net.log_p(context[k : k + 32768], ids[k : k + 32768]) for k in range(0, len(ids), 32768)]
                 within, rare = shares(words, ids, common, totals)
                 bounds = row_bounds(rows, j - i)
                 total = reduce_rows(np.add, np.concatenate(parts) + within if parts else np.zeros(0), bounds, 0.0)
@@ -287,7 +344,7 @@ def score(docs: DataFrame, network: np.ndarray, known: Vocabulary, *, id_col: st
 
     kind = narrow.schema["id"].dataType.simpleString()
     held = checkpoint(narrow.mapInArrow(run, f"id {kind}, n_words bigint, sum double, key bigint, open array<bigint>"))
-    share = F.ln(F.coalesce("n", F.lit(1)) / F.element_at(F.lit([float(t) for t in totals]), _group(F.col("word")) + 1))
+    share = F.ln(F.coalesce("n", F.lit(1)) / F.element_at(F.lit([float(t) for t in known.totals]), _group(F.col("word")) + 1))
     joined = held.select("key", F.explode("open").alias("word")).join(known.counts, "word", "left").groupBy("key").agg(F.sum(share).alias("more"))
     whole = held.drop("open").join(joined, "key", "left").withColumn("sum", F.col("sum") + F.coalesce("more", F.lit(0.0)))
     mean = F.when(F.col("n_words") > 0, F.col("sum") / F.col("n_words"))

@@ -4,7 +4,6 @@ import random
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from citeloom.llm import masked_lm as lm
 
@@ -50,13 +49,13 @@ def corpus(spark, n=300):
 
 def test_learns_order_and_scores_odd_rows(spark):
     docs = corpus(spark)
-    net, known = lm.fit(docs, share=1.0, rounds=2, batch_words=64)
+    net, known = lm.fit(docs, rounds=2, batch_words=64)
     got = lm.score(docs, net, known).collect()
     assert len(got) == 307
     by = {r["doc_id"]: r for r in got}
     assert by[1001]["log_likelihood"] == 0 and by[1001]["mean_log_likelihood"] is None and by[1002]["n_words"] == 0
     assert by[0]["mean_log_likelihood"] > by[1000]["mean_log_likelihood"] + 1
-    assert by[0]["mean_log_likelihood"] > -np.log(lm.VOCABULARY) / 2
+    assert by[0]["mean_log_likelihood"] > -np.log(12) + 0.5
     assert by[1004]["n_words"] == 100_000
 
 
@@ -68,9 +67,33 @@ def test_empty_table(spark):
 
 def test_every_document_trains(spark):
     docs = corpus(spark)
-    unlucky = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) >= 1 << 16).limit(3)
-    for some in (unlucky, docs.where("doc_id is null")):
-        assert (lm.fit(some, rounds=1)[0] != lm.Network.start(5).flat).any()
+    start = lambda known: lm.Network.start(5, known.leaves).flat
+    for some in (docs.where("doc_id = 3"), docs.where("doc_id is null")):
+        net, known = lm.fit(some, rounds=1)
+        assert (net != start(known)).any()
+
+
+def test_partitions_do_not_matter(spark):
+    docs = corpus(spark)
+    one, two = (lm.fit(docs.repartition(k), rounds=1, slice_words=2000)[0] for k in (1, 7))
+    assert np.array_equal(one, two)
+
+
+def test_starts_as_word_frequencies():
+    leaves = np.arange(1.0, lm.VOCABULARY + 1)
+    net = lm.Network.start(1, leaves)
+    context = np.random.default_rng(0).integers(0, lm.VOCABULARY + 1, (50, 2 * lm.SIDE))
+    target = np.arange(0, lm.VOCABULARY, lm.VOCABULARY // 50)[:50]
+    assert np.allclose(net.log_p(context, target), np.log((leaves[target] + 0.1) / (leaves + 0.1).sum()), atol=1e-3)
+
+
+def test_a_second_copy_raises_the_score(spark):
+    """Words that only one text has are likelier where the corpus holds that text twice."""
+    once, twice = " ".join(f"a{k}" for k in range(300)), " ".join(f"b{k}" for k in range(300))
+    often = " ".join(f"w{k} " * 3 for k in range(lm.VOCABULARY))
+    docs = spark.createDataFrame([(0, often), (1, once), (2, twice), (3, twice)], "doc_id bigint, text string")
+    by = {r["doc_id"]: r["mean_log_likelihood"] for r in lm.score(docs, *lm.fit(docs, rounds=1)).collect()}
+    assert by[2] == by[3] > by[1] + 0.5
 
 
 def test_every_word_has_its_own_probability(spark, monkeypatch):
@@ -88,7 +111,7 @@ def test_every_word_has_its_own_probability(spark, monkeypatch):
     assert np.allclose(results[0], results[1]) and np.allclose(results[0], results[2])
     hasher, groups = lm.SpanHash(), Counter()
     data = [np.frombuffer(w.encode(), np.uint8) for w in n]
-    group = {w: int(hasher(d, np.array([0]), np.array([len(d)]))[0]) >> 56 for w, d in zip(n, data, strict=True)}
+    group = {w: int(hasher(d, np.array([0]), np.array([len(d)]))[0]) >> 64 - lm.GROUP_BITS for w, d in zip(n, data, strict=True)}
     for w in n:
         groups[group[w]] += n[w]
     net, known = lm.fit(docs, rounds=1)
@@ -100,6 +123,6 @@ def test_every_word_has_its_own_probability(spark, monkeypatch):
         assert abs(got - want) < 1e-3
     unseen = spark.createDataFrame([(7, "neverseen")], "doc_id bigint, text string")
     d = np.frombuffer(b"neverseen", np.uint8)
-    g = int(hasher(d, np.array([0]), np.array([9]))[0]) >> 56
+    g = int(hasher(d, np.array([0]), np.array([9]))[0]) >> 64 - lm.GROUP_BITS
     want = lm.Network(net).log_p(alone, np.array([lm.VOCABULARY - lm.GROUPS + g]))[0] - np.log(groups[g] + 1)
     assert abs(lm.score(unseen, net, known).first()["log_likelihood"] - want) < 1e-3
