@@ -2,14 +2,15 @@
 
 A bidirectional window network, written in numpy, predicts every word from the two words on either side: the
 vectors of the four neighbours, each in a place of its own, pass a hidden layer, and a softmax tree of three levels
-with 32 branches each gives the word's leaf. A document's score is the sum of the log-probabilities of its words, each
-with the word itself hidden.
+with 32 branches each gives the word's leaf; on the last level the 8,192 most frequent words depend on the neighbours,
+rarer ones on their leaf's share of its node alone. A document's score is the sum of the log-probabilities of its
+words, each with the word itself hidden.
 
 The vocabulary is every word of all documents, with counts over the whole corpus. The 30,720 most frequent words have a
 leaf of their own; all others fall into 2,048 leaves by hash, and such a word's probability is its leaf's times its
 share of the leaf's count, with one count set aside in each for a word that was never counted. The counts of the next
 most frequent words travel with the network, those of all others are joined. The network starts as the word
-frequencies; training is distributed: documents are dealt by a hash of their id and text into slices of about two
+frequencies; training is distributed: documents are dealt by a hash of their id and text into slices of about four
 million words, a task improves the shared network on all documents of its slice in the order of another hash, and
 the networks are averaged, each number weighted by the squared gradients that the slice has for it, so a word counts
 where it occurs. Slices depend on the rows alone, so neither the number of files nor of executors changes the result.
@@ -36,6 +37,8 @@ from ._common import LOWER, SPACE, SpanHash, checkpoint, passes, pick, reduce_ro
 
 FAN = 32
 VOCABULARY = FAN**3
+#: Nodes of the last level, those of the most frequent words, whose branches depend on the neighbours.
+NEAR = 256
 #: Leaves that share the words without one of their own; they are the last.
 GROUP_BITS = 11
 GROUPS = 1 << GROUP_BITS
@@ -45,8 +48,9 @@ _EDGE = VOCABULARY
 #: Words in shared leaves whose counts every task holds; it only spares rows of the join.
 COMMON = 1 << 18
 #: Words that one training slice holds, and parameters of one row on their way to the average.
-SLICE_WORDS, _PART = 2_000_000, 1 << 16
+SLICE_WORDS, _PART = 4_000_000, 1 << 16
 _PASS = 1_000_000
+_TINY = np.float32(1e-10)
 
 
 def _words(raw: np.ndarray, offsets: np.ndarray, hasher: SpanHash) -> tuple[np.ndarray, np.ndarray]:
@@ -143,19 +147,20 @@ def contexts(ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's softmax, and the log of its denominator."""
-    top = z.max(1, keepdims=True)
+def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """exp(z - top), its row sums and top: one for all rows, or each row's own where that could lose a row."""
+    top = z.max(keepdims=True) if z.size else np.zeros((1, 1), z.dtype)
+    if z.size and top[0, 0] - z.min() > 60:
+        top = z.max(1, keepdims=True)
     p = np.exp(z - top)
-    total = p.sum(1, keepdims=True)
-    p /= total
-    return p, (top + np.log(total))[:, 0]
+    return p, p @ np.ones(p.shape[1], p.dtype), top[:, 0]
 
 
 class Network:
-    """vectors: id × WIDTH; inner: places × HIDDEN; a softmax over FAN branches at the root, at each of FAN classes and at each of FAN² nodes."""
+    """vectors: id × WIDTH; inner: places × HIDDEN; a softmax over FAN branches at the root, at each of FAN classes and at NEAR of FAN² nodes;
+    fixed: the log of each leaf's share of its node, for the other nodes."""
 
-    shapes = {"vectors": (VOCABULARY + 1, WIDTH), "inner": (2 * SIDE * WIDTH, HIDDEN), "inner_bias": (HIDDEN,), "out0": (1, HIDDEN, FAN), "bias0": (1, FAN), "out1": (FAN, HIDDEN, FAN), "bias1": (FAN, FAN), "out2": (FAN * FAN, HIDDEN, FAN), "bias2": (FAN * FAN, FAN)}
+    shapes = {"vectors": (VOCABULARY + 1, WIDTH), "inner": (2 * SIDE * WIDTH, HIDDEN), "inner_bias": (HIDDEN,), "out0": (1, HIDDEN, FAN), "bias0": (1, FAN), "out1": (FAN, HIDDEN, FAN), "bias1": (FAN, FAN), "out2": (NEAR, HIDDEN, FAN), "bias2": (NEAR, FAN), "fixed": (FAN * FAN - NEAR, FAN)}
 
     def __init__(self, flat: np.ndarray) -> None:
         self.flat, at = flat, 0
@@ -174,8 +179,11 @@ class Network:
         net.inner[:] = rng.normal(0, net.inner.shape[0] ** -0.5, net.inner.shape)
         counts = (np.zeros(VOCABULARY) if leaves is None else leaves) + 0.1
         for _, bias in reversed(net.levels):
-            bias[:] = np.log(counts).reshape(bias.shape)
+            log = np.log(counts).reshape(-1, FAN)
+            bias[:] = log[: len(bias)]
             counts = counts.reshape(-1, FAN).sum(1)
+            if bias is net.bias2:
+                net.fixed[:] = log[NEAR:] - np.log(counts[NEAR:, None])
         return net
 
     def inputs(self, context: np.ndarray) -> np.ndarray:
@@ -184,38 +192,44 @@ class Network:
     def hidden(self, x: np.ndarray) -> np.ndarray:
         return np.tanh(x @ self.inner + self.inner_bias)
 
-    def nodes(self, h: np.ndarray, target: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[tuple[int, int, int]], np.ndarray, np.ndarray, np.ndarray]]:
-        """For each level its number, the words in order of their node there, (node, start, end) of each that occurs, and in that order h, the logits and the branches taken."""
+    def nodes(self, h: np.ndarray, target: np.ndarray) -> Iterator[tuple]:
+        """For each level its number, the words that have one in order of their node there, (node, start, end) of each that occurs, and in that order h, the logits and the branches taken."""
         for k, (out, bias) in enumerate(self.levels):
             leaf = target // FAN ** (2 - k)
             node, branch = leaf // FAN, leaf % FAN
-            order = np.argsort(node.astype(np.uint16), kind="stable")
+            order = np.argsort(node.astype(np.uint16), kind="stable") if k else np.arange(len(node))
             own = node[order]
+            if k == 2:
+                own = own[: np.searchsorted(own, NEAR)]
+                order = order[: len(own)]
             cuts = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)]]) if len(own) else np.zeros(1, np.int64)
-            runs = [(int(own[i]), int(i), int(j)) for i, j in zip(cuts, cuts[1:], strict=False)]
-            held = h.take(order, 0)
-            z = bias[own]
+            runs = list(zip(own[cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+            held = h.take(order, 0) if k else h
+            z = bias.take(own, 0)
             for c, i, j in runs:
                 z[i:j] += held[i:j] @ out[c]
             yield k, order, runs, held, z, branch[order]
 
     def log_p(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        h, total = self.hidden(self.inputs(context)), np.zeros(len(target))
+        h = self.hidden(self.inputs(context))
+        total = np.where(target >= NEAR * FAN, self.fixed.ravel()[np.maximum(target - NEAR * FAN, 0)], 0.0)
         for _, order, _, _, z, branch in self.nodes(h, target):
-            _, whole = _softmax(z)
-            total[order] += z[np.arange(len(z)), branch] - whole
+            _, whole, top = _softmax(z)
+            total[order] += z[np.arange(len(z)), branch] - np.log(whole) - top
         return total
 
-    def step(self, context: np.ndarray, target: np.ndarray, seen: Network, rate: float) -> None:
-        """One step of gradient descent with step sizes for each parameter."""
+    def step(self, context: np.ndarray, target: np.ndarray, seen: Network, rate: float, grad: Network | None = None) -> None:
+        """One step of gradient descent with step sizes for each parameter; grad: room for the gradient."""
         n = len(target)
+        grad = Network(np.empty_like(self.flat)) if grad is None else grad
+        grad.flat[:] = 0
         x = self.inputs(context)
         h = self.hidden(x)
-        grad = Network(np.zeros_like(self.flat))
         back = np.zeros_like(h)
         for k, order, runs, held, z, branch in self.nodes(h, target):
-            p, _ = _softmax(z)
-            p[np.arange(n), branch] -= 1
+            p, whole, _ = _softmax(z)
+            p /= whole[:, None]
+            p[np.arange(len(p)), branch] -= 1
             (out, _), (grad_out, grad_bias) = self.levels[k], grad.levels[k]
             inner = np.empty_like(held)
             for c, i, j in runs:
@@ -230,14 +244,14 @@ class Network:
         flat = context.ravel()
         for k in range(WIDTH):
             grad.vectors[:, k] = np.bincount(flat, by_place[:, k], VOCABULARY + 1)
-        g = grad.flat
-        g /= n
-        square = g * g
-        seen.flat += square
-        np.sqrt(seen.flat + np.float32(1e-10), out=square)
-        g /= square
-        g *= rate
-        self.flat -= g
+        # a few thousand numbers at a time stay in the processor's cache
+        for i in range(0, len(self.flat), 1 << 14):
+            g, own, past = grad.flat[i : i + (1 << 14)], self.flat[i : i + (1 << 14)], seen.flat[i : i + (1 << 14)]
+            g *= 1 / n
+            past += g * g
+            g /= np.sqrt(past + _TINY)
+            g *= rate
+            own -= g
 
 
 def _train(network, rate: float, batch_words: int):
@@ -245,7 +259,7 @@ def _train(network, rate: float, batch_words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared, known = network.value
-        hasher, own, seen, at = SpanHash(), None, None, None
+        hasher, own, seen, at, grad = SpanHash(), None, None, None, Network(np.empty_like(shared))
 
         def done() -> Iterator[pa.RecordBatch]:
             for k in range(0, len(own.flat), _PART):
@@ -269,7 +283,7 @@ def _train(network, rate: float, batch_words: int):
                     context = contexts(ids, rows)
                     order = np.random.default_rng(len(ids)).permutation(len(ids))
                     for some in np.array_split(order, max(1, len(order) // batch_words)) if len(order) else ():
-                        own.step(context[some], ids[some], seen, rate)
+                        own.step(context[some], ids[some], seen, rate, grad)
         if at is not None:
             yield from done()
 
@@ -301,7 +315,7 @@ def _average(shared, last: bool):
     return run
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, rate: float = 0.1, batch_words: int = 8192, slice_words: int = SLICE_WORDS, fan_in: int = 32, seed: int = 5) -> tuple[np.ndarray, Vocabulary]:
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1, rate: float = 0.1, batch_words: int = 8192, slice_words: int = SLICE_WORDS, fan_in: int = 32, seed: int = 5) -> tuple[np.ndarray, Vocabulary]:
     """(network, vocabulary), trained on all documents."""
     known = vocabulary(docs, text_col)
     sc = docs.sparkSession.sparkContext
