@@ -15,8 +15,10 @@ and share two collections, a sketch of 512 one-byte minhashes drops those far be
 rest is compared on full sets. So no key, however frequent, makes rows for its pairs or gathers in one task.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing; a text of
-fewer than five words has its whole word sequence as its one shingle; a null id is linked with nothing and kept;
-rows that share an id get the same component; an empty table gives an empty result; other columns are never read.
+fewer than five words has its whole word sequence as its one shingle; a very long text is hashed whole, its minhashes
+taken in blocks; a null id is linked with nothing and kept; ids may have any type that can be ordered; each row is a
+document, so rows that share an id are linked by their texts alone and equal rows get equal results; an empty table
+gives an empty result; other columns, clashing names among them, are never read.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, SPACE, SpanHash, checkpoint, components, mix, passes, pick, powers, row_bounds, spans, utf8
+from ._common import LOWER, SPACE, SpanHash, checkpoint, components, mix, numbered, passes, pick, powers, row_bounds, spans, utf8
 
 SHINGLE = 5
 DEPTH, MISSED = 4, 0.00001
@@ -95,7 +97,7 @@ def _signatures(count: int):
                         digest[k] = s.sum(), mix(s + np.uint64(1)).sum()
                 flat = pa.array(keys.view(np.int64).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * count), flat)
-                yield pa.record_batch({"id": batch.column(0).slice(i, j - i), "n": np.array([len(s) for s in sets], np.int64), "d1": digest[:, 0].copy().view(np.int64), "d2": digest[:, 1].copy().view(np.int64), "keys": lists})
+                yield pa.record_batch({"id": batch.column(0).slice(i, j - i), "body": batch.column(2).slice(i, j - i), "n": np.array([len(s) for s in sets], np.int64), "d1": digest[:, 0].copy().view(np.int64), "d2": digest[:, 1].copy().view(np.int64), "keys": lists})
 
     return run
 
@@ -234,13 +236,19 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(_confirm(percent), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every document; links hold at percent hundredths of similarity."""
+def _grouped(narrow: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, body, n, keeper) of the rows (id, text, body) that can be linked, and rows (id, body, n) of all others.
+
+    body is a digest of the text; keeper, the smallest (id, body) of a row's component.
+    """
     count = collections(percent)
-    narrow = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("bigint"))
-    signed = checkpoint(narrow.mapInArrow(_signatures(count), "id bigint, n bigint, d1 bigint, d2 bigint, keys array<bigint>"))
-    classes = signed.where("n > 0 and id is not null").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"))
-    classes = checkpoint(classes)
+    kind = narrow.schema["id"].dataType.simpleString()
+    signed = narrow.select("id", "text", "body").mapInArrow(_signatures(count), f"id {kind}, body string, n bigint, d1 bigint, d2 bigint, keys array<bigint>")
+    signed = checkpoint(signed)
+    live = signed.where("n > 0 and id is not null")
+    # a class of equal sets is known by a number of its own from here on
+    classes = live.groupBy("n", "d1", "d2").agg(F.min(F.struct("id", "body")).alias("least"), F.first("keys").alias("keys"))
+    classes = checkpoint(classes.withColumn("rep", F.monotonically_increasing_id()))
     # collections that more than one class has
     single = classes.select("rep", F.explode("keys").alias("c"))
     shared = single.groupBy("c").agg(F.count("*").alias("k")).where("k > 1").select("c")
@@ -249,15 +257,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("k")).where("k > 1").select("key", "head")
     keys = checkpoint(keys.join(heads, "key"))
     star = checkpoint(keys.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct())
-    # a text for each class that takes part in a pair
+    # a text for each class that takes part in a pair; copies of a text fold before they move
     ids = star.select("a").union(star.select(F.col("b").alias("a"))).distinct()
-    texts = narrow.join(ids.withColumnRenamed("a", "id"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    wanted = classes.join(ids, F.col("rep") == F.col("a"), "left_semi").select("rep", F.col("least.body").alias("body"))
+    texts = narrow.where("text is not null").groupBy("body").agg(F.first("text").alias("text")).join(wanted, "body").select(F.col("rep").alias("id"), "text")
     texts = checkpoint(texts)
     links = checkpoint(confirm(star, texts, percent))
     found = components(links)
     # keys that still hold several components
     marked = keys.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = marked.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).where("x <> y").select("key", "members")
+    mixed = marked.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     open_ = checkpoint(marked.join(mixed, "key"))
     who = open_.groupBy("id").agg(F.first("component").alias("component"), F.min("key").alias("place"))
     who = who.join(classes.select(F.col("rep").alias("id"), "keys"), "id")
@@ -276,7 +285,31 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     more = checkpoint(confirm(near, texts, percent))
     if not more.isEmpty():
         found = components(links.union(more))
-    by_class = classes.select("n", "d1", "d2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("id", "n", "d1", "d2").join(by_class, ["n", "d1", "d2"], "left")
-    component = F.when(F.col("n") > 0, F.coalesce(F.when(F.col("id").isNotNull(), F.col("component")), "id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    member = classes.select("rep", "least").join(found.withColumnRenamed("node", "rep"), "rep")
+    names = member.groupBy("component").agg(F.min("least").alias("keeper"))
+    renamed = member.join(names, "component").select("rep", "keeper")
+    by_class = classes.select("n", "d1", "d2", "rep", "least").join(renamed, "rep", "left").select("n", "d1", "d2", F.coalesce("keeper", "least").alias("keeper"))
+    grouped = live.select("id", "body", "n", "d1", "d2").join(by_class, ["n", "d1", "d2"]).select("id", "body", "n", "keeper")
+    return grouped, signed.where("not (n > 0 and id is not null)").select("id", "body", "n")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+    """(id, n_shingles, component_id, kept) of every document; links hold at percent hundredths of similarity."""
+    grouped, others = _grouped(pick(docs, id=id_col, text=text_col).withColumn("body", F.md5("text")), percent)
+    out = grouped.select("id", "n", F.col("keeper.id").alias("component_id")).union(others.select("id", "n", "id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+    """The rows of docs without near-duplicates: of each component one row stays, that of the smallest id and, among
+    rows that share it, of the smallest digest of the text; of rows that repeat both, the first by their JSON."""
+    flat, at = numbered(docs, id=id_col, text=text_col)
+    rows = flat.withColumns({"id_of": F.col(at["id"]), "body_of": F.md5(at["text"])})
+    grouped, _ = _grouped(pick(docs, id=id_col, text=text_col).withColumn("body", F.md5("text")), percent)
+    # of each id and text that goes, or that several rows have
+    gone = grouped.groupBy("id", "body").agg(F.count("*").alias("k"), F.first(F.struct("id", "body") != F.col("keeper")).alias("goes")).where("goes or k > 1")
+    gone = checkpoint(gone.select(F.col("id").alias("id_of"), F.col("body").alias("body_of"), "goes"))
+    left = rows.join(gone, ["id_of", "body_of"], "left_anti").select(*flat.columns)
+    whole = F.struct(*flat.columns)
+    again = rows.join(gone.where("not goes"), ["id_of", "body_of"], "left_semi").groupBy("id_of", "body_of").agg(F.min_by(whole, F.to_json(whole)).alias("row"))
+    return left.union(again.select("row.*")).toDF(*docs.columns)

@@ -3,7 +3,7 @@
 import random
 import re
 
-from citeloom.llm.near_duplicates import near_duplicates
+from citeloom.llm.near_duplicates import near_duplicates, without_near_duplicates
 
 
 def brute(texts):
@@ -60,3 +60,22 @@ def test_defined_cases(spark, docs):
 def test_extra_columns_that_differ_in_case(spark):
     df = spark.createDataFrame([(1, "a b c d e f", 5, "x"), (2, "a b c d e f", 6, "y")], "doc_id bigint, text string, n bigint, Keys string")
     assert run(df) == {1: (2, 1, True), 2: (2, 1, False)}
+
+
+def test_rows_that_share_an_id_and_text_ids(spark):
+    a, b = [" ".join(f"{x}{k}" for k in range(60)) for x in "ab"]
+    near = lambda t: t + " tail"
+    rows = [("7", a), ("7", b), ("9", near(b)), ("8", near(a)), ("5", "alone with more than five words"), (None, a), ("7", a)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_duplicates(df).collect()), key=str)
+    assert got == sorted([("7", 56, "7"), ("7", 56, "7"), ("7", 56, "7"), ("9", 57, "7"), ("8", 57, "7"), ("5", 2, "5"), (None, 56, None)], key=str)
+    left = sorted(((r["doc_id"], r["text"]) for r in without_near_duplicates(df).collect()), key=str)
+    assert left == sorted([("7", a), ("7", b), ("5", "alone with more than five words"), (None, a)], key=str)
+
+
+def test_repeated_rows_leave_one(spark):
+    t = " ".join(f"w{k}" for k in range(30))
+    df = spark.createDataFrame([(1, t, "y", 3), (1, t, "x", 3), (2, t, "x", 1), (3, None, "x", 1), (3, None, "x", 1)], "doc_id bigint, text string, Text string, keeper int")
+    got = sorted((tuple(r) for r in without_near_duplicates(df).collect()), key=str)
+    assert got == sorted([(1, t, "x", 3), (3, None, "x", 1), (3, None, "x", 1)], key=str)
+    assert without_near_duplicates(df.where("false")).count() == 0
