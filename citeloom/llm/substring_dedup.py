@@ -1,19 +1,22 @@
 """Substring dedup: content-defined chunking with a gear rolling hash.
 
 A text's bytes are cut where the gear hash of the last 16 bytes meets a mask, unless another such place lies just
-before, so a cut depends on a few bytes around it only and insertions elsewhere do not move it. Chunks are known
-by a 64-bit digest. Of equal chunks the first by document id and position stays; the others are duplicates, and a
-run of duplicates of at least min_words words is removed from its document.
+before, so a cut depends on a few bytes around it only and insertions elsewhere do not move it. A longer stretch where
+no hash meets the mask, such as a word over and over, is cut where the hash is least among its neighbours, which is at
+one and the same place of every period. Chunks are known by a 64-bit digest. Of equal chunks the first by document id
+and position stays; the others are duplicates, and a run of duplicates of at least min_words words is removed from its
+document.
 
-Each task first folds equal chunks of the few megabytes that it holds at a time: only the first of them is sent on,
-the others are duplicates for certain and travel as one list for each document. So a passage that a third of all
-documents share sends one row for each few megabytes of text. One shuffle by digest then ranks the rest; a second,
-by document, brings the duplicates back to their text.
+Each task first folds equal chunks of the few megabytes that it holds at a time, and remembers about a million digests
+beyond that: a chunk that comes later than one it has sent on is a duplicate for certain and travels with its
+document's list. So a passage that a third of all documents share sends a few rows a task. One shuffle by digest then
+ranks the rest; a second, by document, brings the duplicates back to their text.
 
 Defined cases: a null text stays null, an empty one empty, and neither has chunks; documents with a null id are left
-as they are and count for no other; rows that share an id and a text count as one document and are cut alike, and
-equal ids with different texts are told apart by a checksum; texts that tie are ordered by id; an empty table gives
-an empty result; other columns pass through text_of unchanged.
+as they are and count for no other; ids that are no integers are ordered by a hash; rows that share an id and a text
+count as one document and are cut alike, and equal ids with different texts are told apart by a checksum; texts that
+tie are ordered by id; a very long text is cut in one piece, in memory of some 40 times its length; an empty table gives
+an empty result; other columns, clashing names among them, pass through unchanged.
 """
 
 from __future__ import annotations
@@ -23,8 +26,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import SPACE, SpanHash, ddl, named_again, numbered, passes, pick, spans, utf8
 
@@ -32,7 +36,11 @@ from ._common import SPACE, SpanHash, ddl, named_again, numbered, passes, pick,
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 REACH = 16
 MASK = np.uint32(0b1111 << (REACH - 5))
-NEAR, LONGEST = 8, 256
+NEAR, LONGEST = 8, 128
+#: In stretches without a hash cut: the neighbours on either side that a hash is compared with, and the least length of a chunk.
+BESIDE, SHORTEST = 24, 48
+#: Slots of a task's memory of digests.
+SLOTS = 1 << 20
 
 
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -54,11 +62,23 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         ends = ends[np.concatenate([[True], np.diff(ends) > NEAR])]
     starts = np.union1d(first, ends)
     length = np.diff(np.append(starts, n))
-    long = np.flatnonzero(length > LONGEST)
-    if len(long):
-        more = [np.arange(starts[k] + LONGEST, starts[k] + length[k], LONGEST) for k in long]
-        starts = np.union1d(starts, np.concatenate(more))
-    return starts
+    more = [_least_cuts(h, int(starts[k]), int(starts[k] + length[k])) for k in np.flatnonzero(length > LONGEST)]
+    return np.union1d(starts, np.concatenate(more)) if more else starts
+
+
+def _least_cuts(h: np.ndarray, start: int, end: int) -> np.ndarray:
+    """Cuts of a stretch from start to end: after places whose hash is the least of those around it, SHORTEST apart at least and LONGEST at most."""
+    own = h[start + REACH : end]
+    around = np.pad(own, BESIDE, mode="edge")
+    least = np.lib.stride_tricks.sliding_window_view(around, 2 * BESIDE + 1)
+    places = np.concatenate([np.flatnonzero(own[i : i + 65536] == least[i : i + 65536].min(1)) + i for i in range(0, len(own), 65536)]) + start + REACH + 1
+    out, last = [], start
+    while end - last > SHORTEST:
+        k = int(np.searchsorted(places, last + SHORTEST))
+        last = min(int(places[k]) if k < len(places) else end, last + LONGEST)
+        if last < end:
+            out.append(last)
+    return np.array(out, np.int64)
 
 
 def _digests(raw: np.ndarray, offsets: np.ndarray, hasher: SpanHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,6 +97,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     place holds the text's checksum above the chunk's number in its text.
     """
     hasher = SpanHash()
+    # digest, id and place of the earliest chunk that was sent on, by slot
+    sent, sent_id, sent_place = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
     for batch in batches:
         ids = np.asarray(batch.column(0))
         raw_all, offsets_all = utf8(batch.column(1))
@@ -93,6 +115,15 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             head = np.concatenate([[True], d[1:] != d[:-1]])
             lead = np.maximum.accumulate(np.where(head, np.arange(len(d)), 0))
             same = (o == o[lead]) & (p == p[lead])
+            # a digest that was sent on before with an earlier place needs no row
+            slot = (d[head] & np.uint64(SLOTS - 1)).astype(np.int64)
+            known, o_head, p_head = sent[slot] == d[head], o[head], p[head]
+            later = known & ((sent_id[slot] < o_head) | (sent_id[slot] == o_head) & (sent_place[slot] < p_head))
+            repeat = known & (sent_id[slot] == o_head) & (sent_place[slot] == p_head)
+            new = ~(later | repeat)
+            sent[slot[new]], sent_id[slot[new]], sent_place[slot[new]] = d[head][new], o_head[new], p_head[new]
+            same &= ~later[np.cumsum(head) - 1]
+            head[np.flatnonzero(head)[~new]] = False
             yield pa.record_batch({"digest": d[head].view(np.int64), "id": o[head], "place": p[head], "places": pa.nulls(int(head.sum()), pa.list_(pa.int64()))})
             again = ~same
             if again.any():
@@ -105,9 +136,15 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch({"digest": salt, "id": o[at], "place": pa.nulls(len(at), pa.int64()), "places": lists})
 
 
+def _key(docs: DataFrame, id_col: str, value: Column) -> Column:
+    """The id as a number: itself if it is one, else a hash of it."""
+    kind = pick(docs, id=id_col).schema["id"].dataType
+    return value.cast("bigint") if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) else F.when(value.isNotNull(), F.xxhash64(value))
+
+
 def duplicate_chunks(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     """(id, places): of each document that has some, the chunks that occur earlier."""
-    narrow = pick(docs, id=id_col, text=text_col).where("id is not null and text is not null").select(F.col("id").cast("bigint").alias("id"), "text")
+    narrow = pick(docs, id=id_col, text=text_col).where("id is not null and text is not null").select(_key(docs, id_col, F.col("id")).alias("id"), "text")
     chunks = narrow.mapInArrow(_chunks, "digest bigint, id bigint, place bigint, places array<bigint>")
     known = F.col("places").isNotNull()
     order = F.rank().over(Window.partitionBy("digest", known).orderBy("id", "place"))
@@ -174,7 +211,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     found = duplicate_chunks(docs, id_col=id_col, text_col=text_col)
     flat, at = numbered(docs, id=id_col, text=text_col)
-    rows = flat.withColumn("key_of", F.col(at["id"]).cast("bigint")).join(found.withColumnRenamed("id", "key_of"), "key_of", "left")
+    rows = flat.withColumn("key_of", _key(docs, id_col, F.col(at["id"]))).join(found.withColumnRenamed("id", "key_of"), "key_of", "left")
     rows = rows.select(*flat.columns, F.col(at["text"]).alias("text_in"), "places")
     return rows.mapInArrow(_cut(min_words), f"{ddl(flat)}, text_of string, n_chunks_of bigint, n_duplicate_of bigint, removed_of bigint, chars_of bigint, spans_of array<struct<start:int,end:int>>")
 
@@ -186,7 +223,6 @@ def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
     return out.select(F.col("c0").alias(id_col), F.col("n_chunks_of").alias("n_chunks"), F.col("n_duplicate_of").alias("n_duplicate_chunks"), F.col("chars_of").alias("n_chars_kept"), F.col("removed_of").alias("bytes_removed"), F.col("spans_of").alias("spans"), (F.col("removed_of") > 0).alias("repeated"))
 
 
-
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str | None = "n_chars", min_words: int = 20) -> DataFrame:
     """The rows of docs with repeats cut from their texts; rows that nothing but white space is left of go."""
     out = dedup_substrings(docs, id_col=id_col, text_col=text_col, min_words=min_words)

@@ -76,3 +76,54 @@ def test_many_copies_send_few_rows(spark, docs, monkeypatch):
     t = prose(rng, 80)
     out = sd.report(docs([t] * 500))
     assert out.where("repeated").count() == 499
+
+
+def by_dictionary(rows, min_words=20):
+    """(n_chunks, n_duplicates, removed spans) of each row by a plain dictionary of chunks."""
+    first, out = {}, {}
+    for i, t in sorted(rows):
+        b = t.encode()
+        starts = sd.cuts(bytes_of(t), np.array([0, len(b)])).tolist()
+        marked, spans = [], []
+        for x, y in zip(starts, [*starts[1:], len(b)], strict=True):
+            marked.append(first.setdefault(b[x:y], (i, x)) != (i, x))
+        k = 0
+        while k < len(marked):
+            j = k
+            while j < len(marked) and marked[j]:
+                j += 1
+            x, y = starts[k] if k < len(starts) else 0, starts[j] if j < len(starts) else len(b)
+            if j > k and len(b[x:y].split()) >= min_words:
+                spans.append((x, y))
+            k = max(j, k + 1)
+        out[i] = (len(starts), sum(marked), spans)
+    return out
+
+
+def test_against_a_dictionary_of_chunks(spark, docs, monkeypatch):
+    rng = random.Random(7)
+    passages = [prose(rng, 50) for _ in range(5)]
+    texts = [" ".join([prose(rng, rng.randrange(60)), rng.choice(passages), prose(rng, rng.randrange(60))]) for _ in range(200)]
+    texts += [" ".join(rng.choices(["in", "of", "the"], k=400)) for _ in range(5)] + ["Heti " * 300, "so " + "Heti " * 200]
+    want = by_dictionary(list(enumerate(texts)))
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    df = docs(texts).repartition(5)
+    for slots in (sd.SLOTS, 16):
+        monkeypatch.setattr(sd, "SLOTS", slots)
+        got = {r["doc_id"]: (r["n_chunks"], r["n_duplicate_chunks"], [tuple(s) for s in r["spans"]]) for r in sd.report(df).collect()}
+        assert got == want
+
+
+def test_periodic_text_is_cut_alike_wherever_it_begins(spark, docs):
+    rng = random.Random(8)
+    texts = [prose(rng, 50) + " " + "Heti " * 200, prose(rng, 31) + " " + "Heti " * 300 + prose(rng, 20), prose(rng, 80)]
+    got = {r["doc_id"]: r["text"] for r in sd.without_repeats(docs(texts)).collect()}
+    assert got[2] == texts[2] and got[0].count("Heti") < 40 and got[1].count("Heti") < 40
+
+
+def test_text_ids(spark):
+    rng = random.Random(9)
+    t = prose(rng, 100)
+    df = spark.createDataFrame([("a", t), ("b", t), ("c", prose(rng, 50))], "doc_id string, text string")
+    assert sorted(r["repeated"] for r in sd.report(df).collect()) == [False, False, True]
