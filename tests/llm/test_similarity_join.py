@@ -53,4 +53,32 @@ def test_empty_table(spark):
 def test_null_ids_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, [1.0, 0.01], "a"), (5, [1.0, 0.0], "b"), (5, [0.0, 1.0], "c"), (9, [1.0, 0.02], None)], "vec_id bigint, embedding array<double>, rep string")
     got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in sj.similarity_join(df).collect()), key=str)
-    assert got == [(5, 2, 5, True), (5, 2, 5, True), (9, 2, 5, False), (None, 2, None, True)]
+    # each row is a vector of its own
+    assert got == [(5, 0, 5, True), (5, 2, 5, True), (9, 2, 5, False), (None, 2, None, True)]
+
+
+def test_many_tiles_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 16))
+    m = np.concatenate([centres[rng.integers(0, 40, 1500)] + rng.normal(size=(1500, 16)) * 0.25, rng.normal(size=(700, 16))])
+    u = m / np.linalg.norm(m, axis=1)[:, None]
+    near = u @ u.T >= 0.9
+    want = near.sum(1) - 1
+    monkeypatch.setattr(sj, "BLOCK", 32)
+    monkeypatch.setattr(sj, "LEAF", 8)
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(m.tolist())], "vec_id bigint, embedding array<double>").repartition(7)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in sj.similarity_join(df).collect()}
+    assert [got[k][0] for k in range(len(m))] == want.tolist()
+    comp = np.arange(len(m))
+    while True:
+        new = np.array([comp[near[k]].min() for k in range(len(m))])
+        if (new == comp).all():
+            break
+        comp = new
+    assert [got[k][1] for k in range(len(m))] == comp.tolist()
+
+
+def test_many_lengths_and_text_ids(spark):
+    rows = [(f"v{d}-{k}", [1.0] * d + [0.1 * k]) for d in range(1, 71) for k in range(2)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in sj.similarity_join(spark.createDataFrame(rows, "vec_id string, embedding array<double>")).collect()}
+    assert got == {f"v{d}-{k}": (1, f"v{d}-0") for d in range(1, 71) for k in range(2)}
