@@ -1,17 +1,22 @@
 """HTML extraction by line-block distribution.
 
-Markup is stripped into lines, one for each block element; elements that hold no article text (menus, sidebars,
-forms, scripts and so on, by tag, role or class) leave a gap of empty lines instead. Text lengths are summed over
-a sliding window of lines. A surge is a window above a threshold, a dive is a window without any text; the lines
-between the dives on either side of a surge are the main text. Article and main elements are boundaries, which no run of
-lines crosses, and a weight: of the runs inside and those outside of them the side with more text is kept, where text
-inside counts twice. No class drops html, body, main or article; another element whose class, id or role is on a list, or
-a form, is a wrapper and stays if it holds half of the page's text and either a main element or a first heading, or far
-more text than what surges without it. A dropped element inside is a gap shorter than a window, so one alone never cuts an article.
+Markup is stripped into lines, one for each block element; the end of a container leaves a gap of empty lines, and so do
+elements that hold no article text (menus, sidebars, forms, scripts and so on, by tag, role or class). Text lengths are
+summed over a sliding window of lines. A surge is a window above a threshold and above a share of the page's fullest
+window, a dive is a window without any text; the lines between the dives on either side of a surge are the main text.
+Where a page names its article, tags add evidence. Article and main elements are boundaries, which no run of
+lines crosses, without gaps at the containers inside, and a weight: of the runs inside and those outside of them the side
+with more text is kept, where text inside counts twice. No class drops html, body, main or article, and words that an
+article's own parts are named by, too, drop no paragraph and nothing inside an article; another element whose class, id
+or role is on a list, or a form, is a wrapper and stays if it holds half of the page's text and either a main element or a
+first heading, or far more text than what surges without it. A dropped element inside is a gap shorter than a window, so
+one alone never cuts an article.
 
 Defined cases: a null or empty page, or one without text, gives an empty text; a page where nothing surges keeps its
-longest run of lines by the same weight; unclosed and unopened elements, cut-off tags and unknown references are read as browsers do;
-repeated rows give repeated results; other columns are never read.
+longest run of lines by the same weight; unclosed and unopened elements, cut-off tags and unknown references are read as browsers do,
+except that an unclosed drawing, object or template hides nothing; of runs of equal weight the first is kept; a very long page is
+read whole, in time in proportion to its length; a null id is kept; repeated rows give repeated results; other columns,
+clashing names among them, are never read.
 """
 
 from __future__ import annotations
@@ -27,6 +32,8 @@ from pyspark.sql import DataFrame
 from ._common import pick
 
 WINDOW, SURGE = 3, 60
+#: A run outside of articles surges if its fullest window holds this share of the page's fullest.
+PART = 0.2
 #: What text inside an article or main element counts against text outside.
 WEIGHT = 2
 #: A wrapper without a heading outweighs this many times the text that surges outside; wrappers that share this much are one.
@@ -37,6 +44,8 @@ _TOKEN = re.compile(r"[a-z0-9]+|[A-Z][a-z0-9]*")
 _BLOCKS = frozenset("address article aside blockquote body canvas center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template svg math iframe object xmp noframes".split())
+#: Those of them that hold markup: without an end tag they are read as if they weren't there.
+_OPEN = frozenset("noscript template svg math object".split())
 _SKIP = frozenset("nav aside footer menu dialog button select datalist head".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _WORDS = frozenset(
@@ -45,13 +54,18 @@ _WORDS = frozenset(
     "newsletter subscribe subscription signup signin login register share sharing sharebar social related recommended recommendations breadcrumb breadcrumbs pagination pager footer foot menu menus nav navbar navigation "
     "topbar toolbar masthead widget widgets copyright disclaimer skip form search searchbox tags taglist".split()
 )
+#: Those of them that an article's own parts, or its paragraphs, are named by, too.
+_WEAK = frozenset("discussion search form skip social tags reply respond register login foot aside share promotion".split())
+_PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption".split())
+#: Elements whose end is a dive outside of articles.
+_CONTAINERS = frozenset("div section table ul ol dl center details fieldset".split())
 #: Containers that an unclosed paragraph does not reach out of.
 _SCOPE = frozenset("article aside blockquote body button div dl fieldset figure footer form header html li main nav ol section table tbody td th thead tr ul".split())
 _CLOSES = {"li": "li", "dt": "dd dt", "dd": "dd dt", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 
 
-def _unwanted(name: str, attributes: str, inside: bool) -> str:
-    """Why an element is no article text: "" if it may be, "soft" by form, class, id or role, "hard" if hidden."""
+def _unwanted(name: str, attributes: str, inside: bool, weak: bool) -> str:
+    """Why an element is no article text: "" if it may be, "soft" by form, class, id or role, "hard" if hidden; weak: whether weak words count."""
     why = "soft" if name == "form" else ""
     if not attributes or "=" not in attributes and "hidden" not in attributes:
         return why
@@ -59,7 +73,7 @@ def _unwanted(name: str, attributes: str, inside: bool) -> str:
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key in ("class", "id"):
             words = {w.lower() for w in _TOKEN.findall(value)}
-            if words & _WORDS or not inside and "header" in words:
+            if words & (_WORDS if weak else _WORDS - _WEAK) or not inside and "header" in words:
                 why = "soft"
         elif key == "role" and value.lower() in _ROLES:
             why = "soft"
@@ -147,6 +161,8 @@ def lines(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[str], l
                 if stack[k][0] == name:
                     flush() if name in _BLOCKS else None
                     close(k)
+                    if name in _CONTAINERS and not article and not dropped:
+                        gap(WINDOW)
                     break
                 if stack[k][0] in _SCOPE and name not in _SCOPE:
                     break
@@ -154,7 +170,7 @@ def lines(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[str], l
         attributes = m[3]
         if name in _RAW and not attributes.endswith("/>"):
             end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else n
+            at = end.end() if end else at if name in _OPEN else n
             continue
         if name == "br":
             add(" ")
@@ -171,7 +187,7 @@ def lines(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[str], l
         if name in _VOID:
             continue
         hard = name in _SKIP or name == "header" and not article
-        why = "" if name in ("html", "body") else "hard" if hard else _unwanted(name, attributes, article)
+        why = "" if name in ("html", "body") else "hard" if hard else _unwanted(name, attributes, article, name not in _PARAGRAPHS and not any(o[0] == "article" for o in stack))
         skip = why == "hard" or why == "soft" and m.start() not in spared
         if skip and not dropped:
             flush()
@@ -221,6 +237,7 @@ def _choose(text: list[str], links: list[int], inside: list[bool]) -> tuple[list
     length = [len(t) if 2 * k <= len(t) else 0 for t, k in zip(text, links, strict=True)]
     # runs (start, end, inside, characters) of lines, and those of them that surge
     runs, surging, i, n = [], [], 0, len(length)
+    highest = max((sum(length[k : k + WINDOW]) for k in range(n)), default=0)
     while i < n:
         if not length[i]:
             i += 1
@@ -228,7 +245,8 @@ def _choose(text: list[str], links: list[int], inside: list[bool]) -> tuple[list
         # a run goes on until a whole window is empty
         j, empty, size, top = i, 0, 0, 0
         while j < n and empty < WINDOW:
-            top = max(top, sum(length[j : j + WINDOW]))
+            # a window that begins in a gap belongs to the text behind it
+            top = max(top, sum(length[j : j + WINDOW])) if length[j] else top
             size += length[j]
             empty = 0 if length[j] else empty + 1
             j += 1
@@ -241,7 +259,7 @@ def _choose(text: list[str], links: list[int], inside: list[bool]) -> tuple[list
                 b += 1
             a, b = a if i - a < WINDOW else i, b if b - (j - empty) < WINDOW else j - empty
         runs.append((a, b, inside[i], size))
-        if top >= SURGE:
+        if top >= (SURGE if inside[i] else max(SURGE, PART * highest)):
             surging.append(runs[-1])
         i = j
     if surging:

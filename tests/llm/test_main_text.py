@@ -3,6 +3,7 @@
 import html
 import re
 
+from citeloom.llm import main_text as mt
 from citeloom.llm._common import table
 from citeloom.llm.main_text import extract, main_text
 
@@ -20,6 +21,38 @@ def test_all_pages_give_their_article(spark):
         assert r["n_chars"] == len(r["text"])
 
 
+def test_all_pages_without_telling_tags_and_classes(spark):
+    """With every container a plain div, windows alone find the article; lines that stand in it without a surge may go."""
+    pages = [r["html"] for r in table(spark, "/root/testdata/sf0.01", "pages").collect()]
+    same = 0
+    for page in pages:
+        bare = re.sub(r"<(/?)(article|main|nav|aside|footer|header|menu|form|section)\b", r"<\1div", page)
+        bare = re.sub(r"\s(class|id|role)=(\"[^\"]*\"|[^\s>]+)", "", bare)
+        same += main_text(bare) == main_text(page)
+    assert same >= 0.85 * len(pages)
+
+
+def test_windows_surges_and_dives_decide(monkeypatch):
+    page = f"<body><div><p>Home<p>News<p>About</div><div><p>A short offer.</div><div><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div><div><p>Share<p>Print</div><div>All rights reserved by the owner of this page.</div>"
+    assert main_text(page) == f"Title\n{LONG.strip()}\n{LONG.strip()}"
+    monkeypatch.setattr(mt, "SURGE", 10**9)
+    assert main_text(page) == f"Title\n{LONG.strip()}\n{LONG.strip()}"
+    monkeypatch.setattr(mt, "SURGE", 20)
+    monkeypatch.setattr(mt, "PART", 0.05)
+    assert main_text(page).endswith("owner of this page.")
+
+
+def test_an_articles_own_parts_stay():
+    for part in (f"<section class='discussion'><h2>Discussion</h2><p>{LONG}</p></section>", f"<p class='search'>{LONG}</p>", f"<svg><p>{LONG}</p>"):
+        assert main_text(f"<article><h1>Title</h1><p>{LONG}</p>{part}<p>End of it.</p></article>").endswith(f"{LONG.strip()}\nEnd of it.")
+    assert main_text(f"<p>{LONG}{LONG}</p><div class='discussion'><p>{LONG}</p></div>") == f"{LONG}{LONG}".strip()
+
+
+def test_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "u", f"<p>{LONG}</p>", "x", 3)], "page_id bigint, url string, html string, text string, N_chars int")
+    assert extract(pages).collect()[0]["text"] == LONG.strip()
+
+
 def test_page_without_article_element():
     page = f"<body><header><a href=x>Home</a></header><div class='cookie-notice'>We use cookies</div><div id=content><h1>Title &amp; more</h1><p>{LONG}<p>Second&nbsp;para <a href=q>link</a>.<ul><li>a<li>b</ul></div><aside>side</aside><div class='comments'><p>{LONG}{LONG}</p></div><form>search<input></form><footer>c</footer>"
     assert main_text(page) == f"Title & more\n{LONG.strip()}\nSecond para link.\na\nb"
