@@ -19,10 +19,10 @@ def counted(spark, rows):
 
 def test_counts_equal_the_tokenizer(spark):
     path, pattern = tc.default_vocabulary()
-    texts = ["Hello there, world", None, "", "naïve café 12345", " spaced   out\n\n lines ", "word " * 60_000, "x" * 1000]
+    texts = ["Hello there, world", None, "", "naïve café 12345", " spaced   out\n\n lines ", "word " * 60_000, "x" * 1000, "  \n\n  tabs\t\t and 'll don't 12345 \u00a0\u3000x " * 9000 + "   "]
     docs = spark.createDataFrame([(i, t, "s", "en") for i, t in enumerate(texts)], "doc_id bigint, text string, source string, lang string")
     got = {r["id"]: (r["tokens"], r["words"], r["chars"]) for r in tc.count_tokens(docs, path, pattern).collect()}
-    enc = tc._encoding(path, pattern)
+    enc = tc.encoding(open(path, "rb").read(), pattern)
     assert got == {i: (len(enc.encode_ordinary(t or "")), len((t or "").split()), len(t or "")) for i, t in enumerate(texts)}
 
 
@@ -54,7 +54,7 @@ def test_a_failed_write_leaves_nothing_that_counts(spark, tmp_path):
 
 def test_query_equals_a_recount(spark):
     path, pattern = tc.default_vocabulary()
-    enc = tc._encoding(path, pattern)
+    enc = tc.encoding(open(path, "rb").read(), pattern)
     want = {}
     for r in table(spark, SF, "documents").collect():
         words = len((r["text"] or "").split())
@@ -65,3 +65,30 @@ def test_query_equals_a_recount(spark):
                 want[k] = (d + 1, t + n, c + len(r["text"]))
     got = {(r["source"], r["lang"], r["tokenizer"]): (r["docs"], r["tokens"], r["chars"]) for r in op5_token_counts(spark, SF).collect()}
     assert {k: v for k, v in got.items() if v != (0, 0, 0)} == want
+
+
+def test_of_two_writers_one_is_late(spark, tmp_path, monkeypatch):
+    r = tc.Rollup(spark, f"file://{tmp_path}/r")
+    a = tc.change(counted(spark, [("s", "en", 1, 1)]), 1, "v", "tokens")
+    # the second writer has looked before the first one's batch was there
+    assert r.commit("one", a)
+    monkeypatch.setattr(r, "committed", set)
+    assert not r.commit("one", a)
+    exists = r._fs
+
+    class Blind:
+        def exists(self, path):
+            return not str(path).endswith("batch=one") and exists.exists(path)
+
+        def __getattr__(self, name):
+            return getattr(exists, name)
+
+    monkeypatch.setattr(r, "_fs", Blind())
+    assert not r.commit("one", a)
+    monkeypatch.undo()
+    assert totals(r) == {("s", "en", "v"): (1, 1, 1)} and len([x for x in (tmp_path / "r").rglob("*") if x.name.startswith(".") and x.is_dir()]) == 0
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", "en", 7, "x")], "doc_id bigint, text string, source string, lang string, tokens int, Words string")
+    assert [(r["tokens"], r["words"]) for r in tc.count_tokens(docs, *tc.default_vocabulary()).collect()] == [(2, 2)]
