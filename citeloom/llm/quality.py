@@ -2,15 +2,17 @@
 
 A document is the average of learned vectors of its words, word pairs and triples and of the character
 3- to 5-grams inside its words, all hashed into one table; a softmax over that average gives the class.
+A word pair or triple is hashed twice, by its words and by which of them are equal, so that what is learned of one
+repeated word holds for others.
 The table and the softmax are trained in one task by stochastic gradient descent in numpy, on a bounded
 sample of the labelled rows. The softmax is linear in the average, so a score needs one number per table
 entry; executors get that vector (1 MB) and score whole texts in one map, without a shuffle.
 
-A word that repeats its predecessor gives one more feature, the same for all words.
-
-Defined cases: a null or empty text has no features and gets the softmax of the bias alone; rows without a
-label or with a null id never train; repeated ids train as the join makes them; with no labelled rows, or one
-class only, every score is 0.5 or that class's smoothed share; other columns are never read.
+Defined cases: a null or empty text has no features and gets the softmax of the bias alone; a very long text is read
+whole, in memory in proportion to its length; rows without a label or with a null id never train, but a null id gets a
+score; repeated ids train as the join makes them; labels without a document take no place in the sample, and ties in
+its order go by id and label; with no labelled rows, or one class only, every score is 0.5 or that class's smoothed
+share; an empty table gives an empty result; other columns, clashing names among them, are never read.
 """
 
 from __future__ import annotations
@@ -64,11 +66,13 @@ def features(points: np.ndarray, offsets: np.ndarray, buckets: int, hasher: Span
     two = np.flatnonzero(row[1:] == row[:-1]) if len(row) else np.zeros(0, np.int64)
     pair = mix(h[two] * np.uint64(3) + h[two + 1])
     yield (pair & mask).astype(np.int64), starts[two]
-    again = two[h[two] == h[two + 1]]
-    yield np.full(len(again), int(mix(np.array([17], np.uint64))[0] & mask)), starts[again]
+    equal = (h[two] == h[two + 1]).astype(np.uint64)
+    yield (mix(equal + np.uint64(16)) & mask).astype(np.int64), starts[two]
     three = two[:-1][two[1:] == two[:-1] + 1]
     triple = mix(h[three] * np.uint64(9) + h[three + 1] * np.uint64(3) + h[three + 2] + np.uint64(1))
     yield (triple & mask).astype(np.int64), starts[three]
+    equal = (h[three] == h[three + 1]) + 2 * (h[three + 1] == h[three + 2]) + 4 * (h[three] == h[three + 2])
+    yield (mix(equal.astype(np.uint64) + np.uint64(32)) & mask).astype(np.int64), starts[three]
     # n-grams of a word between its two edges; an edge counts as one symbol
     padded = np.zeros(n + 2 * len(starts), np.uint32)
     before = np.zeros(n + 1, np.int64)
@@ -171,8 +175,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     """
     known = pick(labels, id=id_col, label=label_col).where("id is not null and label in (0, 1)")
     known = known.where(train_where) if train_where is not None else known
-    known = known.orderBy(F.xxhash64(F.col("id"), F.lit(7)), "id", "label").limit(max_train_docs)
-    rows = pick(docs, id=id_col, text=text_col).join(F.broadcast(known), "id")  # known: max_train_docs rows at most
+    texts = pick(docs, id=id_col, text=text_col)
+    known = known.join(texts.select("id"), "id", "left_semi").orderBy(F.xxhash64(F.col("id"), F.lit(7)), "id", "label").limit(max_train_docs)
+    rows = texts.join(F.broadcast(known), "id")  # known: max_train_docs rows at most
     sample = rows.orderBy("id", "label", "text").limit(2 * max_train_docs).select("label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
