@@ -8,8 +8,11 @@ sampled suffix, and their word spans are merged per document. Nothing is shuffle
 documents, and a benchmark beyond a bound goes in several passes.
 
 Defined cases: a null or empty text has no words and no hits; an item without words has no window; an item
-with fewer words than the window is one window of its own length; repeated items each count; items without
-an id hit like others and count as one, but no id of theirs is listed; empty tables give empty results or results without hits; columns other than the two named ones are never read.
+with fewer words than the window is one window of its own length; repeated items hit and count as one; items without
+an id hit like others and count as one, but no id of theirs is listed; ids may have any type and are passed on, null or
+not; windows that tie in a document merge their spans; a very long text is a shard of its own, in memory in proportion to
+its length; empty tables give empty results or results without hits; other columns, clashing names among them, are never
+read or pass through unchanged.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from ._common import LOWER, SpanHash, checkpoint, ddl, named_again, numbered, pa
 WORD = np.zeros(256, bool)
 WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
-RESULT = "id {id}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, item_ids array<bigint>, spans array<struct<start:int,end:int>>, clean_text string"
+RESULT = "id {id}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, item_ids array<string>, spans array<struct<start:int,end:int>>, clean_text string"
 
 
 class WaveletTree:
@@ -137,7 +140,7 @@ class FMIndex:
 class Phrases:
     """The windows of a block of benchmark items as rows of symbols, by length, with the items that hold each."""
 
-    def __init__(self, item_ids: np.ndarray, texts: pa.Array, window: int) -> None:
+    def __init__(self, item_ids: list[str | None], texts: pa.Array, window: int) -> None:
         data, offsets = utf8(texts)
         data = LOWER[data]
         starts, ends, rows = spans(WORD[data], offsets)
@@ -200,7 +203,7 @@ class Phrases:
         return first, length, rows[first], item
 
 
-def _shards(phrases, *, text: bool, spans_too: bool, keep: int | None = None, last: bool = True, null: int | None = None):
+def _shards(phrases, *, text: bool, spans_too: bool, keep: int | None = None, last: bool = True):
     """A pass over documents, the text in the last column; phrases: the broadcast windows of its items.
 
     Two columns before the text hold what earlier passes have found, a bit for each word and the items; an earlier pass
@@ -226,35 +229,32 @@ def _shards(phrases, *, text: bool, spans_too: bool, keep: int | None = None, la
         np.add.at(edge, first, 1)
         np.add.at(edge, first + length, -1)
         hit = np.cumsum(edge)[:-1] > 0
-        pairs = np.stack([row, phrases.value.item_ids[item]], 1)
+        own: list[set[str | None]] = [set() for _ in range(n)]
+        for k, x in np.unique(np.stack([row, item], 1), axis=0).tolist():
+            own[k].add(phrases.value.item_ids[x])
         before = part.column(part.num_columns - 3)
         for k, (bits, items) in enumerate(zip(before, part.column(part.num_columns - 2), strict=True)) if before.null_count < n else ():
             if bits.as_py():
                 hit[bounds[k] : bounds[k + 1]] |= np.unpackbits(np.frombuffer(bits.as_py(), np.uint8), count=bounds[k + 1] - bounds[k]).astype(bool)
-                pairs = np.concatenate([pairs, [(k, x) for x in items.as_py()]])
-        pairs = np.unique(pairs.astype(np.int64), axis=0)
-        of = row_bounds(pairs[:, 0], n)
-        item_lists = [pairs[of[k] : of[k + 1], 1].tolist() for k in range(n)]
+                own[k].update(items.as_py())
         total = np.concatenate([[0], np.cumsum(hit)])
         n_hit = total[bounds[1:]] - total[bounds[:-1]]
-        lists = pa.array(item_lists, pa.list_(pa.int64()))
         if not last:
             bits = [np.packbits(hit[bounds[k] : bounds[k + 1]]).tobytes() if n_hit[k] else None for k in range(n)]
-            return pa.RecordBatch.from_arrays([*part.columns[:-3], pa.array(bits, pa.binary()), lists, part.columns[-1]], names=part.schema.names)
-        item_lists = [[x for x in own if x != null] for own in item_lists]
-        lists = pa.array(item_lists, pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([*part.columns[:-3], pa.array(bits, pa.binary()), pa.array([list(x) for x in own], pa.list_(pa.string())), part.columns[-1]], names=part.schema.names)
+        item_lists = [sorted(x - {None}) for x in own]
         found, clean = [], []
         for k in range(n):
-            own = []
+            cuts = []
             if (spans_too or text) and n_hit[k]:
                 turn = np.diff(np.concatenate([[0], hit[bounds[k] : bounds[k + 1]].astype(np.int8), [0]]))
                 begin, end = bounds[k] + np.flatnonzero(turn == 1), bounds[k] + np.flatnonzero(turn == -1) - 1
-                own = list(zip((starts[begin] - offsets[k]).tolist(), (ends[end] - offsets[k]).tolist(), strict=True))
-            found.append([{"start": x, "end": y} for x, y in own] if spans_too else None)
-            if text and own:
+                cuts = list(zip((starts[begin] - offsets[k]).tolist(), (ends[end] - offsets[k]).tolist(), strict=True))
+            found.append([{"start": x, "end": y} for x, y in cuts] if spans_too else None)
+            if text and cuts:
                 body, cut = raw[offsets[k] : offsets[k + 1]].tobytes(), 0
                 kept = []
-                for x, y in own:
+                for x, y in cuts:
                     kept.append(body[cut:x])
                     cut = y
                 clean.append(b"".join([*kept, body[cut:]]).decode())
@@ -268,10 +268,10 @@ def _shards(phrases, *, text: bool, spans_too: bool, keep: int | None = None, la
                 "id": part.column(0),
                 "n_words": n_words,
                 "n_hit": n_hit,
-                "n_items": np.diff(of),
-                "items_sha256": [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in item_lists],
+                "n_items": np.array([len(x) for x in own], np.int64),
+                "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in item_lists],
                 "contaminated": n_hit > 0,
-                "item_ids": lists,
+                "item_ids": pa.array(item_lists, pa.list_(pa.string())),
                 "spans": pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
                 "clean_text": cleaned,
             }
@@ -282,21 +282,17 @@ def _shards(phrases, *, text: bool, spans_too: bool, keep: int | None = None, la
 
 def _scan(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, pass_chars: int, schema: str, **options) -> DataFrame:
     """rows, the text last, scanned for all items: in one pass, or in as many as the items' texts need."""
-    items = pick(benchmark, item=item_col, text=item_text_col).select(F.col("item").cast("bigint").alias("item"), "text")
-    size, least, most = items.agg(F.sum(F.length("text")), F.min("item"), F.max("item")).first()
-    size = size or 0
-    # stands for a null id until the ids are listed; no item has it
-    null = 0 if least is None else least - 1 if least > -(1 << 63) else most + 1
-    items = items.select(F.coalesce("item", F.lit(null).cast("bigint")).alias("item"), "text")
+    items = pick(benchmark, item=item_col, text=item_text_col).select(F.col("item").cast("string").alias("item"), "text")
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-size // pass_chars) or 1
-    state = rows.select(*rows.columns[:-1], F.lit(None).cast("binary").alias("hit_before"), F.lit(None).cast("array<bigint>").alias("items_before"), rows.columns[-1])
+    state = rows.select(*rows.columns[:-1], F.lit(None).cast("binary").alias("hit_before"), F.lit(None).cast("array<string>").alias("items_before"), rows.columns[-1])
     for k in range(n):
         own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else items
         got = own.toArrow()  # about pass_chars characters
-        phrases = rows.sparkSession.sparkContext.broadcast(Phrases(np.asarray(got["item"], dtype=np.int64), got["text"].combine_chunks(), window))
+        phrases = rows.sparkSession.sparkContext.broadcast(Phrases(got["item"].to_pylist(), got["text"].combine_chunks(), window))
         if k == n - 1:
-            return state.mapInArrow(_shards(phrases, null=null, **options), schema)
-        state = checkpoint(state.mapInArrow(_shards(phrases, last=False, null=null, **options), ddl(state)))
+            return state.mapInArrow(_shards(phrases, **options), schema)
+        state = checkpoint(state.mapInArrow(_shards(phrases, last=False, **options), ddl(state)))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, pass_chars: int = 4_000_000, spans: bool = True, clean_text: bool = True) -> DataFrame:
@@ -306,7 +302,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     """
     rows = pick(docs, id=id_col, text=text_col)
     schema = RESULT.format(id=rows.schema["id"].dataType.simpleString())
-    return _scan(rows, benchmark, item_col, item_text_col, window, pass_chars, schema, text=clean_text, spans_too=spans).withColumnRenamed("id", id_col)
+    found = _scan(rows, benchmark, item_col, item_text_col, window, pass_chars, schema, text=clean_text, spans_too=spans)
+    kind = pick(benchmark, item=item_col).schema["item"].dataType.simpleString()
+    return found.withColumn("item_ids", F.array_sort(F.col("item_ids").cast(f"array<{kind}>"))).withColumnRenamed("id", id_col)
 
 
 def without_items(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", n_chars_col: str | None = "n_chars", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, pass_chars: int = 4_000_000) -> DataFrame:

@@ -102,3 +102,11 @@ def test_items_without_an_id_are_hit_and_cut(spark):
         assert got[0]["items_sha256"] == got[2]["items_sha256"] and got[1]["items_sha256"].startswith("ef2d127d")
     docs = spark.createDataFrame([(1, f"keep {one}")], "doc_id bigint, text string")
     assert dc.without_items(docs, spark.createDataFrame([(None, one)], "item_id bigint, text string")).first()["text"] == "keep "
+
+
+def test_text_ids_and_clashing_columns(spark):
+    item = " ".join(f"t{k}" for k in range(12))
+    docs = spark.createDataFrame([("d", f"x {item}", 1, "y")], "doc_id string, text string, n_hit int, Spans string")
+    r = dc.decontaminate(docs, spark.createDataFrame([("b,1", item), ("a", item)], "item_id string, text string")).first()
+    assert (r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["item_ids"]) == ("d", 13, 12, 2, ["a", "b,1"])
+    assert [tuple(x) for x in dc.without_items(docs, spark.createDataFrame([("a", item)], "item_id string, text string")).collect()] == [("d", "x ", 1, "y")]
