@@ -12,8 +12,9 @@ narrow the cut of every source to one rank. No pass shuffles more than a row for
 a source that holds a third of all rows costs no more than any other.
 
 Defined cases: a null text has size 0 and is taken 0 times; a null source is a source of its own; rows that share
-an id share a rank and are taken or left together; a source without words has target 0; an empty table gives
-an empty result; other columns are never read.
+an id share a rank and are taken or left together, as do documents whose ranks tie; a null id has no rank and gets whole
+copies alone; a source without words has target 0; a very long text is one document like others, so its source's words
+come within half of it; an empty table gives an empty result; other columns, clashing names among them, are never read.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ def rank_key(id_col: Column, p: Column, seed: int, priority: Column | None = Non
 def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, max_copies: int = 2, weights: tuple[int, ...] = WEIGHTS, seed: int = 1, priority_col: str | None = None, max_broadcast_sources: int = 100_000, keep: bool = False) -> DataFrame:
     """(id, source, size, source_size, target, copies) of every document; copies is how often the mix takes it.
 
-    keep: instead all columns of docs, with size_of, target_of and copies_of behind them.
+    keep: instead all columns of docs, with size_of, target_of and copies_of behind them in place of any of these names.
     """
     extra = {"priority": priority_col} if priority_col else {}
     narrow = pick(docs, id=id_col, text=text_col, source=source_col, **extra)
@@ -98,5 +99,7 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     key = rank_key(F.col("id"), F.col("p"), seed, F.col("priority") if priority_col else None)
     picked = F.when((F.col("p") > 0) & (key <= F.col("cut")), 1).otherwise(0)
     if keep:
-        return out.select(*flat.columns, "size", "target", (F.col("copies") + picked).cast("bigint")).toDF(*docs.columns, "size_of", "target_of", "copies_of")
+        added = ["size_of", "target_of", "copies_of"]
+        left = [(c, name) for c, name in zip(flat.columns, docs.columns, strict=True) if name.lower() not in added]
+        return out.select(*(c for c, _ in left), "size", "target", (F.col("copies") + picked).cast("bigint")).toDF(*(name for _, name in left), *added)
     return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("copies") + picked).cast("bigint").alias("copies"))

@@ -60,3 +60,10 @@ def test_defined_cases(spark):
     assert [(r["target"], r["copies"]) for r in nothing] == [(0.0, 0)]
     kept = mix_sources(odd, keep=True)
     assert kept.columns == ["doc_id", "text", "source", "Size", "size_of", "target_of", "copies_of"] and kept.count() == 5
+
+
+def test_kept_columns_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", 9, "x"), (2, "c", "t", 9, "y"), (None, "d e", None, 9, "z")], "doc_id bigint, text string, source string, Size_Of int, size string")
+    got = mix_sources(docs, keep=True)
+    assert got.columns == ["doc_id", "text", "source", "size", "size_of", "target_of", "copies_of"]
+    assert sorted((r["size"], r["size_of"]) for r in got.collect()) == [("x", 2), ("y", 1), ("z", 2)]
