@@ -257,10 +257,11 @@ def _grouped(narrow: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("k")).where("k > 1").select("key", "head")
     keys = checkpoint(keys.join(heads, "key"))
     star = checkpoint(keys.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct())
-    # a text for each class that takes part in a pair; copies of a text fold before they move
+    # a text for each class that takes part in a pair: that of its smallest row, so that copies do not move
     ids = star.select("a").union(star.select(F.col("b").alias("a"))).distinct()
-    wanted = classes.join(ids, F.col("rep") == F.col("a"), "left_semi").select("rep", F.col("least.body").alias("body"))
-    texts = narrow.where("text is not null").groupBy("body").agg(F.first("text").alias("text")).join(wanted, "body").select(F.col("rep").alias("id"), "text")
+    wanted = classes.join(ids, F.col("rep") == F.col("a"), "left_semi").select("rep", "least.id", "least.body")
+    one = narrow.join(wanted.select("id", "body"), ["id", "body"], "left_semi").groupBy("body").agg(F.first("text").alias("text"))
+    texts = one.join(wanted.select("rep", "body"), "body").select(F.col("rep").alias("id"), "text")
     texts = checkpoint(texts)
     links = checkpoint(confirm(star, texts, percent))
     found = components(links)
