@@ -7,9 +7,9 @@ similarity 0.85 share no key with a probability below 0.00001. Lower thresholds
 keep that bound, 28 at 0.80. A pair of collections can only be shared by
 documents that share each of the two, so documents make keys from the collections that some other document has.
 
-Documents with equal sets are one class, found by digest. Within a table key each class is compared with the
-key's smallest class only, on full sets, and the links found give components. A key whose members then lie
-in one component needs no more comparisons. The documents of the other keys are sorted so that like ones meet,
+Documents with equal sets are one class, found by digest. Each class is compared on full sets with one of the heads of
+its table keys, and the links found give components; then, in keys that still hold several, with one head of each other
+component. A key whose members then lie in one component needs no more comparisons. The documents of the other keys are sorted so that like ones meet,
 packed into blocks of bounded size, and blocks that share a key are joined: of their pairs that differ in component
 and share two collections, a sketch of 512 one-byte minhashes drops those far below the threshold, and the
 rest is compared on full sets. So no key, however frequent, makes rows for its pairs or gathers in one task.
@@ -236,6 +236,20 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(_confirm(percent), "a bigint, b bigint")
 
 
+def _mixed(keys: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows (key, id, head, component) of keys whose members lie in several components."""
+    marked = keys.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = marked.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    return checkpoint(marked.join(mixed, "key").select("key", "id", "head", "component"))
+
+
+def _grow(found: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
+    """The components found with more links, and whether there are any."""
+    if links.isEmpty():
+        return found, False
+    return components(found.toDF("a", "b").union(links.select("a", "b"))), True
+
+
 def _grouped(narrow: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Rows (id, body, n, keeper) of the rows (id, text, body) that can be linked, and rows (id, body, n) of all others.
 
@@ -256,19 +270,20 @@ def _grouped(narrow: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     keys = own.mapInArrow(_table_keys, "key bigint, id bigint")
     heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("k")).where("k > 1").select("key", "head")
     keys = checkpoint(keys.join(heads, "key"))
-    star = checkpoint(keys.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct())
     # a text for each class that takes part in a pair: that of its smallest row, so that copies do not move
-    ids = star.select("a").union(star.select(F.col("b").alias("a"))).distinct()
-    wanted = classes.join(ids, F.col("rep") == F.col("a"), "left_semi").select("rep", "least.id", "least.body")
+    wanted = classes.join(keys.select("id").distinct(), F.col("rep") == F.col("id"), "left_semi").select("rep", "least.id", "least.body")
     one = narrow.join(wanted.select("id", "body"), ["id", "body"], "left_semi").groupBy("body").agg(F.first("text").alias("text"))
     texts = one.join(wanted.select("rep", "body"), "body").select(F.col("rep").alias("id"), "text")
     texts = checkpoint(texts)
-    links = checkpoint(confirm(star, texts, percent))
-    found = components(links)
-    # keys that still hold several components
-    marked = keys.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = marked.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    open_ = checkpoint(marked.join(mixed, "key"))
+    # first each class meets one head, then one head of every other component in its keys
+    first = checkpoint(keys.where("id <> head").groupBy("id").agg(F.min("head").alias("head")).toDF("a", "b"))
+    found = components(checkpoint(confirm(first, texts, percent)))
+    open_ = _mixed(keys, found)
+    ends = open_.join(found.toDF("head", "of_head"), "head", "left").withColumn("of_head", F.coalesce("of_head", "head")).where("component <> of_head")
+    second = ends.groupBy("id", "of_head").agg(F.min("head").alias("b")).select(F.col("id").alias("a"), "b")
+    second = checkpoint(second.join(first, ["a", "b"], "left_anti"))
+    found, grown = _grow(found, checkpoint(confirm(second, texts, percent)))
+    open_ = _mixed(open_.select("key", "id", "head"), found) if grown else open_
     who = open_.groupBy("id").agg(F.first("component").alias("component"), F.min("key").alias("place"))
     who = who.join(classes.select(F.col("rep").alias("id"), "keys"), "id")
     facts = checkpoint(texts.join(who, "id").select("id", "text", "component", "keys", "place").mapInArrow(_facts(count), "id bigint, component bigint, place bigint, n bigint, keys binary, sketch binary"))
@@ -282,10 +297,8 @@ def _grouped(narrow: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     one = blocks.toDF("x", *(c + "1" for c in blocks.columns[1:]))
     two = blocks.toDF("y", *(c + "2" for c in blocks.columns[1:]))
     near = together.join(one, "x").join(two, "y").mapInArrow(_join_blocks(percent, count), "a bigint, b bigint")
-    near = checkpoint(near.join(star, ["a", "b"], "left_anti"))
-    more = checkpoint(confirm(near, texts, percent))
-    if not more.isEmpty():
-        found = components(links.union(more))
+    near = checkpoint(near.join(first.union(second), ["a", "b"], "left_anti"))
+    found, _ = _grow(found, checkpoint(confirm(near, texts, percent)))
     member = classes.select("rep", "least").join(found.withColumnRenamed("node", "rep"), "rep")
     names = member.groupBy("component").agg(F.min("least").alias("keeper"))
     renamed = member.join(names, "component").select("rep", "keeper")
