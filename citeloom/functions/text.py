@@ -71,15 +71,15 @@ def token_dice(a: Column, b: Column) -> Column:
     return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(2.0 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y)))
 
 
-def chunk_windows(x: Column, size: int = 8000, overlap: int = 200, most: int = 40) -> Column:
-    """Windows of size characters that overlap; a text of at most size is one window."""
+def chunk_windows(x: Column, size: int = 8000, overlap: int = 200, most: int | None = None) -> Column:
+    """Windows of size characters that overlap; a text of at most size is one window. most: keep only so many."""
     step = size - overlap
     n = F.when(F.length(x) <= size, 1).otherwise(F.ceil((F.length(x) - size) / step) + 1)
-    return F.transform(F.sequence(F.lit(0), F.least(n, F.lit(most)).cast("int") - 1), lambda i: F.substring(x, i * step + 1, F.lit(size)))
+    return F.transform(F.sequence(F.lit(0), (n if most is None else F.least(n, F.lit(most))).cast("int") - 1), lambda i: F.substring(x, i * step + 1, F.lit(size)))
 
 
-def paragraph_chunks(x: Column, size: int = 1000, most: int = 100) -> Column:
-    """Paragraphs packed into chunks of about size characters; a longer paragraph is split hard."""
+def paragraph_chunks(x: Column, size: int = 1000, most: int | None = None) -> Column:
+    """Paragraphs packed into chunks of about size characters; a longer paragraph is split hard. most: keep only so many."""
     paragraphs = F.filter(F.transform(F.split(x, r"\n"), lambda p: F.regexp_replace(p, r"^(?U)\s+|(?U)\s+$", "")), lambda p: p != "")
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
@@ -94,7 +94,8 @@ def paragraph_chunks(x: Column, size: int = 1000, most: int = 100) -> Column:
             .otherwise(F.struct(closed.alias("done"), p.alias("open")))
         )
 
-    return F.slice(F.aggregate(paragraphs, start, step, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.array_append(s["done"], s["open"]))), 1, most)
+    out = F.aggregate(paragraphs, start, step, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.array_append(s["done"], s["open"])))
+    return out if most is None else F.slice(out, 1, most)
 
 
 def cited_ids(x: Column) -> Column:

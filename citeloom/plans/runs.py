@@ -42,7 +42,7 @@ def _find(body, questions, entities):
     import re
 
     words = re.findall(r"\b[A-ZÀ-Þ]\w{6,}", body)
-    return {entities[0]: {questions[0]["question"]: [{"value": w, "quote": w} for w in words[:3]]}}
+    return {entities[0]: {questions[0]["question"]: [{"value": w, "quote": w} for w in words]}}
 
 
 def extract_merge(spark, d):

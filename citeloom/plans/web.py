@@ -68,12 +68,12 @@ def crawl_depth(spark, d):
 
 
 def chunk_windows(spark, d):
-    chunks = read(spark, d, "documents").select("doc_id", F.posexplode(text.chunk_windows(F.col("text"), 800, 20, 40)).alias("chunk", "body"))
+    chunks = read(spark, d, "documents").select("doc_id", F.posexplode(text.chunk_windows(F.col("text"), 800, 20)).alias("chunk", "body"))
     return chunks.select("doc_id", "chunk", F.length("body").alias("n_chars"), F.md5("body").alias("digest"))
 
 
 def paragraph_chunks(spark, d):
-    chunks = read(spark, d, "documents").select("doc_id", F.posexplode(text.paragraph_chunks(F.col("text"))).alias("chunk", "body"))
+    chunks = read(spark, d, "documents").select("doc_id", F.posexplode(text.paragraph_chunks(F.col("text"), 1000)).alias("chunk", "body"))
     return chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max(F.length("body")).alias("longest"), F.sum(F.length("body")).alias("chars"))
 
 
@@ -137,7 +137,7 @@ SELECT page, target, score, rank::INT AS rank FROM g WHERE (rank <= 3 AND score
 w AS (SELECT p_partkey AS seed, p_partkey AS url, 0 AS depth FROM part WHERE p_partkey % 50 = 0 UNION SELECT seed, target, depth + 1 FROM w JOIN e ON w.url = e.page WHERE depth < 3)
 SELECT seed, url, min(depth)::INT AS depth FROM w GROUP BY 1, 2""",
     "chunk_windows": """WITH n AS (SELECT doc_id, text, CASE WHEN length(text) <= 800 THEN 1 ELSE ceil((length(text) - 800) / 780.0)::INT + 1 END AS n FROM documents),
-c AS (SELECT doc_id, text, unnest(range(least(n, 40)))::INT AS chunk FROM n)
+c AS (SELECT doc_id, text, unnest(range(n))::INT AS chunk FROM n)
 SELECT doc_id, chunk, length(substring(text, chunk * 780 + 1, 800))::INT AS n_chars, md5(substring(text, chunk * 780 + 1, 800)) AS digest FROM c""",
     "token_dice": r"""WITH t AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) AS w FROM conversations)
 SELECT a.conv_id, a.turn, round(CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0.0 ELSE 2.0::DOUBLE * len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w)) END, 6) AS dice FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn""",

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from citeloom.operators import evaluate, links, resolve, routing, shortlist, stats
+from citeloom.operators import evaluate, links, readings, resolve, routing, shortlist, stats
 from citeloom.sources import request, tables, workbook
 from citeloom.streaming import windows
 
@@ -51,15 +51,34 @@ def test_metrics_of_empty_denominators(spark):
     assert (r["tp"], r["fn"], r["fp"], r["precision"], r["recall"], r["f1"], r["hallucination"]) == (0, 1, 0, 1.0, 0.0, 0.0, 0.0)
 
 
-def test_counts():
-    p = shortlist.parse_count
+def reader(spark, parser):
+    def read(raw, year=2026, max_age=None):
+        df = spark.createDataFrame([(parser, raw, max_age)], "parser string, raw string, max_age int")
+        return df.select(readings.reading(F.col("parser"), F.col("raw"), F.col("max_age"), readings.Guide(year)).alias("r")).first()["r"]
+
+    return read
+
+
+def test_counts(spark):
+    p = reader(spark, "count")
     assert p("1,200")["value"] == 1200 and p("more than 6,000")["lo"] == 6000 and p("more than 6,000")["hi"] is None and p("more than 6,000")["flags"] == ["QUALIFIED"]
     assert p("around 1,530")["hi"] == 1530 and "STALE" in p("15 (2005)", 2026, 10)["flags"] and not p("more than 100 skilled engineers")["ok"]
     assert p("100 to 200")["flags"] == ["RANGE"] and p("100 to 200")["value"] == 150
+    assert p("100–200 (as of 2001)", 2026, 3)["flags"] == ["RANGE"] and p("50 (Acme Group)")["flags"] == ["ANNOTATION"] and p("50+")["hi"] is None
+    assert p("40 (planned)")["reason"] == "not_current guard" and p("many")["flags"] == [] and p(None) is None
+    b = reader(spark, "binary")
+    assert (b(" Yes. ")["value"], b("FALSE")["value"], b("maybe")["reason"]) == (1.0, 0.0, "not a bare yes or no") and not reader(spark, "other")("x")["ok"]
+
 
+def test_guide_from_rows(spark):
+    g = readings.Guide.read(spark.createDataFrame([("rate", "usd", "1"), ("rate", "JPY", "0.01"), ("guard", "subset", "Pilots"), ("phrase", "make", "build to print")], "kind string, name string, value string"))
+    assert g.rates == {"USD": 1.0, "JPY": 0.01} and g.guards["subset"] == ["pilots"] and g.guards["forecast"] == readings.GUARDS["forecast"] and g.phrases == {"make": ["build to print"]}
 
-def test_money():
-    p = shortlist.parse_money
+
+def test_money(spark):
+    p = reader(spark, "money")
+    assert p("-12.50 USD")["value"] == 12.5 and p("CHF 5m - CHF 7m")["hi"] == pytest.approx(7.7e6) and p("5 GBP (outlook 2027)")["flags"] == ["FORECAST"]
+    assert p("about 3bn EUR (FY 2019)", 2026, 3)["flags"] == ["QUALIFIED", "STALE"] and p("1 to 2 million")["flags"] == ["NO_CURRENCY", "RANGE"]
     assert p("$29.8B (Fiscal Year 2025)")["value"] == pytest.approx(29.8e9) and p("$29.8B (Fiscal Year 2025)")["vintage"] == 2025
     assert p("£45M (2026)")["value"] == pytest.approx(45e6 * 1.27) and p("1,426.50 MSEK")["value"] == pytest.approx(1426.5e6 * 0.095)
     assert p("2+ billion")["flags"] == ["NO_CURRENCY", "QUALIFIED"] and p("2+ billion")["lo"] == 2e9 and p("2+ billion")["hi"] is None
@@ -86,6 +105,12 @@ def test_gates_and_ranks(spark):
     assert shortlist.perturbations(spec).select("change").distinct().count() == 8
 
 
+def test_legal_forms_say_nothing_about_a_company(spark):
+    c = [(n, "", "https://acme.com/", "Acme makes robots", 0) for n in ("Acme", "Acme GmbH", "Acme Holdings Inc.")]
+    got = {(r["name_score"], r["content_score"]) for r in resolve.score_candidates(spark.createDataFrame(c, "company string, context string, url string, body string, rank int")).collect()}
+    assert got == {(1.0, 1.0)}
+
+
 def test_keywords(spark):
     df = spark.createDataFrame([("A CMOS maker",), ("a CMO for you",), ("Build-to-Print parts",), (None,)], "t string")
     assert [r[0] for r in df.select(shortlist.keyword_hit(F.col("t"), ["cmo", "build to print"])).collect()] == [None, "cmo", "build to print", None]

@@ -61,6 +61,17 @@ def test_grounding(spark):
     assert got == [(1, 1, 10, 30), (2, 1, 2, 39), (6, 3, 0, 2)]
 
 
+def test_grounding_finds_every_literal_occurrence(spark):
+    """Quotes that begin or end inside a word, follow a letter, have no word start or no letter at all, against plain search."""
+    pages = ["xxunbelievable stories about the long winter nights ahead", "The unbelievable stories about the long winter nights", "a_b++c==d one two", "ÄÖÜ straßenbahn fährt über die lange brücke heute abend", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", ""]
+    quotes = ["believable stories about the long winter ni", "unbelievable stories about the long winter nights ahead", "++c==", "e", "ßenbahn fährt über die lange brücke", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", " stories about the long wi", "stories about the long winter nights"]
+    want = sorted((i, d, t.find(q), t.find(q) + len(q)) for i, q in enumerate(quotes) for d, t in enumerate(pages) if q in t)
+    q, p = spark.createDataFrame(list(enumerate(quotes)), "item_id bigint, text string"), spark.createDataFrame([*enumerate(pages), (99, None)], "doc_id bigint, text string")
+    for most in (100_000, 2):
+        got = sorted((r["item_id"], r["doc_id"], r["char_start"], r["char_end"]) for r in verify.ground_exact(q, p, most).collect())
+        assert got == want
+
+
 def test_verify_quotes(spark):
     page = "X reports lower climate impact from oat-based drinks."
     long = "the first twenty characters are here " + "completely different middle part of text " * 2 + "and the last twenty are"
