@@ -7,12 +7,12 @@ similarity 0.85 share no key with a probability below 0.00001. Lower thresholds
 keep that bound, 28 at 0.80. A pair of collections can only be shared by
 documents that share each of the two, so documents make keys from the collections that some other document has.
 
-Documents with equal sets are one class, found by digest. Each class is compared on full sets with one of the heads of
-its table keys, and the links found give components. A key whose members then lie in one component needs no more
+Documents with equal sets are one class, found by digest. Each class is compared on full sets with the head that most of
+its table keys have, and the links found give components. A key whose members then lie in one component needs no more
 comparisons. The documents of the other keys are sorted so that like ones meet, packed into blocks of bounded size, and
 blocks that share a key are joined: of their pairs that differ in component and share two collections, a sketch of 512
-one-byte minhashes drops those far below the threshold. Twice each document is compared on full sets with the nearest
-that is left in each block, which joins up large groups; what then still lies apart is compared with all that is left.
+one-byte minhashes drops those far below the threshold. Each document is compared on full sets with the nearest that is
+left in each block, which joins up large groups; what then still lies apart is compared with all that is left.
 So no key, however frequent, makes rows for its pairs or gathers in one task.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing; a text of
@@ -280,13 +280,14 @@ def _grouped(narrow: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     one = narrow.join(wanted.select("id", "body"), ["id", "body"], "left_semi").groupBy("body").agg(F.first("text").alias("text"))
     texts = one.join(wanted.select("rep", "body"), "body").select(F.col("rep").alias("id"), "text")
     texts = checkpoint(texts)
-    # first each class meets one head; then each meets its nearest in the blocks of its open keys, and at last all near it there
-    tried = checkpoint(keys.where("id <> head").groupBy("id").agg(F.min("head").alias("head")).toDF("a", "b"))
+    # first each class meets the head of most of its keys, the likest one; then each meets its nearest in the blocks of its open keys, and at last all near it there
+    met = keys.where("id <> head").groupBy("id", "head").agg(F.count("*").alias("k"))
+    tried = checkpoint(met.groupBy("id").agg(F.max_by("head", F.struct("k", -F.col("head"))).alias("head")).toDF("a", "b"))
     found = components(checkpoint(confirm(tried, texts, percent)))
     open_ = _mixed(keys.select("key", "id"), found)
     who = open_.groupBy("id").agg(F.min("key").alias("place")).join(classes.select(F.col("rep").alias("id"), "keys"), "id")
     facts = checkpoint(texts.join(who, "id").select("id", "text", "keys", "place").mapInArrow(_facts(count), "id bigint, place bigint, n bigint, keys binary, sketch binary"))
-    for nearest in (True, True, False):
+    for nearest in (True, False):
         # few partitions, so that blocks are full whatever the number of shuffle partitions
         live_facts = facts.join(open_.select("id", "component").distinct(), "id").select("id", "component", "place", "n", "keys", "sketch")
         n = open_.select("id").distinct().count()
