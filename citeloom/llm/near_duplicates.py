@@ -7,13 +7,12 @@ similarity 0.85 share no key with a probability below 0.00001. Lower thresholds
 keep that bound, 28 at 0.80. A pair of collections can only be shared by
 documents that share each of the two, so documents make keys from the collections that some other document has.
 
-Documents with equal sets are one class, found by digest. Each class is compared on full sets with the head that most of
-its table keys have, and the links found give components. A key whose members then lie in one component needs no more
-comparisons. The documents of the other keys are sorted so that like ones meet, packed into blocks of bounded size, and
-blocks that share a key are joined: of their pairs that differ in component and share two collections, a sketch of 512
-one-byte minhashes drops those far below the threshold. Each document is compared on full sets with the nearest that is
-left in each block, which joins up large groups; what then still lies apart is compared with all that is left.
-So no key, however frequent, makes rows for its pairs or gathers in one task.
+Documents with equal sets are one class, found by digest. Within a table key each class is compared with the
+key's smallest class only, on full sets, and the links found give components. A key whose members then lie
+in one component needs no more comparisons. The documents of the other keys are sorted so that like ones meet,
+packed into blocks of bounded size, and blocks that share a key are joined: of their pairs that differ in component
+and share two collections, a sketch of 512 one-byte minhashes drops those far below the threshold, and the
+rest is compared on full sets. So no key, however frequent, makes rows for its pairs or gathers in one task.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing; a text of
 fewer than five words has its whole word sequence as its one shingle; a very long text is hashed whole, its minhashes
@@ -143,20 +142,21 @@ def _confirm(percent: int):
 
 
 def _facts(count: int):
-    """(id, place, n, keys, sketch) of documents that still need comparisons; place sorts like ones together."""
+    """(id, component, place, n, keys, sketch) of documents that still need comparisons; place sorts like ones together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHash()
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
-            keys = np.asarray(batch.column(2).flatten()).reshape(-1, count)
+            keys = np.asarray(batch.column(3).flatten()).reshape(-1, count)
             for i, j in passes(offsets):
                 sets = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], hasher)
                 part = batch.slice(i, j - i)
                 yield pa.record_batch(
                     {
                         "id": part.column(0),
-                        "place": part.column(3),
+                        "component": part.column(2),
+                        "place": part.column(4),
                         "n": np.array([len(x) for x in sets], np.int64),
                         "keys": pa.array([k.tobytes() for k in keys[i:j]], pa.binary()),
                         "sketch": pa.array([(mix(minhashes(x, SKETCH)) >> np.uint64(56)).astype(np.uint8).tobytes() for x in sets], pa.binary()),
@@ -193,14 +193,11 @@ def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"x": [p[0] for p in seen], "y": [p[1] for p in seen]})
 
 
-def _join_blocks(percent: int, count: int, nearest: bool):
-    """Pairs between two blocks that differ in component, share two collections and whose sketches come near the threshold.
-
-    nearest: of a document's pairs in a block only the one whose sketches have most in common, or the first of those.
-    """
+def _join_blocks(percent: int, count: int):
+    """Pairs between two blocks that differ in component, share two collections and whose sketches come near the threshold."""
     t = percent / 100
-    # five and a half standard deviations below the threshold
-    least = int(SKETCH * (t - 5.5 * (t * (1 - t) / SKETCH) ** 0.5))
+    # four and a half standard deviations below the threshold: a linked pair falls below with a probability of 0.000004
+    least = int(SKETCH * (t - 4.5 * (t * (1 - t) / SKETCH) ** 0.5))
 
     def side(row: dict, which: str) -> tuple:
         ids, comps, ns = (np.array(row[c + which], np.int64) for c in ("ids", "components", "ns"))
@@ -218,9 +215,7 @@ def _join_blocks(percent: int, count: int, nearest: bool):
             if len(j):
                 j = j[(b[3][j] == a[3][i]).sum(1) >= 2]
             if len(j):
-                same = (b[4][j] == a[4][i]).sum(1)
-                j, same = j[same >= least], same[same >= least]
-                j = j[same.argmax()][None] if nearest and len(j) else j
+                j = j[(b[4][j] == a[4][i]).sum(1) >= least]
             out_a.append(np.maximum(a[0][i], b[0][j]))
             out_b.append(np.minimum(a[0][i], b[0][j]))
         return pa.record_batch({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
@@ -241,20 +236,6 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(_confirm(percent), "a bigint, b bigint")
 
 
-def _mixed(keys: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows (key, id, component) of keys whose members lie in several components."""
-    marked = keys.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = marked.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    return checkpoint(marked.join(mixed, "key").select("key", "id", "component"))
-
-
-def _grow(found: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
-    """The components found with more links, and whether there are any."""
-    if links.isEmpty():
-        return found, False
-    return components(found.toDF("a", "b").union(links.select("a", "b"))), True
-
-
 def _grouped(narrow: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Rows (id, body, n, keeper) of the rows (id, text, body) that can be linked, and rows (id, body, n) of all others.
 
@@ -265,9 +246,10 @@ def _grouped(narrow: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     signed = narrow.select("id", "text", "body").mapInArrow(_signatures(count), f"id {kind}, body string, n bigint, d1 bigint, d2 bigint, keys array<bigint>")
     signed = checkpoint(signed)
     live = signed.where("n > 0 and id is not null")
-    # a class of equal sets is known by a number of its own from here on
+    # a class of equal sets is known by a number from here on, in the order of ids: copies mostly come after what they copy,
+    # so the head of a key, its smallest number, is likelier than others to be near all its members
     classes = live.groupBy("n", "d1", "d2").agg(F.min(F.struct("id", "body")).alias("least"), F.first("keys").alias("keys"))
-    classes = checkpoint(classes.withColumn("rep", F.monotonically_increasing_id()))
+    classes = checkpoint(classes.sort("least").withColumn("rep", F.monotonically_increasing_id()))
     # collections that more than one class has
     single = classes.select("rep", F.explode("keys").alias("c"))
     shared = single.groupBy("c").agg(F.count("*").alias("k")).where("k > 1").select("c")
@@ -275,35 +257,36 @@ def _grouped(narrow: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     keys = own.mapInArrow(_table_keys, "key bigint, id bigint")
     heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("k")).where("k > 1").select("key", "head")
     keys = checkpoint(keys.join(heads, "key"))
+    star = checkpoint(keys.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct())
     # a text for each class that takes part in a pair: that of its smallest row, so that copies do not move
-    wanted = classes.join(keys.select("id").distinct(), F.col("rep") == F.col("id"), "left_semi").select("rep", "least.id", "least.body")
+    ids = star.select("a").union(star.select(F.col("b").alias("a"))).distinct()
+    wanted = classes.join(ids, F.col("rep") == F.col("a"), "left_semi").select("rep", "least.id", "least.body")
     one = narrow.join(wanted.select("id", "body"), ["id", "body"], "left_semi").groupBy("body").agg(F.first("text").alias("text"))
     texts = one.join(wanted.select("rep", "body"), "body").select(F.col("rep").alias("id"), "text")
     texts = checkpoint(texts)
-    # first each class meets the head of most of its keys, the likest one; then each meets its nearest in the blocks of its open keys, and at last all near it there
-    met = keys.where("id <> head").groupBy("id", "head").agg(F.count("*").alias("k"))
-    tried = checkpoint(met.groupBy("id").agg(F.max_by("head", F.struct("k", -F.col("head"))).alias("head")).toDF("a", "b"))
-    found = components(checkpoint(confirm(tried, texts, percent)))
-    open_ = _mixed(keys.select("key", "id"), found)
-    who = open_.groupBy("id").agg(F.min("key").alias("place")).join(classes.select(F.col("rep").alias("id"), "keys"), "id")
-    facts = checkpoint(texts.join(who, "id").select("id", "text", "keys", "place").mapInArrow(_facts(count), "id bigint, place bigint, n bigint, keys binary, sketch binary"))
-    for nearest in (True, False):
-        # few partitions, so that blocks are full whatever the number of shuffle partitions
-        live_facts = facts.join(open_.select("id", "component").distinct(), "id").select("id", "component", "place", "n", "keys", "sketch")
-        n = open_.select("id").distinct().count()
-        if not n:
-            break
-        blocks = checkpoint(live_facts.sort("place", "id").coalesce(max(1, n // (4 * BLOCK))).mapInArrow(_pack, "block bigint, ids array<bigint>, components array<bigint>, ns array<bigint>, keys binary, sketches binary"))
-        of = blocks.select("block", F.explode("ids").alias("id"))
-        together = open_.select("key", "id").join(of, "id").groupBy("key").agg(F.collect_set("block").alias("blocks")).select("blocks").distinct()
-        together = together.mapInArrow(_pairs_of, "x bigint, y bigint").distinct()
-        one = blocks.toDF("x", *(c + "1" for c in blocks.columns[1:]))
-        two = blocks.toDF("y", *(c + "2" for c in blocks.columns[1:]))
-        near = together.join(one, "x").join(two, "y").mapInArrow(_join_blocks(percent, count, nearest), "a bigint, b bigint").distinct()
-        near = checkpoint(near.join(tried, ["a", "b"], "left_anti"))
-        found, grown = _grow(found, checkpoint(confirm(near, texts, percent)))
-        tried = tried.union(near)
-        open_ = _mixed(open_.select("key", "id"), found) if grown and nearest else open_
+    links = checkpoint(confirm(star, texts, percent))
+    found = components(links)
+    # keys that still hold several components
+    marked = keys.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = marked.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    open_ = checkpoint(marked.join(mixed, "key"))
+    who = open_.groupBy("id").agg(F.first("component").alias("component"), F.min("key").alias("place"))
+    who = who.join(classes.select(F.col("rep").alias("id"), "keys"), "id")
+    facts = checkpoint(texts.join(who, "id").select("id", "text", "component", "keys", "place").mapInArrow(_facts(count), "id bigint, component bigint, place bigint, n bigint, keys binary, sketch binary"))
+    # few partitions, so that blocks are full whatever the number of shuffle partitions
+    n_parts = max(1, facts.count() // (4 * BLOCK))
+    blocks = facts.sort("place", "id").coalesce(n_parts).mapInArrow(_pack, "block bigint, ids array<bigint>, components array<bigint>, ns array<bigint>, keys binary, sketches binary")
+    blocks = checkpoint(blocks)
+    of = blocks.select("block", F.explode("ids").alias("id"))
+    together = open_.select("key", "id").join(of, "id").groupBy("key").agg(F.collect_set("block").alias("blocks")).select("blocks").distinct()
+    together = together.mapInArrow(_pairs_of, "x bigint, y bigint").distinct()
+    one = blocks.toDF("x", *(c + "1" for c in blocks.columns[1:]))
+    two = blocks.toDF("y", *(c + "2" for c in blocks.columns[1:]))
+    near = together.join(one, "x").join(two, "y").mapInArrow(_join_blocks(percent, count), "a bigint, b bigint")
+    near = checkpoint(near.join(star, ["a", "b"], "left_anti"))
+    more = checkpoint(confirm(near, texts, percent))
+    if not more.isEmpty():
+        found = components(links.union(more))
     member = classes.select("rep", "least").join(found.withColumnRenamed("node", "rep"), "rep")
     names = member.groupBy("component").agg(F.min("least").alias("keeper"))
     renamed = member.join(names, "component").select("rep", "keeper")
