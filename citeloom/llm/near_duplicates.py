@@ -37,6 +37,8 @@ DEPTH, MISSED = 4, 0.00001
 SKETCH = 512
 #: Documents that one comparison holds on either side.
 BLOCK = 512
+#: Text bytes that one numpy pass handles here.
+_PASS = 400_000
 _POWERS = powers(np.uint64(0xD6E8FEB86659FD93), SHINGLE + 1)[1:]
 _ODD = mix(np.arange(1, 1 + 4096, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -87,7 +89,7 @@ def _signatures(count: int):
         hasher = SpanHash()
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
-            for i, j in passes(offsets):
+            for i, j in passes(offsets, _PASS):
                 sets = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], hasher)
                 keys = np.zeros((j - i, count), np.uint64)
                 digest = np.zeros((j - i, 2), np.uint64)
@@ -149,7 +151,7 @@ def _facts(count: int):
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
             keys = np.asarray(batch.column(3).flatten()).reshape(-1, count)
-            for i, j in passes(offsets):
+            for i, j in passes(offsets, _PASS):
                 sets = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], hasher)
                 part = batch.slice(i, j - i)
                 yield pa.record_batch(
