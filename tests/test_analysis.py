@@ -111,6 +111,13 @@ def test_legal_forms_say_nothing_about_a_company(spark):
     assert got == {(1.0, 1.0)}
 
 
+def test_vectors_raise_the_confidence(spark):
+    c = [("Qq Zz", "", f"https://other{k}.com/", "plain text", 3, v, w) for k, (v, w) in enumerate([([1.0, 0.0], [1.0, 0.0]), ([1.0, 0.0], [-1.0, 0.0]), (None, [1.0]), ([0.0], [0.0])])]
+    df = spark.createDataFrame(c, "company string, context string, url string, body string, rank int, query_vector array<double>, body_vector array<double>")
+    got = {r["domain"]: r["boost"] for r in resolve.score_candidates(df).collect()}
+    assert got == {"other0.com": 0.1, "other1.com": 0.0, "other2.com": 0.0, "other3.com": 0.0}
+
+
 def test_keywords(spark):
     df = spark.createDataFrame([("A CMOS maker",), ("a CMO for you",), ("Build-to-Print parts",), (None,)], "t string")
     assert [r[0] for r in df.select(shortlist.keyword_hit(F.col("t"), ["cmo", "build to print"])).collect()] == [None, "cmo", "build to print", None]

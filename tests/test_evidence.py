@@ -1,6 +1,7 @@
 """Grounding, cells, ledgers, themes and summaries."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from citeloom.operators import evidence as ev
@@ -138,3 +139,23 @@ def test_extraction_uses_the_cache_and_keeps_errors(spark):
     assert again == {"u1": None, "u2": None}
     merged = extract.merge(first, q, ["Acme"]).orderBy("url").collect()
     assert [(r["url"], r["value"], r["quote"]) for r in merged] == [("u1", "Oslo", "text one"), ("u2", "Oslo", "text two")]
+
+
+def test_a_busy_model_is_called_again():
+    class Busy(Exception):
+        status_code = 502
+
+    calls = []
+
+    def model(fail, error):
+        calls.append(error)
+        if len(calls) <= fail:
+            raise error
+        return "done"
+
+    assert extract.patient(model, 3, 0.0)(2, Busy()) == "done" and len(calls) == 3
+    for error, times in ((Busy(), 2), (TimeoutError(), 1), (ValueError(), 1)):
+        calls.clear()
+        with pytest.raises(type(error)):
+            extract.patient(model, 2, 0.0)(9, error)
+        assert len(calls) == times
