@@ -192,7 +192,27 @@ def resolve_review(spark, d):
     return resolve.resolve(resolve.score_candidates(c)).select("company", "confidence", "needs_review", "note")
 
 
-QUERIES = {f.__name__: f for f in (auc_by_source, auc_overall, pearson_spearman, threshold_sweep, best_threshold, operating_points, score_bins, rankings, misjudged, matrix_parity, label_confusion, auc_difference, exact_metrics, greedy_metrics, entity_crosscheck, manual_verdicts, question_binding, shortlist_rank, shortlist_overlap, gate_decisiveness, gate_differences, keyword_gate, filter_routing, routing_counterfactual, centered_norms, themes, resolve_review)}
+def cell_readings(spark, d):
+    """Texts written from each supplier's key in six ways, and what is read from them."""
+    s = read(spark, d, "supplier")
+    k, text_of = F.col("s_suppkey"), F.col("s_suppkey").cast("string")
+    forms = [
+        ("count", F.concat(F.lit("over "), F.format_number(k + 1000, 0))), ("count", F.concat(text_of, F.lit(" to "), (k + 100).cast("string"))), ("count", F.concat(text_of, F.lit(" (2001)"))),
+        ("money", F.concat(F.lit("$"), text_of, F.lit(".5M (Fiscal Year 2025)"))), ("money", F.concat(F.lit("approx "), text_of, F.lit(" million EUR (Parent Corp)"))), ("binary", F.when(k % 4 == 1, "Yes.").otherwise(" no ")),
+    ]
+    parser = raw = F.lit(None).cast("string")
+    for n, (kind, form) in enumerate(forms):
+        parser, raw = F.when(k % 6 == n, kind).otherwise(parser), F.when(k % 6 == n, form).otherwise(raw)
+    rows = shortlist.parse_column(s.select("s_suppkey", parser.alias("parser"), F.lit(10).alias("max_age"), raw.alias("raw")))
+    return rows.select("s_suppkey", "parser", "ok", *(F.round(c, 2).alias(c) for c in ("value", "lo", "hi")), "vintage", F.array_join("flags", ",").alias("flags"))
+
+
+def keyword_hits(spark, d):
+    """The first phrase of a list in each document, short ones as whole words."""
+    return read(spark, d, "documents").select("doc_id", shortlist.keyword_hit(F.col("text"), ["the", "und", "con-", "tion", "que"]).alias("hit"))
+
+
+QUERIES = {f.__name__: f for f in (cell_readings, keyword_hits, auc_by_source, auc_overall, pearson_spearman, threshold_sweep, best_threshold, operating_points, score_bins, rankings, misjudged, matrix_parity, label_confusion, auc_difference, exact_metrics, greedy_metrics, entity_crosscheck, manual_verdicts, question_binding, shortlist_rank, shortlist_overlap, gate_decisiveness, gate_differences, keyword_gate, filter_routing, routing_counterfactual, centered_norms, themes, resolve_review)}
 
 _SL = """sl AS (SELECT doc_id, source, lang, least(1.0::DOUBLE, floor(n_chars / 40) / 100) AS score, quality = 1 AS label, n_chars FROM documents JOIN labels USING (doc_id))"""
 _AUC = "sum(r) FILTER (label) AS s, count(*) FILTER (label) AS p, count(*) FILTER (NOT label) AS q"
@@ -205,6 +225,17 @@ _COS = "list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(li
 _ROUTE = f"""e AS (SELECT vec_id AS url, list_transform(embedding, lambda x: x::DOUBLE) AS e, label FROM embeddings),
 s AS (SELECT a.url, 'q' || b.url AS question, {_COS} AS score, a.label = b.label AS hit FROM e a JOIN e b ON b.url % 50 = 0)"""
 ORACLES = {
+    "cell_readings": """WITH s AS (SELECT s_suppkey, s_suppkey % 6 AS n, s_suppkey::DOUBLE AS k FROM supplier)
+SELECT s_suppkey, CASE WHEN n < 3 THEN 'count' WHEN n < 5 THEN 'money' ELSE 'binary' END AS parser, true AS ok,
+  round(CASE n WHEN 0 THEN k + 1000 WHEN 1 THEN k + 50 WHEN 2 THEN k WHEN 3 THEN (k + 0.5) * 1000000 WHEN 4 THEN k * 1080000 ELSE (s_suppkey % 4 = 1)::INT END, 2)::DOUBLE AS value,
+  round(CASE n WHEN 0 THEN k + 1000 WHEN 1 THEN k WHEN 2 THEN k WHEN 3 THEN (k + 0.5) * 1000000 WHEN 4 THEN k * 1080000 ELSE (s_suppkey % 4 = 1)::INT END, 2)::DOUBLE AS lo,
+  round(CASE n WHEN 0 THEN NULL WHEN 1 THEN k + 100 WHEN 2 THEN k WHEN 3 THEN (k + 0.5) * 1000000 WHEN 4 THEN k * 1080000 ELSE (s_suppkey % 4 = 1)::INT END, 2)::DOUBLE AS hi,
+  CASE n WHEN 2 THEN 2001 WHEN 3 THEN 2025 END::INT AS vintage,
+  CASE n WHEN 0 THEN 'QUALIFIED' WHEN 1 THEN 'RANGE' WHEN 2 THEN 'STALE' WHEN 4 THEN 'PARENT_ATTRIBUTED,QUALIFIED' ELSE '' END AS flags FROM s""",
+    "keyword_hits": r"""WITH t AS (SELECT doc_id, regexp_replace(replace(lower(text), '-', ' '), '\s+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, CASE WHEN regexp_matches(t, '(^|[^a-z0-9])the([^a-z0-9]|$)') THEN 'the' WHEN regexp_matches(t, '(^|[^a-z0-9])und([^a-z0-9]|$)') THEN 'und'
+  WHEN regexp_matches(t, '(^|[^a-z0-9])con ([^a-z0-9]|$)') THEN 'con-' WHEN regexp_matches(t, '(^|[^a-z0-9])tion([^a-z0-9]|$)') THEN 'tion'
+  WHEN regexp_matches(t, '(^|[^a-z0-9])que([^a-z0-9]|$)') THEN 'que' END AS hit FROM t""",
     "auc_by_source": f"""WITH {_SL}, r AS (SELECT source, label, rank() OVER (PARTITION BY source ORDER BY score) + (count(*) OVER (PARTITION BY source, score) - 1) / 2 AS r FROM sl), t AS (SELECT source, {_AUC} FROM r GROUP BY 1)
 SELECT source, p AS positives, q AS negatives, round(CASE WHEN p > 0 AND q > 0 THEN (s - p * (p + 1) / 2) / (p * q) END, 6)::DOUBLE AS auc FROM t""",
     "auc_overall": f"""WITH {_SL}, r AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS r FROM sl), t AS (SELECT {_AUC} FROM r)
