@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import LOWER, SPACE, SpanHash, checkpoint, components, mix, numbered, passes, pick, powers, row_bounds, spans, utf8
@@ -37,6 +37,8 @@ DEPTH, MISSED = 4, 0.00001
 SKETCH = 512
 #: Documents that one comparison holds on either side.
 BLOCK = 512
+#: Links of a forest that one task puts together.
+AT_ONCE = 1_000_000
 #: Text bytes that one numpy pass handles here.
 _PASS = 400_000
 _POWERS = powers(np.uint64(0xD6E8FEB86659FD93), SHINGLE + 1)[1:]
@@ -230,6 +232,25 @@ def _join_blocks(percent: int, count: int):
     return run
 
 
+def maybe_in(some: DataFrame, *columns: str) -> Column:
+    """True for the rows whose columns some has, and for about one in 16 of the others: a bit for each hash is sent to
+    all tasks, so that rows need not move to be told apart."""
+    bits = 1 << max(16, (16 * some.count()).bit_length())
+    place = F.pmod(F.xxhash64(*columns), F.lit(bits))
+    held = np.zeros(bits // 8, np.uint8)
+    marks = some.select((place + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    for r in marks.collect():  # 4096 bytes each, two to four bytes for each row of some in all
+        held[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    sent = some.sparkSession.sparkContext.broadcast(held)
+
+    @F.arrow_udf("boolean")
+    def marked(at: pa.Array) -> pa.Array:
+        at = np.asarray(at)
+        return pa.array((sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    return marked(place)
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (a, b) whose full sets meet the threshold; texts: (id, text), an id once."""
     one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
@@ -262,19 +283,23 @@ def _grouped(narrow: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     star = checkpoint(keys.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct())
     # a text for each class that takes part in a pair: that of its smallest row, so that copies do not move
     ids = star.select("a").union(star.select(F.col("b").alias("a"))).distinct()
-    wanted = classes.join(ids, F.col("rep") == F.col("a"), "left_semi").select("rep", "least.id", "least.body")
-    one = narrow.join(wanted.select("id", "body"), ["id", "body"], "left_semi").groupBy("body").agg(F.first("text").alias("text"))
+    wanted = checkpoint(classes.join(ids, F.col("rep") == F.col("a"), "left_semi").select("rep", "least.id", "least.body"))
+    one = narrow.where(maybe_in(wanted, "id", "body")).groupBy("body").agg(F.first("text").alias("text"))
     texts = one.join(wanted.select("rep", "body"), "body").select(F.col("rep").alias("id"), "text")
     texts = checkpoint(texts)
     links = checkpoint(confirm(star, texts, percent))
-    found = components(links)
+    found = components(links, AT_ONCE)
     # keys that still hold several components
-    marked = keys.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    marked = keys.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = marked.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     open_ = checkpoint(marked.join(mixed, "key"))
-    who = open_.groupBy("id").agg(F.first("component").alias("component"), F.min("key").alias("place"))
+    # documents that no chain of such keys connects share none, so few blocks meet if those of a chain come together
+    chains = components(open_.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), AT_ONCE)
+    who = open_.groupBy("id").agg(F.first("component").alias("component"), F.min("key").alias("first_key"))
+    who = who.join(chains.select(F.col("node").alias("id"), F.col("component").alias("chain")), "id")
+    who = who.select("id", "component", F.struct("chain", "first_key").alias("place"))
     who = who.join(classes.select(F.col("rep").alias("id"), "keys"), "id")
-    facts = checkpoint(texts.join(who, "id").select("id", "text", "component", "keys", "place").mapInArrow(_facts(count), "id bigint, component bigint, place bigint, n bigint, keys binary, sketch binary"))
+    facts = checkpoint(texts.join(who, "id").select("id", "text", "component", "keys", "place").mapInArrow(_facts(count), "id bigint, component bigint, place struct<chain: bigint, first_key: bigint>, n bigint, keys binary, sketch binary"))
     # few partitions, so that blocks are full whatever the number of shuffle partitions
     n_parts = max(1, facts.count() // (4 * BLOCK))
     blocks = facts.sort("place", "id").coalesce(n_parts).mapInArrow(_pack, "block bigint, ids array<bigint>, components array<bigint>, ns array<bigint>, keys binary, sketches binary")
@@ -288,7 +313,7 @@ def _grouped(narrow: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     near = checkpoint(near.join(star, ["a", "b"], "left_anti"))
     more = checkpoint(confirm(near, texts, percent))
     if not more.isEmpty():
-        found = components(links.union(more))
+        found = components(links.union(more), AT_ONCE)
     member = classes.select("rep", "least").join(found.withColumnRenamed("node", "rep"), "rep")
     names = member.groupBy("component").agg(F.min("least").alias("keeper"))
     renamed = member.join(names, "component").select("rep", "keeper")

@@ -2,8 +2,10 @@
 
 import random
 import re
+import tempfile
 
-from citeloom.llm.near_duplicates import near_duplicates, without_near_duplicates
+from citeloom.llm._common import components
+from citeloom.llm.near_duplicates import maybe_in, near_duplicates, without_near_duplicates
 
 
 def brute(texts):
@@ -79,3 +81,37 @@ def test_repeated_rows_leave_one(spark):
     got = sorted((tuple(r) for r in without_near_duplicates(df).collect()), key=str)
     assert got == sorted([(1, t, "x", 3), (3, None, "x", 1), (3, None, "x", 1)], key=str)
     assert without_near_duplicates(df.where("false")).count() == 0
+
+
+def moved(spark, df):
+    """Bytes that all shuffles of df() write, and its number of rows."""
+    total = lambda: spark._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+    before = total()
+    n = len(df().collect())
+    return total() - before, n
+
+
+def test_texts_without_near_copies_do_not_move(spark):
+    """Of 200 long texts one has a near copy."""
+    rng = random.Random(3)
+    texts = [" ".join(f"{rng.getrandbits(64):x}" for _ in range(1500)) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate([*texts, texts[7] + " tail"])), "doc_id bigint, text string").repartition(8)
+    df.write.mode("overwrite").parquet(folder := tempfile.mkdtemp())
+    size, df = sum(map(len, texts)), spark.read.parquet(folder)
+    assert (bytes_ := moved(spark, lambda: near_duplicates(df)))[0] < 0.3 * size and bytes_[1] == 201
+
+
+def test_rows_that_a_filter_lets_pass(spark):
+    rows = spark.range(20_000).selectExpr("id", "md5(cast(id as string)) as body").union(spark.createDataFrame([(None, None)], "id bigint, body string"))
+    some = rows.where("id % 50 = 3")
+    passed = rows.where(maybe_in(some, "id", "body"))
+    assert passed.where("id % 50 = 3").count() == 400 and passed.count() < 4000
+    assert rows.where(maybe_in(some.where("false"), "id", "body")).count() == 0
+    assert rows.where(~maybe_in(rows, "id", "body")).count() == 0
+
+
+def test_components_by_one_task_or_by_rounds(spark):
+    rng = random.Random(6)
+    for n in (0, 5, 400):
+        edges = spark.createDataFrame([(rng.randrange(500), rng.randrange(500)) for _ in range(n)], "a bigint, b bigint").repartition(4)
+        assert sorted(map(tuple, components(edges, 1000).collect())) == sorted(map(tuple, components(edges).collect()))
