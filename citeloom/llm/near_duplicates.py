@@ -338,7 +338,9 @@ def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col
     # of each id and text that goes, or that several rows have
     gone = grouped.groupBy("id", "body").agg(F.count("*").alias("k"), F.first(F.struct("id", "body") != F.col("keeper")).alias("goes")).where("goes or k > 1")
     gone = checkpoint(gone.select(F.col("id").alias("id_of"), F.col("body").alias("body_of"), "goes"))
-    left = rows.join(gone, ["id_of", "body_of"], "left_anti").select(*flat.columns)
+    maybe = maybe_in(gone, "id_of", "body_of")
+    some = rows.where(maybe)
+    left = rows.where(~maybe).select(*flat.columns).union(some.join(gone, ["id_of", "body_of"], "left_anti").select(*flat.columns))
     whole = F.struct(*flat.columns)
-    again = rows.join(gone.where("not goes"), ["id_of", "body_of"], "left_semi").groupBy("id_of", "body_of").agg(F.min_by(whole, F.to_json(whole)).alias("row"))
+    again = some.join(gone.where("not goes"), ["id_of", "body_of"], "left_semi").groupBy("id_of", "body_of").agg(F.min_by(whole, F.to_json(whole)).alias("row"))
     return left.union(again.select("row.*")).toDF(*docs.columns)

@@ -99,6 +99,7 @@ def test_texts_without_near_copies_do_not_move(spark):
     df.write.mode("overwrite").parquet(folder := tempfile.mkdtemp())
     size, df = sum(map(len, texts)), spark.read.parquet(folder)
     assert (bytes_ := moved(spark, lambda: near_duplicates(df)))[0] < 0.3 * size and bytes_[1] == 201
+    assert (bytes_ := moved(spark, lambda: without_near_duplicates(df)))[0] < 0.4 * size and bytes_[1] == 200
 
 
 def test_rows_that_a_filter_lets_pass(spark):
