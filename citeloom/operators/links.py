@@ -114,10 +114,13 @@ def crawl(edges: DataFrame, seeds: DataFrame, max_depth: int, budget: int, best_
     """(seed, url, depth): pages reached from each seed within max_depth and a page budget per seed.
 
     One wave a depth over the whole edge table; a wave keeps a page's least depth and drops what the seed has seen.
-    Within a wave, pages come in order of score (best_first) or of arrival, and the budget cuts the last wave.
+    Within a wave, pages come in order of score (best_first) or of arrival, and the budget cuts the last wave. Where the
+    edges have fewer targets than the budget, it can cut nothing: then no order is kept.
     """
     from .graph import checkpointed
 
+    if edges.select("target").distinct().count() + 1 <= budget:
+        return _reached(edges, seeds, max_depth)
     seen = checkpointed(seeds.select(F.col("url").alias("seed"), "url", F.lit(0).alias("depth"), F.lit(1.0).alias("score"), F.lit(0).cast("bigint").alias("place")))
     wave = seen
     for depth in range(1, max_depth + 1):
@@ -128,12 +131,41 @@ def crawl(edges: DataFrame, seeds: DataFrame, max_depth: int, budget: int, best_
         order = [F.desc("score"), "first", "url"] if best_first else ["first", "url"]
         out = out.join(used, "seed").withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy(*order)))
         wave = checkpointed(out.where(F.col("used") + F.col("rank") <= budget).select("seed", "url", F.lit(depth).alias("depth"), "score", F.col("rank").cast("bigint").alias("place")))
-        seen = checkpointed(seen.union(wave))
+        seen = seen.union(wave)
         if wave.isEmpty():
             break
     return seen.select("seed", "url", "depth")
 
 
+def _reached(edges: DataFrame, seeds: DataFrame, max_depth: int, longest: int = 10_000, least_parts: int = 256) -> DataFrame:
+    """crawl() without a budget. A page's targets travel as arrays to the tasks of their seeds, and the last wave is kept nowhere.
+
+    Targets, and with them what a seed has seen, are dealt over parts by their hash if an array would hold more than
+    longest, or if there are fewer seeds than tasks.
+    """
+    from .graph import checkpointed
+
+    seen = checkpointed(seeds.select(F.col("url").alias("seed"), "url", F.lit(0).alias("depth")).distinct())
+    most = edges.groupBy("page").count().agg(F.max("count")).first()[0] or 0
+    parts = max(-(-most // longest), -(-least_parts // max(1, seen.count())))
+    part = F.pmod(F.xxhash64("url"), F.lit(parts)) if parts > 1 else F.lit(0)
+    links = edges.where("page is not null").select("page", F.col("target").alias("url")).withColumn("part", part)
+    # collect_set passes over a null target
+    none = F.array(F.lit(None).cast(links.schema["url"].dataType))
+    links = links.groupBy("page", "part").agg(F.concat(F.collect_set("url"), F.when(F.count_if(F.col("url").isNull()) > 0, none).otherwise(F.slice(none, 1, 0))).alias("urls"))
+    links = checkpointed(links) if max_depth > 1 else links
+    for depth in range(1, max_depth + 1):
+        steps = seen.where(F.col("depth") == depth - 1).select("seed", F.col("url").alias("page")).join(links, "page").select("seed", "part", F.lit(depth).alias("depth"), "urls")
+        rows = steps.union(seen.withColumn("part", part).select("seed", "part", "depth", F.array("url"))).repartition("seed", "part")
+        found = rows.select("seed", "part", "depth", F.explode("urls").alias("url")).groupBy("seed", "part", "url").agg(F.min("depth").alias("depth")).select("seed", "url", "depth")
+        if depth == max_depth:
+            return found
+        seen = checkpointed(found)
+        if seen.where(F.col("depth") == depth).isEmpty():
+            break
+    return seen
+
+
 def locale_variants(pages: DataFrame) -> DataFrame:
     """Pages of one locale key, with the first of them; the others are copies in another language."""
     keyed = pages.withColumn("key", url.locale_key(F.col("url")))

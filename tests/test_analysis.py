@@ -146,6 +146,27 @@ def test_links_and_crawl(spark):
     assert {(r["url"], r["depth"]) for r in links.crawl(edges, seeds, 5, 10).collect()} == {("seed", 0), ("a", 1), ("b", 1), ("a/deep", 2)}
 
 
+def test_a_crawl_that_no_budget_cuts_keeps_its_last_wave_nowhere(spark, monkeypatch):
+    from citeloom.operators import graph
+
+    n = 40
+    pairs = [(k, (k * 7 + j * j) % n) for k in range(0, n, 2) for j in range(4)] + [(2, None), (2, None)]
+    edges = spark.createDataFrame([(a, b, 1.0, k) for k, (a, b) in enumerate(pairs)], "page bigint, target bigint, score double, ord bigint")
+    seeds = spark.createDataFrame([(k,) for k in (0, 2, 5, 12)], "url bigint")
+    want = {}
+    for s in (0, 2, 5, 12):
+        want[s, s], wave = 0, {s}
+        for depth in (1, 2, 3):
+            wave = {b for a, b in pairs if a in wave and (s, b) not in want}
+            want |= {(s, b): depth for b in wave}
+    kept = []
+    monkeypatch.setattr(graph, "checkpointed", lambda df, f=graph.checkpointed: kept.append(df.columns) or f(df))
+    for out in (links.crawl(edges, seeds, 3, n + 2), links._reached(edges, seeds, 3, longest=2), links._reached(edges, seeds, 3, least_parts=1)):
+        assert sorted(map(str, out.collect())) == sorted(f"Row(seed={a}, url={b}, depth={d})" for (a, b), d in want.items())
+    # the start, the links and two waves, and no column of places
+    assert kept == [["seed", "url", "depth"], ["page", "part", "urls"], *[["seed", "url", "depth"]] * 2] * 3
+
+
 def test_quality_gate(spark):
     long = "word " * 60
     rows = [("short", "x", "<body>x</body>"), ("links", long, f"<body>{'<a>aaaaaaaaaa</a>' * 50} {'b' * 60}</body>"), ("lost", long, f"<body>{'c' * 9000}</body>"), ("fine", long, f"<html><script>var x</script><body>{long}</body></html>"), ("null", None, None)]
