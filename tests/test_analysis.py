@@ -132,6 +132,24 @@ def test_routing_drops_shared_words_and_falls_back(spark):
     assert routing.route(s, passthrough=True).where("not included").count() == 0
 
 
+def test_scores_of_pages_move_no_pairs(spark):
+    chunks = spark.createDataFrame([("u", [1.0, 0.0]), ("u", [0.6, 0.8]), ("v", None), ("w", [-1.0, 0.5]), ("x", [0.0, 0.0]), ("y", [1.0, None]), ("z", [1.0])], "url string, vector array<double>")
+    q = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 2.0]), ("a", [0.0, -1.0])], "question string, vector array<double>")
+    scores = routing.question_scores(chunks, q)
+    got = {(r["url"], r["question"]): r["score"] for r in scores.collect()}
+    assert got == {("u", "a"): 1.0, ("u", "b"): 0.8, ("w", "a"): -0.5 / 1.25**0.5, ("w", "b"): 1.0 / (1.25**0.5 * 2.0), ("z", "a"): None, ("z", "b"): None} | {(u, n): 0.0 for u in "vxy" for n in "ab"}
+    log = routing.route(scores)
+    plain = routing.route(scores.drop("best"))
+    assert log.columns == plain.columns and sorted(map(str, log.collect())) == sorted(map(str, plain.collect()))
+    claims = spark.createDataFrame([("u", "a"), ("u", "b"), ("u", "b"), ("w", "a"), ("x", "b")], "url string, question string")
+    steps = [-0.5, 0.0, 0.5, 0.9]
+    whole = routing.counterfactual_of(chunks, q, claims, steps)
+    assert sorted(whole.collect()) == sorted(routing.counterfactual(log, claims, steps).collect())
+    for df in (log, whole):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "Window" not in plan
+
+
 def test_links_and_crawl(spark):
     page = '<a href="/a">One</a><a href="/a#x">Again</a><a href="logo.png">i</a><a href="https://other.org/b">o</a><a href="mailto:x@y">m</a><a href=\'https://sub.t.com/c?utm_source=1\'>Two &amp; more</a>'
     pages = spark.createDataFrame([("https://t.com/", page), ("https://u.com/", None)], "url string, body string")
