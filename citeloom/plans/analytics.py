@@ -170,9 +170,9 @@ def filter_routing(spark, d):
 def routing_counterfactual(spark, d):
     e = embedding_rows(spark, d)
     q = e.where("url % 50 = 0").select(F.concat(F.lit("q"), F.col("url").cast("string")).alias("question"), "vector", "label")
-    log = routing.route(routing.question_scores(e.select("url", "vector"), q.select("question", "vector")))
-    found = e.select("url", "label").join(q.select("question", "label"), "label").select("url", "question")
-    return routing.counterfactual(log, found, [0.0, 0.25, 0.5, 0.75])
+    # few labels: joined where the pages are, by a broadcast of the questions, whose number question scores limit
+    found = routing.dealt(e.select("url", "label")).join(F.broadcast(q.select("question", "label")), "label").select("url", "question")
+    return routing.counterfactual_of(e.select("url", "vector"), q.select("question", "vector"), found, [0.0, 0.25, 0.5, 0.75])
 
 
 def centered_norms(spark, d):
