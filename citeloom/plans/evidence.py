@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import evidence as ev
 from ..operators import verify
+from ..operators.graph import checkpointed
 from .relations import CLAIMS, claims, read
 
 QUESTIONS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
@@ -21,8 +22,15 @@ def quote_sources(spark, d):
 
 
 def evidence_dedup(spark, d):
-    e = ev.deduplicate(claims(spark, d))
-    return e.groupBy("entity", "question").agg(F.count("*").alias("n"), F.sum("ord").cast("bigint").alias("ords"))
+    return whole_sums(ev.deduplicate(claims(spark, d)).groupBy("entity", "question").agg(F.count("*").alias("n"), F.sum(F.col("ord").cast("decimal(19,0)")).alias("ords")), "ords")
+
+
+def whole_sums(df, column):
+    """df with a decimal column as bigint, as in SQL, where all of it fits; where SQL's own cast would fail, it stays decimal."""
+    df = checkpointed(df)  # a row a cell
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    fits = low is None or (low >= -(2**63) and high < 2**63)
+    return df.withColumn(column, F.col(column).cast("bigint")) if fits else df
 
 
 def cells(spark, d):

@@ -159,3 +159,15 @@ def test_a_busy_model_is_called_again():
         with pytest.raises(type(error)):
             extract.patient(model, 2, 0.0)(9, error)
         assert len(calls) == times
+
+
+def test_sums_beyond_bigint_are_whole(spark):
+    from decimal import Decimal
+
+    from citeloom.plans.evidence import whole_sums
+
+    df = spark.createDataFrame([("a", 2**62), ("a", 2**62), ("b", 1)], "entity string, ord bigint")
+    sums = lambda d: whole_sums(d.groupBy("entity").agg(F.sum(F.col("ord").cast("decimal(19,0)")).alias("ords")), "ords")
+    assert {tuple(r) for r in sums(df).collect()} == {("a", Decimal(2**63)), ("b", Decimal(1))}
+    small = sums(df.where("ord = 1"))
+    assert small.dtypes[1] == ("ords", "bigint") and small.first()["ords"] == 1
