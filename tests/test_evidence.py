@@ -171,3 +171,12 @@ def test_sums_beyond_bigint_are_whole(spark):
     assert {tuple(r) for r in sums(df).collect()} == {("a", Decimal(2**63)), ("b", Decimal(1))}
     small = sums(df.where("ord = 1"))
     assert small.dtypes[1] == ("ords", "bigint") and small.first()["ords"] == 1
+
+
+def test_the_invented_id_stays_invented_where_a_claim_has_it(spark):
+    from citeloom.plans.runs import _gated
+
+    c = spark.createDataFrame([("a", "Q", "C9999998", "Yes", 1), ("a", "Q", "C9999999", "Yes", 2), ("b", "Q", "C10000000", "no.", 3)], "entity string, question string, claim_id string, value string, ord int")
+    got = {r["entity"]: (r["passed"], r["invented"], r["uncited"], r["missed"]) for r in _gated(c).collect()}
+    # as the query's SQL: b = 'C9999999' is invented
+    assert got == {"a": (False, "C9999999", 0, ""), "b": (True, "", 0, "")}
