@@ -180,3 +180,23 @@ def test_the_invented_id_stays_invented_where_a_claim_has_it(spark):
     got = {r["entity"]: (r["passed"], r["invented"], r["uncited"], r["missed"]) for r in _gated(c).collect()}
     # as the query's SQL: b = 'C9999999' is invented
     assert got == {"a": (False, "C9999999", 0, ""), "b": (True, "", 0, "")}
+
+
+def test_cells_read_evidence_once(spark):
+    rows = [("A", "Q", f"Value {k % 5}", f"q{k % 3}", f"u{k % 4}" if k % 4 else None, k % 7 > 0, float(k), k) for k in range(60)] + [("A", "Q", "None (not disclosed)", None, "u9", False, 1.0, 99), ("B", "Q", "none (not disclosed)", None, "", None, None, 7)]
+    schema = "entity string, question string, value string, quote string, source_url string, verified boolean, score double, ord int"
+    df = spark.createDataFrame(rows, schema)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    for fuzzy in (False, True):
+        before = seen.value
+        a, b = sorted(ev.aggregate_cells(df.mapInArrow(count, schema), fuzzy=fuzzy).collect())
+        assert seen.value - before == len(rows)
+        assert a["values"] == ([f"Value {k}" for k in range(5)] if not fuzzy else ["Value 0"]) and a["source_urls"] == ["u1", "u2", "u3", "u9"] and a["num_evidence"] == 60 and not a["verified"]
+        assert a["verification_score"] == 29.5 and a["num_unique_values"] == (1 if fuzzy else 5)
+        assert (b["values"], b["num_evidence"], b["verified"], b["verification_score"], b["num_unique_values"], b["source_urls"]) == (["none (not disclosed)"], 1, False, None, 0, [])
