@@ -122,16 +122,22 @@ def _range_of(x: Column, cuts: list, base: int = 0) -> Column:
     return F.when(x > F.lit(cuts[m]), _range_of(x, cuts[m + 1 :], base + m + 1)).otherwise(_range_of(x, cuts[:m], base))
 
 
-def claim_ids(evidence: DataFrame, ranges: int = 200) -> DataFrame:
+def claim_ids(evidence: DataFrame, ranges: int = 200, rows_a_task: int = 50_000, most_ranges: int = 1000) -> DataFrame:
     """Consecutive ids C0001, C0002, ... in order of ord, without one task that sorts all rows.
 
     ord is cut at quantiles taken once; each range counts its rows, and a running sum over the ranges gives its start.
+    Ranges and tasks grow with the rows, so that a task's memory does not.
     """
+    spark = evidence.sparkSession
+    tasks = -(-evidence.count() // rows_a_task)
+    ranges = max(ranges, min(2 * tasks, most_ranges))
     steps = [k / ranges for k in range(1, ranges)]
     cuts = evidence.agg(F.percentile_approx("ord", steps, 10_000)).first()[0] or []
     dealt = evidence.withColumn("part", _range_of(F.col("ord"), sorted(set(cuts))))
-    local = dealt.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("ord")))
     sizes = dealt.groupBy("part").count()
+    if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        dealt = dealt.repartition(min(tasks, ranges), "part")
+    local = dealt.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("ord")))
     before = F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("part", before.alias("before"))
     number = (F.col("before") + F.col("at")).cast("bigint")
@@ -140,10 +146,13 @@ def claim_ids(evidence: DataFrame, ranges: int = 200) -> DataFrame:
 
 
 def claim_index(ledger: DataFrame) -> DataFrame:
-    """For each cell and normalised value the claim to cite: the first verified, else the first."""
-    rows = ledger.withColumn("norm", text.normalise_value(F.col("value")))
-    order = F.struct((~F.coalesce("verified", F.lit(False))).alias("u"), "ord")
-    return rows.groupBy(*CELL, "norm").agg(F.min_by("claim_id", order).alias("claim_id"))
+    """For each cell and normalised value the claim to cite: the first verified, else the first.
+
+    Ids are those of claim_ids, whose numbers follow ord: numbers are hashed in place where rows with texts are sorted.
+    """
+    rows = ledger.select(*CELL, text.normalise_value(F.col("value")).alias("norm"), F.substring("claim_id", F.lit(2), F.length("claim_id")).cast("bigint").alias("n"), "verified")
+    best = rows.groupBy(*CELL, "norm").agg(F.min(F.when(F.col("verified"), F.col("n"))).alias("checked"), F.min("n").alias("n"))
+    return best.select(*CELL, "norm", F.format_string("C%04d", F.coalesce("checked", "n")).alias("claim_id"))
 
 
 def attestation(evidence: DataFrame) -> DataFrame:

@@ -200,3 +200,17 @@ def test_cells_read_evidence_once(spark):
         assert a["values"] == ([f"Value {k}" for k in range(5)] if not fuzzy else ["Value 0"]) and a["source_urls"] == ["u1", "u2", "u3", "u9"] and a["num_evidence"] == 60 and not a["verified"]
         assert a["verification_score"] == 29.5 and a["num_unique_values"] == (1 if fuzzy else 5)
         assert (b["values"], b["num_evidence"], b["verified"], b["verification_score"], b["num_unique_values"], b["source_urls"]) == (["none (not disclosed)"], 1, False, None, 0, [])
+
+
+def test_claims_are_numbered_by_more_tasks_as_they_grow(spark):
+    df = spark.range(3000).select(((F.col("id") * 7919) % 3000).alias("ord"), F.lit("E").alias("entity"), F.lit("Q").alias("question"), (F.col("id") % 3).cast("string").alias("value"), (F.col("id") % 2 == 1).alias("verified"))
+    out = ev.claim_ids(df, 5, rows_a_task=100)
+    assert {r["ord"]: r["claim_id"] for r in out.collect()} == {k: f"C{k + 1:04d}" for k in range(3000)}
+    sizes = out.groupBy(F.spark_partition_id()).count().collect()
+    assert out.rdd.getNumPartitions() == 30 and max(r["count"] for r in sizes) < 600
+    index = ev.claim_index(out)
+    assert "SortAggregate" not in index._jdf.queryExecution().executedPlan().toString()
+    first = {}
+    for r in out.orderBy(~F.col("verified"), "ord").collect():
+        first.setdefault(r["value"], r["claim_id"])
+    assert {r["norm"]: r["claim_id"] for r in index.collect()} == first
