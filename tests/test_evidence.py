@@ -214,3 +214,13 @@ def test_claims_are_numbered_by_more_tasks_as_they_grow(spark):
     for r in out.orderBy(~F.col("verified"), "ord").collect():
         first.setdefault(r["value"], r["claim_id"])
     assert {r["norm"]: r["claim_id"] for r in index.collect()} == first
+
+
+def test_chunks_become_objects_a_few_at_a_time(spark):
+    q = [{"question": "Q", "instruction": ""}]
+    chunks = spark.range(500).coalesce(1).select(F.concat(F.lit("u"), "id").alias("url"), F.lit(0).alias("chunk"), F.col("id").cast("string").alias("body"))
+    got = extract.extract(chunks, q, ["Acme"], lambda body, questions, entities: {"Acme": {"Q": {"value": body}}})
+    assert str(got._jdf.queryExecution().executedPlan().toString()).count("MapInArrow") == 1
+    sizes = extract.by_slices(chunks, lambda frames: (f.assign(n=len(f))[["n"]].head(1) for f in frames), "n int")
+    assert {r["n"] for r in sizes.collect()} == {64, 500 % 64}
+    assert {(r["url"], r["value"]) for r in extract.merge(got, q, ["Acme"]).collect()} == {(f"u{k}", str(k)) for k in range(500)}
