@@ -59,6 +59,19 @@ def reader(spark, parser):
     return read
 
 
+def test_cells_are_aligned_by_batches(spark):
+    t = spark.createDataFrame([(f"E{k}", "Q", v, "a quote", False, j) for k in range(70) for j, v in enumerate(("red brick", "grey slate"))], "entity string, question string, value string, quote string, is_list boolean, ord int")
+    a = spark.createDataFrame([(f"E{k}", "Q", v, "a quote", None, None, "u", j) for k in range(70) for j, v in enumerate(("brick red", "blue glass"))], "entity string, question string, value string, quote string, verified boolean, match_type string, source_url string, ord int")
+    out = evaluate.align(t, a)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "MapInArrow" in plan
+    want = evaluate.match_cell([{"value": "red brick", "quote": "a quote"}, {"value": "grey slate", "quote": "a quote"}], [{"value": "brick red", "quote": "a quote"}, {"value": "blue glass", "quote": "a quote"}])
+    got = out.collect()
+    assert len(got) == 70 * len(want)
+    for e in ("E0", "E69"):
+        assert sorted(str({k: r[k] for k in want[0]}) for r in got if r["entity"] == e) == sorted(map(str, want))
+
+
 def test_counts(spark):
     p = reader(spark, "count")
     assert p("1,200")["value"] == 1200 and p("more than 6,000")["lo"] == 6000 and p("more than 6,000")["hi"] is None and p("more than 6,000")["flags"] == ["QUALIFIED"]
